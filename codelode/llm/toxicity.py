@@ -1,7 +1,7 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-Features are the distinct words of a text and their beginnings (3 to 6 letters), which also catch unseen
-inflections. Training minimises logistic loss + an L1 term + a penalty on the squared change of the score when
+Features are the distinct words of a text and their beginnings (3 to 8 letters), which also catch unseen
+inflections; a feature's value is log2(1 + distinct words that have it). Training minimises logistic loss + an L1 term + a penalty on the squared change of the score when
 an identity term of a labelled text is swapped for another of its group, so that a neutral mention of a group
 carries no weight of its own. The model is fitted on the driver on at most about ``max_rows`` labelled rows
 chosen by a hash of doc_id (a documented bound); scoring is one narrow pass over all texts.
@@ -21,7 +21,7 @@ MAX_ROWS = 12_000
 MAX_FEATURES = 20_000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 # Identity terms; a swap replaces a term by the others of its group.
 IDENTITY_GROUPS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"),
@@ -35,6 +35,7 @@ IDENTITY_GROUPS = (
 )
 GROUP_OF = {term: group for group in IDENTITY_GROUPS for term in group}
 _WORD_CACHE = 200_000
+LOG = np.log2(1 + np.arange(1 << 14)).tolist()
 
 
 def features_of(word: str) -> list[str]:
@@ -61,15 +62,15 @@ class Model:
     threshold: float = THRESHOLD
 
     def logit(self, words: set[str]) -> float:
-        found = {f for w in words for f in features_of(w) if f in self.weights}
-        return self.bias + sum(self.weights[f] for f in sorted(found))
+        found = Counter(f for w in words for f in features_of(w) if f in self.weights)
+        return self.bias + sum(self.weights[f] * LOG[min(found[f], len(LOG) - 1)] for f in sorted(found))
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -500, 500))))
 
 
-def fit(texts: list[str | None], y: list[int], fairness: float = 1.0, sparsity: float = 2e-4, max_features: int = MAX_FEATURES, steps: int = 400) -> Model:
-    """Accelerated proximal gradient on presence features. Without both classes the score is the share of label 1."""
+def fit(texts: list[str | None], y: list[int], fairness: float = 1.0, sparsity: float = 4e-4, max_features: int = MAX_FEATURES, steps: int = 600) -> Model:
+    """Accelerated proximal gradient. Without both classes the score is the share of label 1."""
     share = (sum(y) + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
     if len(set(y)) < 2:
@@ -89,17 +90,23 @@ def fit(texts: list[str | None], y: list[int], fairness: float = 1.0, sparsity:
     common = [f for f in seen[1].keys() | seen[0].keys() if seen[1][f] + seen[0][f] >= 3]
     names = sorted(sorted(common, key=lambda f: (-worth(f), f))[:max_features])
     at = {f: i for i, f in enumerate(names)}
-    index = lambda words: sorted({at[f] for w in words for f in features_of(w) if f in at})
-    rows = [index(w) for w in docs]
+
+    def row(words: set[str]) -> dict[int, float]:
+        found = Counter(at[f] for w in words for f in features_of(w) if f in at)
+        return {i: LOG[min(c, len(LOG) - 1)] for i, c in sorted(found.items())}
+
+    rows = [row(w) for w in docs]
     cols = np.array([i for r in rows for i in r], np.int64)
+    vals = np.array([x for r in rows for x in r.values()])
     of = np.repeat(np.arange(n), [len(r) for r in rows])
     change_of, change_cols, change_vals, pairs = [], [], [], 0
-    for words, row in zip(docs, rows, strict=True):
+    for words, a in zip(docs, rows, strict=True):
         for other in swapped(words):
-            a, b = set(row), set(index(other))
-            change_of += [pairs] * len(a ^ b)
-            change_cols += sorted(a ^ b)
-            change_vals += [1.0 if i in a else -1.0 for i in sorted(a ^ b)]
+            b = row(other)
+            diff = {i: a.get(i, 0.0) - b.get(i, 0.0) for i in sorted(a.keys() | b.keys()) if a.get(i) != b.get(i)}
+            change_of += [pairs] * len(diff)
+            change_cols += diff.keys()
+            change_vals += diff.values()
             pairs += 1
     dof, dcol, dval = np.array(change_of, np.int64), np.array(change_cols, np.int64), np.array(change_vals)
     label = np.array(y, np.float64)
@@ -108,26 +115,29 @@ def fit(texts: list[str | None], y: list[int], fairness: float = 1.0, sparsity:
     v = np.ones(size) / np.sqrt(size or 1)
     top = 1.0
     for _ in range(12):
-        z = np.bincount(of, v[cols], n)
-        u = np.bincount(cols, z[of], size) / (4 * n)
+        z = np.bincount(of, vals * v[cols], n)
+        u = np.bincount(cols, vals * z[of], size) / (4 * n)
         if pairs:
             u += 2 * fairness / pairs * np.bincount(dcol, dval * np.bincount(dof, dval * v[dcol], pairs)[dof], size)
         top = float(np.linalg.norm(u)) or 1.0
         v = u / top
     step = 1 / (1.1 * top + 0.25)
-    w, bias, look, look_bias, t = np.zeros(size), prior, np.zeros(size), prior, 1.0
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-(np.bincount(of, look[cols], n) + look_bias)))
-        grad = np.bincount(cols, (p - label)[of], size) / n
-        if pairs:
-            grad += 2 * fairness / pairs * np.bincount(dcol, dval * np.bincount(dof, dval * look[dcol], pairs)[dof], size)
-        moved = look - step * grad
-        new = np.sign(moved) * np.maximum(np.abs(moved) - step * sparsity, 0)
-        new_bias = look_bias - step * float((p - label).mean())
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        k = (t - 1) / t_new
-        look, look_bias = new + k * (new - w), new_bias + k * (new_bias - bias)
-        w, bias, t = new, new_bias, t_new
+    w, bias, free = np.zeros(size), prior, np.ones(size, bool)
+    for shrink in (sparsity, sparsity / 10):  # choose features, then fit the chosen ones with less shrinkage
+        look, look_bias, t = w, bias, 1.0
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-(np.bincount(of, vals * look[cols], n) + look_bias)))
+            grad = np.bincount(cols, vals * (p - label)[of], size) / n
+            if pairs:
+                grad += 2 * fairness / pairs * np.bincount(dcol, dval * np.bincount(dof, dval * look[dcol], pairs)[dof], size)
+            moved = np.where(free, look - step * grad, 0)
+            new = np.sign(moved) * np.maximum(np.abs(moved) - step * shrink, 0)
+            new_bias = look_bias - step * float((p - label).mean())
+            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            k = (t - 1) / t_new
+            look, look_bias = new + k * (new - w), new_bias + k * (new_bias - bias)
+            w, bias, t = new, new_bias, t_new
+        free = w != 0
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(bias))
 
 
@@ -162,7 +172,7 @@ def scorer(docs: DataFrame, model: Model):
         weights, known = m.weights, _active_features(m)
         z = np.empty(len(texts))
         for i, text in enumerate(texts):
-            found: set[str] = set()
+            found: Counter = Counter()
             for w in words_of(text):
                 hit = known.get(w)
                 if hit is None:
@@ -171,7 +181,7 @@ def scorer(docs: DataFrame, model: Model):
                         known[w] = hit
                 if hit:
                     found.update(hit)
-            z[i] = m.bias + sum(weights[f] for f in sorted(found))
+            z[i] = m.bias + sum(weights[f] * LOG[min(found[f], len(LOG) - 1)] for f in sorted(found))
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return score
