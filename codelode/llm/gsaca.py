@@ -106,15 +106,16 @@ def suffix_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(total, bool)
     inside[ends - 1] = False
     symbol[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
-    owner = np.repeat(np.arange(len(texts)), size)
-    sa = np.lexsort((symbol, owner))
+    index = np.int32 if total < 2**31 - 1 else np.int64
+    owner = np.repeat(np.arange(len(texts), dtype=index), size)
+    sa = np.lexsort((symbol, owner)).astype(index)
     first = np.flatnonzero(np.r_[True, (symbol[sa][1:] != symbol[sa][:-1]) | (owner[sa][1:] != owner[sa][:-1])])
     count = np.diff(np.r_[first, total])
-    pos, isa, end = np.empty(total, np.int64), np.empty(total, np.int64), np.zeros(total, np.int64)
+    pos, isa, end = np.empty(total, index), np.empty(total, index), np.zeros(total, index)
     pos[sa] = np.arange(total)
     isa[sa] = np.repeat(first, count)
     end[first] = first + count - 1
-    prev = np.arange(-1, total)  # slot total stands for "none"
+    prev = np.arange(-1, total, dtype=index)  # slot total stands for "none"
     prev[base] = total
     done, mark = np.zeros(total + 1, bool), np.zeros(total, bool)
     top = ends - 1
@@ -159,7 +160,7 @@ def suffix_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         k = np.diff(np.r_[cut, u.size])
         isa[u] = np.repeat(slot[cut], k)
         end[slot[cut]] = slot[cut] + k - 1
-    out, nxt = np.empty(total, np.int64), np.arange(total)
+    out, nxt = np.empty(total, index), np.arange(total, dtype=index)
     placed = np.zeros(total + 1, bool)
     placed[ends - 1] = placed[total] = True
     out[base] = ends - 1
