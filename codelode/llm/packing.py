@@ -8,7 +8,6 @@ number of distinct lengths and rooms, not the number of documents.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -20,8 +19,7 @@ from pyspark.sql import functions as F
 from codelode.llm.common import remove, table
 
 CAPACITY = 2048
-CACHE = 300_000
-_SPACE = re.compile("[ \n]+")
+CACHE = 400_000  # chunks in a generation of a worker's memory, about 70 MB
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -29,8 +27,10 @@ class WordTokenizer:
     """Ids of a word-level-split tokenizer file, remembered by white-space chunk.
 
     The file's normaliser folds white space and its pre-tokeniser never matches across it, so a text's ids are
-    those of its chunks between spaces and newlines joined. Unknown chunks are encoded together; the tokens of
-    each are found again by the offsets the library reports. The memory is dropped when it is full.
+    those of its chunks between spaces and newlines joined. A chunk of letters is one word to the pre-tokeniser,
+    and a point or comma after it another. Unknown words are encoded together and told apart by their end
+    tokens; other unknown chunks by the offsets the library reports. The memory has two generations, so it is
+    bounded and keeps what is in use.
     """
 
     def __init__(self, path: str):
@@ -38,33 +38,74 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks in lines of 256 and split each line's ids where the chunk under the token changes."""
+    def _words(self, words: list[str]) -> None:
+        """Learn chunks of letters only."""
+        lines = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for line, enc in zip(lines, self.tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.asarray(enc.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if cuts.size != len(line):
+                self._chunks(line)
+                continue
+            raw, at = ids.tobytes(), 0
+            for c, end in zip(line, (4 * cuts).tolist(), strict=True):
+                self.known[c] = raw[at:end]
+                at = end
+
+    def _chunks(self, chunks: list[str]) -> None:
+        """Learn any chunks."""
         lines = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
         for line, enc in zip(lines, self.tok.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ends = np.cumsum([len(c) + 1 for c in line])
-            ids = np.asarray(enc.ids, dtype="<u4")
+            raw = np.asarray(enc.ids, dtype="<u4").tobytes()
             starts = np.asarray([o[0] for o in enc.offsets], dtype=np.int64)
-            cuts = np.searchsorted(starts, ends)
+            cuts = np.searchsorted(starts, np.cumsum([len(c) + 1 for c in line]))
             at = 0
-            for c, end in zip(line, cuts.tolist(), strict=True):
-                self.known[c] = ids[at:end].tobytes()
+            for c, end in zip(line, (4 * cuts).tolist(), strict=True):
+                self.known[c] = raw[at:end]
                 at = end
 
+    def _learn(self, chunks: set[str]) -> None:
+        known, old = self.known, self.old
+        new = []
+        for c in chunks:
+            if c in old:
+                known[c] = old[c]
+            elif c not in known:
+                new.append(c)
+        tailed = [c for c in new if c[-1] in ".," and c[:-1].isalpha()]
+        bare = {c[:-1] for c in tailed if c[:-1] not in known} | {c for c in new if c.isalpha()}
+        self._words(list(bare))
+        self._chunks([c for c in [*new, ".", ","] if not c.isalpha() and c not in known and not (c[-1] in ".," and c[:-1].isalpha())])
+        for c in tailed:
+            known[c] = known[c[:-1]] + known[c[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        out, known = [], self.known
+        flat: list[str] = []
+        ends = []
         for text in texts:
-            chunks = _SPACE.split(text.lower() if text.isascii() else text)
-            new = [c for c in set(chunks) if c not in known]
-            if new:
-                self._learn(new)
-            out.append(b"".join(map(known.__getitem__, chunks)))
-        return out
+            try:
+                text.encode("latin-1")  # here the library and Python agree on lower case
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+            flat += text.replace("\n", " ").split(" ")
+            ends.append(len(flat))
+        if len(self.known) > CACHE:
+            self.known, self.old = {"": b""}, self.known
+        ids = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            self._learn({flat[i] for i in missing})
+            for i in missing:
+                ids[i] = self.known[flat[i]]
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -82,8 +123,10 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
         for b in batches:
             names = b.column("doc_id").to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
-            for name, text in zip(names, b.column("t").to_pylist(), strict=True):
-                ids = tok.encode([text or ""])[0] + tail
+            texts = [t or "" for t in b.column("t").to_pylist()]
+            encoded = (ids for at in range(0, len(texts), 64) for ids in tok.encode(texts[at : at + 64]))
+            for name, ids in zip(names, encoded, strict=True):
+                ids += tail
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     row = (name, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None)

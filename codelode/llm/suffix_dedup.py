@@ -92,8 +92,51 @@ def repeated_windows(parts: list[tuple[bytes, int]], length: int) -> list[np.nda
     return _mark([parts], length)[0]
 
 
+def window_hashes(a: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of each length-byte window, from two overlapping power-of-two hashes."""
+    half = 1 << (length.bit_length() - 1)
+    h = gram_hashes(a, half)
+    n = a.size - length + 1
+    return h[:n] * np.uint64(0xD6E8FEB86659FD93) + h[length - half : length - half + n]
+
+
 def _mark(groups: list[list[tuple[bytes, int]]], length: int) -> list[list[np.ndarray]]:
-    """repeated_windows of many hashes at once."""
+    """repeated_windows of many hashes at once.
+
+    Windows whose own hash stands once equal no other. Each region is cut to its other windows and equal cuts
+    collapse, so near copies that differ in places come down to a few parts; suffix arrays decide those.
+    """
+    flat = [(k, text, count) for k, g in enumerate(groups) for text, count in g]
+    ends = np.cumsum([len(text) for _, text, _ in flat])
+    h = window_hashes(np.frombuffer(b"".join(text for _, text, _ in flat), np.uint8), length)
+    own = np.zeros(h.size, bool)
+    for b, (_, text, _) in zip((ends - [len(t) for _, t, _ in flat]).tolist(), flat):
+        own[b : b + len(text) - length + 1] = True
+    at = np.flatnonzero(own)
+    _, back, times = np.unique(h[at], return_inverse=True, return_counts=True)
+    shared = np.zeros(h.size, bool)
+    shared[at] = times[back] > 1
+    parts: list[dict[bytes, list]] = [{} for _ in groups]
+    out: list[list[np.ndarray]] = [[] for _ in groups]
+    for b, (k, text, count) in zip((ends - [len(t) for _, t, _ in flat]).tolist(), flat):
+        flags = shared[b : b + len(text) - length + 1]
+        runs = runs_of(flags)
+        for x, y in zip(runs[::2], runs[1::2]):
+            part = parts[k].setdefault(text[x : y - 1 + length], [0, []])
+            part[0] += count
+            part[1].append((len(out[k]), x, y))
+        out[k].append(np.full(flags.size, count > 1))
+    ask = [k for k, p in enumerate(parts) if any(c == 1 for c, _ in p.values())]
+    told = dict(zip(ask, _mark_parts([[(t, c) for t, (c, _) in parts[k].items()] for k in ask], length)))
+    for k, p in enumerate(parts):
+        for n, (count, places) in enumerate(p.values()):
+            for r, x, y in places:
+                out[k][r][x:y] |= True if count > 1 else told[k][n]
+    return out
+
+
+def _mark_parts(groups: list[list[tuple[bytes, int]]], length: int) -> list[list[np.ndarray]]:
+    """Repeated windows of each part of each group, by suffix arrays."""
     joined = [b"\xff".join(r for r, _ in g) for g in groups]
     out: list[list[np.ndarray]] = [[] for _ in groups]
     order = sorted(range(len(groups)), key=lambda k: len(joined[k]))
