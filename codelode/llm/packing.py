@@ -13,12 +13,14 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.common import remove, table
 
 CAPACITY = 2048
+GROUP, GROUP_CHARS = 512, 4 << 20  # texts encoded together, and their characters
 CACHE = 400_000  # chunks in a generation of a worker's memory, about 70 MB
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
@@ -34,20 +36,26 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        # for words of letters up to U+00FF the file's normaliser and splitting come down to these
+        self.light = Tokenizer.from_file(path)
+        self.light.encode_special_tokens = True
+        self.light.normalizer = normalizers.Lowercase()
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_of])
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def _words(self, words: list[str]) -> None:
+    def _words(self, words: list[str], tok) -> None:
         """Learn chunks of letters only."""
         lines = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for line, enc in zip(lines, self.tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for line, enc in zip(lines, tok.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.asarray(enc.ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if cuts.size != len(line):
@@ -72,40 +80,60 @@ class WordTokenizer:
 
     def _learn(self, chunks: set[str]) -> None:
         known, old = self.known, self.old
-        new = []
+        words, tailed, odd = set(), [], []
         for c in chunks:
-            if c in old:
-                known[c] = old[c]
-            elif c not in known:
-                new.append(c)
-        tailed = [c for c in new if c[-1] in ".," and c[:-1].isalpha()]
-        bare = {c[:-1] for c in tailed if c[:-1] not in known} | {c for c in new if c.isalpha()}
-        self._words(list(bare))
-        self._chunks([c for c in [*new, ".", ","] if not c.isalpha() and c not in known and not (c[-1] in ".," and c[:-1].isalpha())])
+            have = old.get(c)
+            if have is not None:
+                known[c] = have
+            elif c.isalpha():
+                words.add(c)
+            elif c[-1] in ".," and c[:-1].isalpha():
+                tailed.append(c)
+            else:
+                odd.append(c)
+        for c in tailed:
+            word = c[:-1]
+            if word not in known:
+                have = old.get(word)
+                if have is None:
+                    words.add(word)
+                else:
+                    known[word] = have
+        plain = [c for c in words if c.isascii() or max(c) < "\u0100"]
+        self._words(plain, self.light)
+        self._words(list(words.difference(plain)), self.tok)
+        self._chunks([*odd, *(c for c in ".," if c not in known)])
         for c in tailed:
             known[c] = known[c[:-1]] + known[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        flat: list[str] = []
-        ends = []
+        clean = []
         for text in texts:
             try:
                 text.encode("latin-1")  # here the library and Python agree on lower case
                 text = text.lower()
             except UnicodeEncodeError:
                 pass
-            flat += text.replace("\n", " ").split(" ")
-            ends.append(len(flat))
+            clean.append(text.replace("\n", " "))
+        chunks = pc.split_pattern(pa.array(clean, pa.large_string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.known) > CACHE:
             self.known, self.old = {"": b""}, self.known
-        ids = list(map(self.known.get, flat))
+        ids = list(map(self.known.get, words))
         missing = [i for i, x in enumerate(ids) if x is None]
         if missing:
-            self._learn({flat[i] for i in missing})
+            self._learn({words[i] for i in missing})
             for i in missing:
-                ids[i] = self.known[flat[i]]
-        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
+                ids[i] = self.known[words[i]]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[index]
+        at = np.concatenate(([0], np.cumsum(n)))
+        out = pool[np.repeat(first[index] - at[:-1], n) + np.arange(at[-1])]
+        ends = at[chunks.offsets.to_numpy()]
+        return [out[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -114,6 +142,19 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
+def parcels(texts: list[str]):
+    """Lists of neighbouring texts within the bounds of a group; a longer text is alone."""
+    held, chars = [], 0
+    for text in texts:
+        if held and (len(held) == GROUP or chars + len(text) > GROUP_CHARS):
+            yield held
+            held, chars = [], 0
+        held.append(text)
+        chars += len(text)
+    if held:
+        yield held
+
+
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids plus end_id, cut only past capacity."""
 
@@ -124,7 +165,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
             names = b.column("doc_id").to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
             texts = [t or "" for t in b.column("t").to_pylist()]
-            encoded = (ids for at in range(0, len(texts), 64) for ids in tok.encode(texts[at : at + 64]))
+            encoded = (ids for part in parcels(texts) for ids in tok.encode(part))
             for name, ids in zip(names, encoded, strict=True):
                 ids += tail
                 for k in range(0, len(ids), 4 * capacity):
