@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import rows_of
+from codelode.llm.common import rows_of, slices
 
 BOUNDARY = re.compile(r"(?<=[^\W\d_])[ \n](?=[^\W\d_])")
 LONG = 1 << 16
@@ -63,7 +63,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     def run(batches):
         enc = encoding(rank_file, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids = [encode_text(enc, t or "") for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -76,7 +76,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
     def run(batches):
         enc = encoding(rank_file, pattern)
-        for b in batches:
+        for b in slices(batches):
             col = b.column("ids")
             ids = [np.asarray(x or [], dtype="<u4") for x in col.to_pylist()]
             raw = [enc.decode_bytes(x.tolist()) for x in ids]

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import rows_of, table
+from codelode.llm.common import rows_of, slices, table
 from codelode.llm.suffix_dedup import cut_spans
 
 RADIUS = 24
@@ -88,7 +88,7 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, d1, d2): the distinct chunks of each row of docs(doc_id, t)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             names, found = [], []
             for name, text in zip(b.column("doc_id").to_pylist(), rows_of(b, "t"), strict=True):
                 own = set(chunks(text)[1])
@@ -115,7 +115,7 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("d1", "d2")).alias("lost"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for name, text, gone in zip(b.column("doc_id").to_pylist(), rows_of(b, "t"), b.column("lost").to_pylist(), strict=True):
                 drop = {np.array([x["d1"], x["d2"]], "<i8").tobytes() for x in gone or ()}

@@ -53,6 +53,14 @@ def ascii_lower(col) -> F.Column:
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller parts, so that a worker holds Python objects of few rows; gives unused memory back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def rows_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A string column of an Arrow batch as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.common import slices
+
 MAX_GAP = 3
 
 # Known licence sentences by identifier.
@@ -156,7 +158,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [sentence_ids(t or "") for t in b.column("t").to_pylist()]
             hits = [match_rules(f) for f in found]
             yield pa.RecordBatch.from_arrays(

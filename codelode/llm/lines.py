@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm.common import rows_of, table
+from codelode.llm.common import rows_of, slices, table
 
 MIN_CHARS = 10
 SPACE = b" \t\n\x0b\x0c\r"
@@ -112,7 +112,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, filters=None, shards:
 
     def run(batches):
         loaded = {k: Cuckoo.load(v) for k, v in filters.value.items()} if filters is not None else None
-        for b in batches:
+        for b in slices(batches):
             names, digests = [], []
             for name, text in zip(b.column("doc_id").to_pylist(), rows_of(b, "t"), strict=True):
                 if name is None:
@@ -233,7 +233,7 @@ class LineIndex:
         min_chars = self.min_chars
 
         def run(batches):
-            for b in batches:
+            for b in slices(batches):
                 lines_n, dropped_n, kept = [], [], []
                 for text, drops in zip(rows_of(b, "t"), b.column("drops").to_pylist(), strict=True):
                     lines = text.split(b"\n")

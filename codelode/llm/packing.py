@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.llm.common import remove, table
+from codelode.llm.common import remove, slices, table
 
 CAPACITY = 2048
 GROUP, GROUP_CHARS = 512, 4 << 20  # texts encoded together, and their characters
-CACHE = 400_000  # chunks in a generation of a worker's memory, about 70 MB
+CACHE = 200_000  # chunks in a generation of a worker's memory, about 40 MB
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
     def run(batches):
         tok = tokenizer(tokenizer_file)
         tail = np.asarray([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             names = b.column("doc_id").to_pylist()
             cols: list[list] = [[], [], [], [], [], []]
             texts = [t or "" for t in b.column("t").to_pylist()]
@@ -249,7 +249,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def run(batches):
         r = share.value
         keys = r[:, 0] << 44 | r[:, 1]
-        for b in batches:
+        for b in slices(batches):
             length = b.column("length").to_numpy()
             p = b.column("_p").to_numpy()
             at = np.searchsorted(keys, length << 44 | p, side="right") - 1

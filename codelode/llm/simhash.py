@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import forest, rows_of, shuffle_width, table, whole_groups
+from codelode.llm.common import forest, rows_of, shuffle_width, slices, table, whole_groups
 from codelode.llm.graph import connected_components
 
 SHINGLE = 4
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """(doc_id, fp) for every row; fp holds the unsigned fingerprint in a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t) for t in rows_of(b, "t")], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelode.llm.common import remove, rows_of, shuffle_width, table, whole_groups
+from codelode.llm.common import remove, rows_of, shuffle_width, slices, table, whole_groups
 from codelode.llm.gsaca import suffix_array, suffix_arrays
 
 LENGTH = 200
@@ -211,7 +211,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, doc_id, sig, b, e, w): the regions of every row; sig tells rows of one doc_id apart by their text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             for name, text in zip(batch.column("doc_id").to_pylist(), rows_of(batch, "t"), strict=True):
                 b, e, h, w = regions(text, length, gram)
@@ -232,7 +232,7 @@ def _region_rows(stored: DataFrame, length: int) -> DataFrame:
     """(h, r1, r2, doc_id, sig, b, e): digests of the regions that a stored text may share."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for name, text, at in zip(batch.column("doc_id").to_pylist(), rows_of(batch, "t"), batch.column("at").to_pylist(), strict=True):
                 own = xxhash.xxh32_intdigest(text) - (1 << 31)
@@ -255,7 +255,7 @@ def _spread(wanted: DataFrame, length: int) -> DataFrame:
     """
 
     def windows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for h, r1, r2, n, text in zip(*(batch.column(c).to_pylist() for c in ("h", "r1", "r2", "n", "bytes")), strict=True):
                 for x in range(len(text) - length + 1):
@@ -313,7 +313,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     need = todo.groupBy("doc_id").agg(F.collect_list(F.struct("h", "r1", "r2", "n", "kinds", "sig", "b", "e")).alias("want"))
 
     def fetch(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text, want in zip(rows_of(batch, "t"), batch.column("want").to_pylist(), strict=True):
                 own = xxhash.xxh32_intdigest(text) - (1 << 31)
@@ -352,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     extra = ["carried"] if carry else []
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             total, gone, spans, kept = [], [], [], []
             for text, hits in zip(rows_of(batch, "t"), batch.column("hits").to_pylist(), strict=True):
                 own = xxhash.xxh32_intdigest(text) - (1 << 31) if hits else 0

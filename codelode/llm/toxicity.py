@@ -10,6 +10,7 @@ chosen by a hash of doc_id (a documented bound); scoring is one narrow pass over
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 12_000
+MAX_ROWS = 6_000
 MAX_FEATURES = 20_000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -34,7 +35,8 @@ IDENTITY_GROUPS = (
     ("femmes", "hommes"), ("frauen", "männer"), ("mujeres", "hombres"),
 )
 GROUP_OF = {term: group for group in IDENTITY_GROUPS for term in group}
-_WORD_CACHE = 200_000
+_WORD_CACHE = 100_000
+_KNOWN: dict = {}
 LOG = np.log2(1 + np.arange(1 << 14)).tolist()
 
 
@@ -47,14 +49,6 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def swapped(words: set[str]):
-    """Each counterfactual of a set of words: one identity term replaced by another of its group."""
-    for term in sorted(words & GROUP_OF.keys()):
-        for other in GROUP_OF[term]:
-            if other != term:
-                yield (words - {term}) | {other}
-
-
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -69,45 +63,61 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -500, 500))))
 
 
-def fit(texts: list[str | None], y: list[int], fairness: float = 1.0, sparsity: float = 4e-4, max_features: int = MAX_FEATURES, steps: int = 600) -> Model:
+def fit(texts: Iterable[str | None], y: list[int], fairness: float = 1.0, sparsity: float = 4e-4, max_features: int = MAX_FEATURES, steps: int = 600) -> Model:
     """Accelerated proximal gradient. Without both classes the score is the share of label 1."""
     share = (sum(y) + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
     if len(set(y)) < 2:
         return Model({}, prior)
-    docs = [words_of(t) for t in texts]
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for words, label in zip(docs, y, strict=True):
-        seen[label].update({f for w in words for f in features_of(w)})
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words_of(t))], np.int32) for t in texts]
+    for term in GROUP_OF:
+        vocabulary.setdefault(term, len(vocabulary))
+    features: dict[str, int] = {}
+    of_word = np.full((len(vocabulary), 1 + len(PREFIXES)), -1, np.int32)
+    for w, i in vocabulary.items():
+        for k, f in enumerate(features_of(w)):
+            of_word[i, k] = features.setdefault(f, len(features))
+    seen = np.zeros((2, len(features)))
+    for d, label in zip(docs, y, strict=True):
+        own = np.unique(of_word[d])
+        seen[label, own[own >= 0]] += 1
     pos, n = sum(y), len(y)
-
-    def worth(f: str) -> float:
-        """Two-sided z of the feature's share among label 1 against label 0."""
-        a, b = seen[1][f], seen[0][f]
-        p = (a + b) / n
-        return abs(a / pos - b / (n - pos)) / np.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)) + 1e-12)
-
-    common = [f for f in seen[1].keys() | seen[0].keys() if seen[1][f] + seen[0][f] >= 3]
-    names = sorted(sorted(common, key=lambda f: (-worth(f), f))[:max_features])
-    at = {f: i for i, f in enumerate(names)}
-
-    def row(words: set[str]) -> dict[int, float]:
-        found = Counter(at[f] for w in words for f in features_of(w) if f in at)
-        return {i: LOG[min(c, len(LOG) - 1)] for i, c in sorted(found.items())}
-
-    rows = [row(w) for w in docs]
-    cols = np.array([i for r in rows for i in r], np.int64)
-    vals = np.array([x for r in rows for x in r.values()])
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
-    change_of, change_cols, change_vals, pairs = [], [], [], 0
-    for words, a in zip(docs, rows, strict=True):
-        for other in swapped(words):
-            b = row(other)
-            diff = {i: a.get(i, 0.0) - b.get(i, 0.0) for i in sorted(a.keys() | b.keys()) if a.get(i) != b.get(i)}
-            change_of += [pairs] * len(diff)
-            change_cols += diff.keys()
-            change_vals += diff.values()
-            pairs += 1
+    # two-sided z of a feature's share among label 1 against label 0 picks the features
+    p = seen.sum(axis=0) / n
+    z = np.abs(seen[1] / pos - seen[0] / (n - pos)) / np.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)) + 1e-12)
+    common = np.flatnonzero(seen.sum(axis=0) >= 3)
+    kept = np.sort(common[np.lexsort((common, -z[common]))][:max_features])
+    at = np.full(len(features), -1, np.int64)
+    at[kept] = np.arange(kept.size)
+    names = [f for f, i in features.items() if at[i] >= 0]
+    logs = np.array(LOG)
+
+    def row(words: np.ndarray) -> dict[int, float]:
+        own = of_word[words].ravel()
+        own = at[own[own >= 0]]
+        u, c = np.unique(own[own >= 0], return_counts=True)
+        return dict(zip(u.tolist(), logs[np.minimum(c, len(LOG) - 1)].tolist()))
+
+    cols, vals, size_of, change_of, change_cols, change_vals, pairs = [], [], [], [], [], [], 0
+    terms = {vocabulary[t]: t for t in GROUP_OF}
+    for d in docs:
+        a = row(d)
+        cols.append(np.fromiter(a.keys(), np.int64, len(a)))
+        vals.append(np.fromiter(a.values(), np.float64, len(a)))
+        size_of.append(len(a))
+        for i in d.tolist():
+            for other in GROUP_OF[terms[i]] if i in terms else ():
+                if other == terms[i]:
+                    continue
+                b = row(np.union1d(d[d != i], [vocabulary[other]]).astype(np.int32))
+                diff = {k: a.get(k, 0.0) - b.get(k, 0.0) for k in sorted(a.keys() | b.keys()) if a.get(k) != b.get(k)}
+                change_of += [pairs] * len(diff)
+                change_cols += diff.keys()
+                change_vals += diff.values()
+                pairs += 1
+    del docs
+    cols, vals, of = np.concatenate(cols), np.concatenate(vals), np.repeat(np.arange(n), size_of)
     dof, dcol, dval = np.array(change_of, np.int64), np.array(change_cols, np.int64), np.array(change_vals)
     label = np.array(y, np.float64)
     size = len(names)
@@ -158,8 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
     if total > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.text or ""))
-    return fit([r.text for r in got], [int(r.toxic > 0) for r in got], **options) if got else Model()
+    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts, y = got.column("text"), [int(t > 0) for t in got.column("toxic").to_pylist()]
+    return fit((t.as_py() for t in texts), y, **options) if y else Model()
 
 
 def scorer(docs: DataFrame, model: Model):
@@ -188,10 +199,10 @@ def scorer(docs: DataFrame, model: Model):
 
 
 def _active_features(model: Model) -> dict[str, tuple[str, ...]]:
-    """A worker's memory of which features of a word have weight, kept with the model."""
-    if not hasattr(model, "_known"):
-        model._known = {}
-    return model._known
+    """A worker's memory of which features of a word have weight, for the model in use."""
+    if _KNOWN.get("model") is not model:
+        _KNOWN.update(model=model, words={})
+    return _KNOWN["words"]
 
 
 def score_all(docs: DataFrame, model: Model) -> DataFrame:
