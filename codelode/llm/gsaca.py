@@ -18,23 +18,21 @@ import numpy as np
 def suffix_array(text: bytes) -> list[int]:
     """Starts of the suffixes of text in ascending order (the empty suffix left out)."""
     n = len(text) + 1
-    members: list[dict[int, None]] = []
-    group, lower, upper = [0] * n, [], []
-    by_symbol: dict[int, dict[int, None]] = {}
-    for i, c in enumerate(text):
-        by_symbol.setdefault(c + 1, {})[i] = None
-    by_symbol[0] = {n - 1: None}
-    for g, c in enumerate(sorted(by_symbol)):
-        members.append(by_symbol[c])
-        lower.append(g - 1)
-        upper.append(g + 1)
-        for i in by_symbol[c]:
-            group[i] = g
-    upper[-1] = -1
-    done, prev = bytearray(n), [-1] * n
-    at = len(members) - 1
-    while at > 0:
-        mine = sorted(members[at])
+    symbol = [c + 1 for c in text]
+    symbol.append(0)
+    sa = sorted(range(n), key=symbol.__getitem__)
+    pos, isa, end = [0] * n, [0] * n, [0] * n
+    start = last = -1
+    for k, i in enumerate(sa):
+        if symbol[i] != last:
+            last, start = symbol[i], k
+        pos[i], isa[i] = k, start
+        end[start] = k
+    del symbol
+    done, prev, top = bytearray(n), [-1] * n, n - 1
+    while top > 0:
+        low = isa[sa[top]]
+        mine = sorted(sa[low : top + 1])
         for i in mine:
             done[i] = 1
         pulls: dict[int, int] = {}
@@ -45,42 +43,34 @@ def suffix_array(text: bytes) -> list[int]:
             prev[i] = p
             if p >= 0:
                 pulls[p] = pulls.get(p, 0) + 1
-        touched: dict[int, list[tuple[int, int]]] = {}
-        for p, count in pulls.items():
-            touched.setdefault(group[p], []).append((count, p))
-        for g, moved in touched.items():
-            moved.sort()
-            if len(moved) == len(members[g]) and moved[0][0] == moved[-1][0]:
-                continue
-            own, under, last = members[g], g, moved[0][0] if len(moved) == len(members[g]) else -1
-            for count, p in moved:
-                if count == last and under == g:
-                    continue  # all of the group moves: its lowest part keeps the group's place
-                if count != last:
-                    last, new = count, len(members)
-                    members.append({})
-                    lower.append(under)
-                    upper.append(upper[under])
-                    if upper[under] >= 0:
-                        lower[upper[under]] = new
-                    upper[under] = under = new
-                del own[p]
-                members[under][p] = None
-                group[p] = under
-        at = lower[at]
-    start, at, k = [0] * len(members), 0, 0
-    while at >= 0:
-        start[at] = k
-        k += len(members[at])
-        at = upper[at]
-    order, placed = [0] * n, bytearray(n)
+        top = low - 1
+        # from the last slot of each group downwards, those with most pointers first
+        group = count = slot = -1
+        for g, c, p in sorted(((isa[p], c, p) for p, c in pulls.items()), reverse=True):
+            if g != group:
+                group, count, slot = g, -1, end[g]
+            if c != count:
+                count, last = c, slot
+            other, where = sa[slot], pos[p]
+            sa[where], pos[other] = other, where
+            sa[slot], pos[p] = p, slot
+            slot -= 1
+            end[slot + 1] = last
+            if slot >= g:
+                end[g] = slot
+        group = count = start = -1
+        for g, c, p in sorted((isa[p], c, pos[p]) for p, c in pulls.items()):
+            if g != group or c != count:
+                group, count, start = g, c, p
+            isa[sa[p]] = start
+    order, nxt, placed = [0] * n, list(range(n)), bytearray(n)
     order[0], placed[n - 1] = n - 1, 1
     for k in range(n):
         j = order[k] - 1
         while j >= 0 and not placed[j]:
-            g = group[j]
-            order[start[g]] = j
-            start[g] += 1
+            g = isa[j]
+            order[nxt[g]] = j
+            nxt[g] += 1
             placed[j] = 1
             j = prev[j]
     return order[1:]

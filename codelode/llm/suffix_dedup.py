@@ -29,9 +29,9 @@ LENGTH = 200
 GRAM = 32
 BLOCK = 4 << 20  # windows of a text hashed at once
 RUN = 512  # windows in a region at most
-REGIONS = 2000  # distinct regions of a hash that one task takes
-BATCH_BYTES = 2 << 20
-ROUND, STEP, PLAIN = 85.0, 0.3, 2.5  # microseconds a round, a byte in lockstep and a byte in plain Python
+REGIONS = 1000  # distinct regions of a hash that one task takes
+BATCH_BYTES = 1 << 20
+ROUND, STEP, PLAIN = 85.0, 0.3, 3.0  # microseconds a round, a byte in lockstep and a byte in plain Python
 
 
 def gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
