@@ -29,7 +29,7 @@ LENGTH = 200
 GRAM = 32
 BLOCK = 4 << 20  # windows of a text hashed at once
 RUN = 512  # windows in a region at most
-REGIONS = 1000  # distinct regions of a hash that one task takes
+REGIONS = 6000  # distinct regions of a hash that one task takes: about 1.8 MB, 320 MB as a plain suffix array at worst
 BATCH_BYTES = 1 << 20
 ROUND, STEP, PLAIN = 85.0, 0.3, 3.0  # microseconds a round, a byte in lockstep and a byte in plain Python
 
@@ -264,7 +264,7 @@ def _spread(wanted: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["h", "r1", "r2", "n", "x", "w1", "w2"])
 
-    w = wanted.mapInArrow(windows, "h long, r1 long, r2 long, n long, x long, w1 long, w2 long")
+    w = wanted.repartition("h", "r1", "r2").mapInArrow(windows, "h long, r1 long, r2 long, n long, x long, w1 long, w2 long")
     shared = w.groupBy("h", "w1", "w2").agg(F.sum("n").alias("c")).where("c > 1")
     hit = w.join(shared, ["h", "w1", "w2"]).groupBy("h", "r1", "r2").agg(F.collect_set("x").alias("xs"))
     return hit.select("h", "r1", "r2", F.flatten(F.transform("xs", lambda x: F.array(x, x + 1))).alias("runs"))
