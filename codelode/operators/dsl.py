@@ -6,8 +6,9 @@ from collections import Counter
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 MAX_DIFFS = 50
 PREFIXES = ("U", "A", "F", "")
@@ -207,10 +208,9 @@ def equivalent(a: str, b: str, ignore: tuple[str, ...] = ()) -> list[tuple[str,
     return differences(left, right)
 
 
-@F.udf("int")
-def n_differences(a, b):
-    """How many differences two texts have."""
-    return len(equivalent(a or "", b or ""))
+def n_differences(a: str, b: str) -> Column:
+    """A column: how many differences the texts of two columns have."""
+    return F.udf(lambda x, y: len(equivalent(x or "", y or "")), IntegerType())(a, b)
 
 
 def link_classes(nodes: DataFrame, schema: DataFrame, symbols: DataFrame) -> DataFrame:

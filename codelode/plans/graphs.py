@@ -92,7 +92,8 @@ def scc_cycles(spark, d):
     return graph.strong_components(e).drop("slice")
 
 
-UNDIRECTED = RING + """, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM ring GROUP BY 1, 2),
+SPARSE = RING.replace("% 17 = 5", "% 29 = 5")
+UNDIRECTED = SPARSE + """, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM ring GROUP BY 1, 2),
 adj AS (SELECT a AS s, b AS t, a, b FROM u UNION ALL SELECT b, a, a, b FROM u)"""
 
 
@@ -101,7 +102,7 @@ adj AS (SELECT a AS s, b AS t, a, b FROM u UNION ALL SELECT b, a, a, b FROM u)""
 SELECT a, b FROM u WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = u.a AND r.b = u.b AND r.cur = u.b)"""
 )
 def bridges(spark, d):
-    return graph.bridges(views.ring(spark, d).withColumn("slice", F.lit(1).cast("long"))).drop("slice")
+    return graph.bridges(views.ring(spark, d, 29).withColumn("slice", F.lit(1).cast("long"))).drop("slice")
 
 
 @query(
@@ -110,7 +111,7 @@ r(x, cur) AS (SELECT x, first FROM near UNION SELECT r.x, adj.t FROM r JOIN adj
 SELECT DISTINCT adj.s AS id FROM adj WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = adj.s AND r.cur = adj.t)"""
 )
 def cut_nodes(spark, d):
-    return graph.cut_nodes(views.ring(spark, d).withColumn("slice", F.lit(1).cast("long"))).drop("slice")
+    return graph.cut_nodes(views.ring(spark, d, 29).withColumn("slice", F.lit(1).cast("long"))).drop("slice")
 
 
 @query(
@@ -121,7 +122,7 @@ o AS (SELECT list_sort(list(ca)) AS al FROM c), g AS (SELECT greatest(2, al[CAST
 SELECT CAST(c.id AS BIGINT) AS id, ca + ce AS deg, ca AS fan_in, ce AS fan_out, c.id IN (SELECT id FROM k) OR ca >= gate AS hub FROM c, g"""
 )
 def importance_hubs(spark, d):
-    e = views.ring(spark, d)
+    e = views.ring(spark, d, 29)
     cuts = graph.cut_nodes(e.withColumn("slice", F.lit(1).cast("long")))
     return graph.hubs(views.nations(spark, d), e, cuts)
 

@@ -298,3 +298,26 @@ def meta_upsert(spark, d):
     rows = docs.select(F.col("source").alias("key"), F.col("lang").alias("value"), "doc_id").join(last.withColumnRenamed("source", "key"), "key")
     old = rows.where("doc_id <> m").groupBy("key").agg(F.max_by("value", "doc_id").alias("value"))
     return store.upsert_meta(old, rows.where("doc_id = m").select("key", "value"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 <> doc_id % 2 THEN 1 ELSE 0 END AS n FROM documents")
+def dsl_equiv(spark, d):
+    from codelode.operators import dsl
+
+    docs = views.read(spark, d, "documents")
+    a = F.concat(F.lit("(m :k "), (F.col("doc_id") % 3).cast("string"), F.lit(" :j 2.0 (x y)) ; left"))
+    b = F.concat(F.lit("(m :j 4/2 (x y) :k "), (F.col("doc_id") % 2).cast("string"), F.lit(")"))
+    return docs.select(F.col("doc_id").alias("id"), a.alias("a"), b.alias("b")).select("id", dsl.n_differences("a", "b").alias("n"))
+
+
+@query(
+    """SELECT doc_id AS id, 'dangling-ref' AS code, 1 AS line FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id, 'duplicate-id', 1 FROM documents WHERE doc_id % 4 = 2 UNION ALL SELECT doc_id, 'unclosed-list', 1 FROM documents WHERE doc_id % 4 = 3"""
+)
+def dsl_validate(spark, d):
+    from codelode.operators import dsl
+
+    docs = views.read(spark, d, "documents")
+    tail = F.element_at(F.array(*map(F.lit, ("(ref a))", "(ref z))", ") (node a add)", "(ref a)"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    text_ = F.concat(F.lit("(material m) (outputs o) (node a add) (node b add "), tail)
+    return dsl.validate_files(docs.select(F.col("doc_id").alias("id"), text_.alias("content")), "matlang").select("id", "code", F.col("line").cast("int").alias("line"))

@@ -82,11 +82,11 @@ TRADE = """trade AS (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
-def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ring(spark: SparkSession, sf_dir: str, thin: int = 17) -> DataFrame:
     """A sparse graph on nations whose shape does not depend on the scale."""
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     a, b = n.select(F.col("k").alias("src")), n.select(F.col("k").alias("dst"))
-    return a.join(b, ((F.col("src") * 7 + F.col("dst") * 3) % 17 == 5) & (F.col("src") != F.col("dst")))
+    return a.join(b, ((F.col("src") * 7 + F.col("dst") * 3) % thin == 5) & (F.col("src") != F.col("dst")))
 
 
 RING = """ring AS (SELECT CAST(a.n_nationkey AS BIGINT) AS src, CAST(b.n_nationkey AS BIGINT) AS dst FROM nation a, nation b
