@@ -21,7 +21,7 @@ from codelode.llm.common import remove, slices, table
 
 CAPACITY = 2048
 GROUP, GROUP_CHARS = 512, 4 << 20  # texts encoded together, and their characters
-CACHE = 200_000  # chunks in a generation of a worker's memory, about 40 MB
+CACHE = 400_000  # chunks in a generation of a worker's memory, about 80 MB
 _TOKENIZERS: dict[str, "WordTokenizer"] = {}
 
 
@@ -35,7 +35,7 @@ class WordTokenizer:
     bounded and keeps what is in use.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
@@ -49,6 +49,7 @@ class WordTokenizer:
         self.ends = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.cache = cache
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
@@ -119,7 +120,7 @@ class WordTokenizer:
         chunks = pc.split_pattern(pa.array(clean, pa.large_string()), " ")
         coded = chunks.flatten().dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > CACHE:
+        if len(self.known) > self.cache:
             self.known, self.old = {"": b""}, self.known
         ids = list(map(self.known.get, words))
         missing = [i for i, x in enumerate(ids) if x is None]
@@ -155,11 +156,12 @@ def parcels(texts: list[str]):
         yield held
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids plus end_id, cut only past capacity."""
 
     def run(batches):
         tok = tokenizer(tokenizer_file)
+        tok.cache = cache
         tail = np.asarray([end_id], dtype="<u4").tobytes()
         for b in slices(batches):
             names = b.column("doc_id").to_pylist()
@@ -260,13 +262,14 @@ def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Pack all documents: one row per piece with its place.
 
     Null and empty texts are one piece holding only the end id. Null ids and repeated rows are packed like any
-    row. Only doc_id and text are read. An empty table gives an empty result. with_ids keeps each piece's ids.
+    row. Only doc_id and text are read. An empty table gives an empty result. with_ids keeps each piece's ids;
+    cache bounds the chunks a worker remembers (two generations of it).
     """
-    parts, _ = table(pieces(docs, tokenizer_file, capacity, with_ids=with_ids), "pieces")
+    parts, _ = table(pieces(docs, tokenizer_file, capacity, with_ids=with_ids, cache=cache), "pieces")
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
     return place(parts, capacity).select(*out)
 

@@ -45,7 +45,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of at most 2048 tokens."""
     import public_tokenizers as tok
 
-    return packing.pack(docs, tok.path("word_bpe_49k.json"))
+    # the workers of earlier stages are still alive here, so they get half the memory of chunks
+    return packing.pack(docs, tok.path("word_bpe_49k.json"), cache=packing.CACHE // 2)
 
 
 STAGES = [
