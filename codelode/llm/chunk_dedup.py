@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +102,14 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, d1 long, d2 long")
 
 
+def digest_lists(column: pa.ListArray) -> list[bytes]:
+    """Each list of (d1, d2) structs as its 16-byte digests end to end; null as empty."""
+    d1, d2 = column.flatten().flatten()
+    data = np.column_stack([d1.to_numpy(), d2.to_numpy()]).astype("<i8").tobytes()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()) * 16
+    return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
 def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, n_bytes, n_chunks, n_redundant, n_removed, n_spans, kept binary) for every row of docs(doc_id, text).
 
@@ -117,8 +126,8 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     def run(batches):
         for b in slices(batches):
             rows = []
-            for name, text, gone in zip(b.column("doc_id").to_pylist(), rows_of(b, "t"), b.column("lost").to_pylist(), strict=True):
-                drop = {np.array([x["d1"], x["d2"]], "<i8").tobytes() for x in gone or ()}
+            for name, text, gone in zip(b.column("doc_id").to_pylist(), rows_of(b, "t"), digest_lists(b.column("lost")), strict=True):
+                drop = {gone[k : k + 16] for k in range(0, len(gone), 16)}
                 at, spans, redundant, run_from = 0, [], 0, None
                 ends, digests = chunks(text)
                 for e, d in zip([*ends, None], [*digests, None]):

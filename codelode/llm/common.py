@@ -53,11 +53,19 @@ def ascii_lower(col) -> F.Column:
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches in smaller parts, so that a worker holds Python objects of few rows; gives unused memory back."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few rows and, but for single rows, of at most ``most`` bytes; gives unused memory back.
+
+    A worker holds the Python objects of one part, which long texts and long lists would swell at any row count.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > most:
+                n = -(-n // 2)
+            yield batch.slice(at, n)
+            at += n
         pa.default_memory_pool().release_unused()
 
 
