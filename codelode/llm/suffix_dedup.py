@@ -4,8 +4,8 @@ Every length-byte window of a text selects the smallest of its k-gram hashes. Eq
 hashes, so only windows whose hash is selected twice can repeat. Runs of windows that select one hash are
 regions; equal regions collapse to one with a count. The distinct regions of a hash are joined and their suffix
 array (see gsaca) puts equal windows next to each other, where they are compared byte by byte. No text is
-compared outside a hash, and no hash needs more than its distinct regions in one task; a hash with very many of
-them is split by window digests instead (see ``_spread``).
+compared outside a hash, and no hash needs more than its distinct regions in one task; a hash with many of them
+is split first: the windows of its regions select anew by another hash, level by level (see ``_split``).
 
 Texts are stored once, bucketed by doc_id, so that reading regions and cutting spans moves no text again.
 """
@@ -29,13 +29,14 @@ LENGTH = 200
 GRAM = 32
 BLOCK = 4 << 20  # windows of a text hashed at once
 RUN = 512  # windows in a region at most
-REGIONS = 6000  # distinct regions of a hash that one task takes: about 1.8 MB, 320 MB as a plain suffix array at worst
+REGIONS = 1000  # distinct regions of a hash that one suffix array takes: 0.7 MB at most
+LEVELS = 4  # times a group of regions is split by a further hash before its windows are counted by digest
 BATCH_BYTES = 1 << 20
 ROUND, STEP, PLAIN = 85.0, 0.3, 3.0  # microseconds a round, a byte in lockstep and a byte in plain Python
 
 
-def gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed 64-bit polynomial hash of each gram-byte string (gram a power of two) of the bytes a."""
+def gram_hashes(a: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
+    """A mixed 64-bit polynomial hash of each gram-byte string (gram a power of two) of the bytes a; seeds order them anew."""
     h, factor, span = a.astype(np.uint64) + np.uint64(1), 0x100000001B3, 1
     while span < gram:
         h = h[: h.size - span] * np.uint64(factor) + h[span:]
@@ -43,6 +44,12 @@ def gram_hashes(a: np.ndarray, gram: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
+    if seed:
+        h ^= np.uint64(seed * 0xD6E8FEB86659FD93 % 2**64)
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
     return h
 
 
@@ -55,7 +62,7 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[:n], v[width - span : width - span + n])
 
 
-def regions(text: bytes, length: int = LENGTH, gram: int = GRAM):
+def regions(text: bytes, length: int = LENGTH, gram: int = GRAM, seed: int = 0):
     """Runs of windows that select one hash: (first window, end, hash, weight) arrays.
 
     Weight 2 marks runs in which the hash stands at two places or more, whose windows may equal each other.
@@ -64,7 +71,7 @@ def regions(text: bytes, length: int = LENGTH, gram: int = GRAM):
     width = length - gram + 1
     for at in range(0, len(text) - length + 1, BLOCK):
         a = np.frombuffer(text, np.uint8)[at : at + BLOCK + length - 1]
-        h = gram_hashes(a, gram)
+        h = gram_hashes(a, gram, seed)
         low = _sliding_min(h, width)
         cut = np.r_[True, low[1:] != low[:-1]]
         b = np.flatnonzero(cut)
@@ -249,9 +256,9 @@ def _region_rows(stored: DataFrame, length: int) -> DataFrame:
 
 
 def _spread(wanted: DataFrame, length: int) -> DataFrame:
-    """(h, r1, r2, runs) for hashes with more distinct regions than a task takes: windows are counted by digest.
+    """(h, r1, r2, runs) for hashes that no level has split far enough: windows are counted by digest.
 
-    The exact way for hot hashes. Equal windows of a hash have equal digests; the counts are partial sums.
+    Equal windows of a hash have equal digests; the counts are partial sums.
     """
 
     def windows(batches):
@@ -291,6 +298,58 @@ def _by_suffix_array(wanted: DataFrame, length: int, width: int) -> DataFrame:
     return wanted.repartition(width, "h").sortWithinPartitions("h", "r1", "r2").mapInArrow(run, "h long, r1 long, r2 long, runs array<long>")
 
 
+def _split(groups: DataFrame, length: int, gram: int, most: int, width: int, level: int) -> DataFrame:
+    """(h, r1, r2, runs) for hashes with more distinct regions than a suffix array takes.
+
+    The windows of every region select the smallest of their k-gram hashes under this level's seed, so equal windows
+    of a hash select equal hashes again. A region comes apart into one part or a few; equal parts collapse to one
+    with a count, a hash selected once leaves no question, and the groups of parts are solved as regions are.
+    """
+
+    def cut(batches):
+        for batch in slices(batches):
+            rows = []
+            for h, r1, r2, n, text in zip(*(batch.column(c).to_pylist() for c in ("h", "r1", "r2", "n", "bytes")), strict=True):
+                for b, e, v, w in zip(*(x.tolist() for x in regions(text, length, gram, level))):
+                    k = (h * 0x9E3779B97F4A7C15 + v) % 2**64 - 2**63
+                    part = text[b : e + length - 1]
+                    d = np.frombuffer(xxhash.xxh3_128_digest(part), "<i8").tolist()
+                    rows.append((h, r1, r2, b, k, d[0], d[1], n, n * w, part))
+            if rows:
+                kinds = [pa.int64()] * 9 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["h", "r1", "r2", "x", "k", "p1", "p2", "n", "w", "bytes"])
+
+    made = groups.mapInArrow(cut, "h long, r1 long, r2 long, x long, k long, p1 long, p2 long, n long, w long, bytes binary")
+    made, _ = table(made, f"parts-{level}")
+    parts = made.groupBy("k", "p1", "p2").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.first("bytes").alias("bytes"))
+    parts, _ = table(parts, f"distinct-parts-{level}")
+    per = parts.groupBy("k").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.sum("w").alias("c")).where("least = 1 AND c > 1")
+    todo = parts.join(per.select("k", "kinds"), "k").select(F.col("k").alias("h"), F.col("p1").alias("r1"), F.col("p2").alias("r2"), "n", "kinds", "bytes")
+    todo, _ = table(todo, f"open-parts-{level}")
+    count, kinds = todo.agg(F.count("*"), F.coalesce(F.max("kinds"), F.lit(0))).first()
+    solved = _solve(todo, count, kinds, length, gram, most, width, level + 1)
+    solved = solved.select(F.col("h").alias("k"), F.col("r1").alias("p1"), F.col("r2").alias("p2"), "runs").where(F.size("runs") > 0)
+    whole = F.array(F.lit(0).cast("long"), (F.octet_length("bytes") - length + 1).cast("long"))
+    full = parts.where("n > 1").select("k", "p1", "p2", whole.alias("runs"))
+    known = full.unionByName(solved.join(full.select("k", "p1", "p2"), ["k", "p1", "p2"], "left_anti"))
+    hit = made.select("h", "r1", "r2", "x", "k", "p1", "p2").join(known, ["k", "p1", "p2"])
+    hit = hit.withColumn("runs", F.transform("runs", lambda r: r + F.col("x")))
+    return hit.groupBy("h", "r1", "r2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def _solve(wanted: DataFrame, count: int, kinds: int, length: int, gram: int, most: int, width: int, level: int) -> DataFrame:
+    """(h, r1, r2, runs) for wanted(h, r1, r2, n, kinds, bytes), which has count rows and at most kinds to a hash.
+
+    Regions that no further hash tells apart are counted by window digest: the exact way out of the last level.
+    """
+    solved = _by_suffix_array(wanted.where(F.col("kinds") <= most), length, max(width, count // 20_000))
+    if kinds > most:
+        hot = wanted.where(F.col("kinds") > most).dropDuplicates(["h", "r1", "r2"])
+        more = _spread(hot, length) if level > LEVELS else _split(hot, length, gram, most, width, level)
+        solved = solved.unionByName(more)
+    return solved
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = REGIONS) -> DataFrame:
     """docs(doc_id, t, ...) as stored, with ``hits``: where its repeated windows are, by region."""
     spark = docs.sparkSession
@@ -323,10 +382,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
     wanted = stored.select("doc_id", "t").join(need, "doc_id").mapInArrow(fetch, "h long, r1 long, r2 long, n long, kinds long, bytes binary")
     count, kinds = todo.agg(F.count("*"), F.coalesce(F.max("kinds"), F.lit(0))).first()
-    solved = _by_suffix_array(wanted.where(F.col("kinds") <= most), length, max(width, count // 20_000))
-    if kinds > most:
-        solved = solved.unionByName(_spread(wanted.where(F.col("kinds") > most).dropDuplicates(["h", "r1", "r2"]), length))
-    solved, _ = table(solved.where(F.size("runs") > 0), "solved-regions")
+    solved, _ = table(_solve(wanted, count, kinds, length, gram, most, width, 1).where(F.size("runs") > 0), "solved-regions")
     # regions that stand twice repeat whole, whether their hash was looked at or not
     full = distinct.where("rows > 1").select("h", "r1", "r2", F.lit(None).cast("array<long>").alias("runs"))
     known = full.unionByName(solved.join(full.select("h", "r1", "r2"), ["h", "r1", "r2"], "left_anti"))

@@ -216,8 +216,9 @@ def test_gsaca():
     assert [(starts[b + 1 : b + 1 + len(t)] - b).tolist() for t, b in zip(many, base)] == want
 
 
-@pytest.mark.parametrize("most", [1, 6000])
-def test_op8_brute_force(spark, texts, most):
+@pytest.mark.parametrize("most, levels", [(1, 0), (1, 2), (3, 4), (1000, 4)])
+def test_op8_brute_force(spark, texts, most, levels, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LEVELS", levels)
     rng = random.Random(6)
     passage = "".join(rng.choices("abcdefgh ", k=450))
     made = ["".join(rng.choices("abcdefgh ", k=rng.randrange(0, 700))) for _ in range(25)]
