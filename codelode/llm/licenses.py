@@ -1,8 +1,9 @@
 """License scans by sentence rules.
 
-A text is split into sentences, each normalised sentence is looked up among known licence sentences, and the
-sequence of identifiers found is matched against an ordered list of licence rules: at each place the first rule
-that fits wins and its sentences are used up. At most MAX_GAP unknown sentences may stand between two of a rule.
+A text is split at sentence ends and line ends, without the comment markers its lines begin with. A run of pieces
+that normalises to a known licence sentence is that sentence, and the sequence of identifiers found is matched
+against an ordered list of licence rules: at each place the first rule that fits wins and its sentences are used
+up. At most MAX_GAP unknown sentences may stand between two of a rule.
 """
 
 from __future__ import annotations
@@ -97,6 +98,8 @@ RULES = (
 )
 
 SENTENCE = re.compile(r"\S(?:[^.!?:;\n]|[.!?:;](?!\s|$)|\n(?!\s*\n))*[.!?:;]*")
+# what a line of a comment begins with, and what ends a comment
+MARKERS = re.compile(r"^[ \t]*(?:<!--|/\*+|\*+/?|//[/!]*|#+|--+>?|;+|%+|!+|>+|\.\\\"|(?:@?rem|dnl|c)(?=[ \t\r]|$)|::)|(?:\*/|-->)(?=[ \t\r]*$)", re.I | re.M)
 _OTHER = re.compile(r"[^a-z0-9.+]+")
 
 
@@ -106,29 +109,51 @@ def normalise(sentence: str) -> str:
 
 
 KNOWN = {normalise(s): name for name, forms in SENTENCES.items() for s in forms}
+BEGINNINGS = {" ".join(w[:n]) for w in map(str.split, KNOWN) for n in range(1, len(w))}
 # every known sentence has one of these words, so a text without them needs no splitting
 TRIGGERS = ("licen", "permission", "permitted", "rights", "redistribut", "warranty", "endorse", "released", "copy")
 
 
+def pieces(text: str) -> list[tuple[int, int, int, int, str]]:
+    """(paragraph, number of the sentence, start, end, normalised) of the lines of every sentence, without empty ones."""
+    plain = MARKERS.sub(lambda m: " " * len(m[0]), text)
+    out, paragraph, end = [], 0, 0
+    for k, m in enumerate(SENTENCE.finditer(plain)):
+        paragraph += plain.count("\n", end, m.start()) > 1
+        at, end = m.start(), m.end()
+        for line in m[0].split("\n"):
+            if words := normalise(line):
+                out.append((paragraph, k, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), words))
+            at += len(line) + 1
+    return out
+
+
 def sentence_ids(text: str) -> list[tuple[int, int, int, str]]:
     """(number of the sentence, start, end, identifier) of the known sentences of text, in order.
 
-    A sentence may run over line ends; if it is unknown, each of its lines is looked up instead.
+    A known sentence begins and ends at a line's or a sentence's end and stays in its paragraph. The longest run of
+    lines of one sentence is taken; if none is known, the run goes on over sentence ends and counts as one sentence.
     """
     low = text.lower()
     if not any(t in low for t in TRIGGERS):
         return []
-    out = []
-    for k, m in enumerate(SENTENCE.finditer(text)):
-        name = KNOWN.get(normalise(m[0])) if len(m[0]) < 2000 else None
-        if name:
-            out.append((k, m.start(), m.end(), name))
-        elif "\n" in m[0]:
-            at = m.start()
-            for line in m[0].split("\n"):
-                if name := KNOWN.get(normalise(line)):
-                    out.append((k, at, at + len(line), name))
-                at += len(line) + 1
+    parts, out, i, joined = pieces(text), [], 0, 0
+    while i < len(parts):
+        paragraph, k, start, _, words = parts[i]
+        j, last = i, None
+        while True:
+            if words in KNOWN:
+                last, name = j, KNOWN[words]
+            j += 1
+            if words not in BEGINNINGS or j == len(parts) or parts[j][0] != paragraph or (last is not None and parts[j][1] != k):
+                break
+            words += " " + parts[j][4]
+        if last is None:
+            i += 1
+        else:
+            out.append((k - joined, start, parts[last][3], name))
+            joined += parts[last][1] - k
+            i = last + 1
     return out
 
 
@@ -153,7 +178,7 @@ def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
 
     licenses and sentences are comma-joined, the former distinct and sorted, the latter in order; offsets count
     characters. Null and empty texts match nothing; null ids and repeated rows pass through; other columns are
-    not read; an empty table gives no rows. Sentences of 2000 characters and more are looked up line by line.
+    not read; an empty table gives no rows.
     """
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

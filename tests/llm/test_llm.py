@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import re
 import zlib
 
@@ -179,6 +180,31 @@ def test_op6_rules(spark):
         assert all(any(t in f.lower() for t in licenses.TRIGGERS) for f in forms)
 
 
+def test_op6_finds_every_form(spark):
+    """Plain, wrapped, under a title line, and as comments of several languages."""
+    ways, rows = [("", 10_000), ("", 50), *[(m, 50) for m in ("# ", "// ", " * ", ";; ", "-- ", "% ", "dnl ", "REM ", "C ", "! ")]], []
+    for name, forms in licenses.SENTENCES.items():
+        for form in forms:
+            for mark, width in ways:
+                body = textwrap.wrap(form, width, break_long_words=False, break_on_hyphens=False)
+                rows += [(name, "\n".join(mark + x for x in [*head, *body])) for head in ([], ["Copyright 2020 A. Author"], ["Copyright 2020 by the authors", ""])]
+            rows.append((name, f"/* {form} */"))
+            rows.append((name, f"<!-- {form} -->"))
+    got = {r.doc_id: r.sentences.split(",") for r in licenses.scan(frame(spark, [t for _, t in rows])).collect()}
+    assert [(t, got[k]) for k, (name, t) in enumerate(rows) if got[k] != [name] and got[k] != ["apache2-notice", "apache2-compliance"]] == []
+
+
+def test_op6_runs_of_sentences(spark):
+    form = {k: v[0] for k, v in licenses.SENTENCES.items()}
+    rows = [form["gpl-or-later"] + "\n\n" + form["gpl-warranty"], form["gpl2-or-later"] + " " + form["gpl-warranty"], form["gpl2-or-later"], form["mpl2-notice"] + " If a copy was not distributed, see below."]
+    rows += [form["gpl-or-later"].replace(": ", ":\n\n"), form["gpl-or-later"] + " A. B. C. " + form["gpl-warranty"], form["gpl-or-later"] + " A. B. C. D. " + form["gpl-warranty"]]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [got[k].licenses for k in range(len(rows))] == ["GPL-3.0-or-later", "GPL-2.0-or-later", "GPL-2.0-or-later", "MPL-2.0", "", "GPL-3.0-or-later", "GPL-3.0-or-later"]
+    spans = [[rows[k][m.start : m.end] for m in got[k].matches] for k in range(len(rows))]
+    assert spans[0] == [rows[0]] and spans[3] == [form["mpl2-notice"]]
+    assert spans[5] == [rows[5]] and spans[6] == [form["gpl-or-later"]]
+
+
 def test_op6_against_plain_lines(spark, docs, texts):
     """On the small table every licence sentence is a line of its own."""
     got = {r.doc_id: r.sentences for r in licenses.scan(docs).collect()}
