@@ -104,17 +104,35 @@ def referenced_paths(statements: DataFrame, files: DataFrame) -> DataFrame:
     """(id, path): indexed paths a statement's quoted literals name.
 
     Outer % and * are stripped; a literal that equals a path names that path alone, others every path they are in.
+    Each distinct literal is searched once, among the paths that have its rarest trigram.
     """
     quoted = statements.select("id", F.explode(F.regexp_extract_all("sql_text", F.lit("'([^']*)'"), 1)).alias("q"))
-    lits = quoted.select("id", F.regexp_replace("q", "^[%*]+|[%*]+$", "").alias("core")).where("core <> ''").distinct()
-    paths = files.select("path")
-    exact = lits.join(paths.withColumn("core", F.col("path")), "core")
-    rest = lits.join(exact.select("id", "core"), ["id", "core"], "left_anti")
-    grams = rest.where(F.length("core") >= 3).withColumn("gram", F.lower(F.substring("core", 1, 3)))
-    by_gram = paths.select("path", F.explode(text.trigrams(F.col("path"))).alias("gram"))
-    part = grams.join(by_gram, "gram").where(F.contains("path", F.col("core")))
+    lits = quoted.select("id", F.regexp_replace("q", "^[%*]+|[%*]+$", "").alias("core")).where("core <> ''")
+    said = lits.groupBy("id").agg(F.array_sort(F.collect_set("core")).alias("lits"))
+    each = said.select("lits").distinct().select("lits", F.explode("lits").alias("core"))
+    cores, paths = each.select("core").distinct(), files.select("path").distinct()
+    exact = cores.join(paths.withColumn("core", F.col("path")), "core")
+    rest = cores.join(exact.select("core"), "core", "left_anti")
+    # trigrams as written, as the search is case-sensitive
+    grams = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), 1))).alias("gram")
+    by_gram = paths.select("path", grams("path"))
+    sizes = by_gram.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = rest.select("core", grams("core")).join(sizes, "gram", "left").groupBy("core").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    part = rarest.join(by_gram, "gram").where(F.contains("path", F.col("core")))
     short = rest.where(F.length("core") < 3).join(paths, F.contains("path", F.col("core")))
-    return exact.select("id", "path").unionByName(part.select("id", "path")).unionByName(short.select("id", "path")).distinct()
+    named = exact.select("core", "path").unionByName(part.select("core", "path")).unionByName(short.select("core", "path"))
+    found = each.join(named, "core").select("lits", "path").distinct()
+    return join_in_tiles(said, found, "lits").select("id", "path")
+
+
+def join_in_tiles(left: DataFrame, right: DataFrame, key: str, rows: tuple[int, int] = (1000, 10000)) -> DataFrame:
+    """An inner join whose keys have many rows on both sides: about rows of either side meet in a group."""
+    sizes = left.groupBy(key).agg(F.ceil(F.count("*") / rows[0]).alias("_m")).join(right.groupBy(key).agg(F.ceil(F.count("*") / rows[1]).alias("_n")), key)
+    deal = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = left.join(sizes, key).select(*left.columns, deal(left, "_m").alias("_a"), all_of("_n").alias("_b"))
+    b = right.join(sizes, key).select(*right.columns, deal(right, "_n").alias("_b"), all_of("_m").alias("_a"))
+    return a.join(b, [key, "_a", "_b"]).drop("_a", "_b")
 
 
 def staged_seeds(files: DataFrame, symbols: DataFrame, seed: str, limit: int = 25) -> DataFrame:

@@ -115,11 +115,24 @@ x AS (SELECT l.id, f.path FROM l JOIN files f ON f.path = l.core)
 SELECT DISTINCT * FROM (SELECT * FROM x UNION ALL SELECT l.id, f.path FROM l JOIN files f ON contains(f.path, l.core) WHERE l.id NOT IN (SELECT id FROM x))"""
 )
 def referenced_paths(spark, d):
-    e = views.read(spark, d, "events").where("event_id < 60")
+    return search.referenced_paths(_log(views.read(spark, d, "events").where("event_id < 60")), views.files(spark, d))
+
+
+def _log(events):
+    """A statement log: a statement an event, with one quoted literal."""
     n = F.col("event_id")
     core = F.when(n % 3 == 0, F.concat(F.lit("src"), (n % 20).cast("string"), F.lit("/en"))).when(n % 3 == 1, F.concat(F.lit("doc"), (n % 900).cast("string"), F.lit("."))).otherwise(F.concat(F.lit("src1/en/doc"), (n % 900).cast("string"), F.lit(".en")))
-    log = e.select(n.alias("id"), F.concat(F.lit("SELECT * FROM files WHERE path LIKE '%"), core, F.lit("%'")).alias("sql_text"))
-    return search.referenced_paths(log, views.files(spark, d))
+    return events.select(n.alias("id"), F.concat(F.lit("SELECT * FROM files WHERE path LIKE '%"), core, F.lit("%'")).alias("sql_text"))
+
+
+@query(
+    WITH + FILES + """, l AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'src' || (event_id % 20) || '/en' WHEN event_id % 3 = 1 THEN 'doc' || (event_id % 900) || '.' ELSE 'src1/en/doc' || (event_id % 900) || '.en' END AS core FROM events),
+c AS (SELECT DISTINCT core FROM l), x AS (SELECT c.core, f.path FROM c JOIN files f ON f.path = c.core),
+n AS (SELECT * FROM x UNION SELECT c.core, f.path FROM c JOIN files f ON contains(f.path, c.core) WHERE c.core NOT IN (SELECT core FROM x))
+SELECT DISTINCT l.id, n.path FROM l JOIN n ON n.core = l.core"""
+)
+def referenced_paths_all(spark, d):
+    return search.referenced_paths(_log(views.read(spark, d, "events")), views.files(spark, d))
 
 
 WORDS = r", code AS (SELECT file_id, path, pos, regexp_replace(split_part(line, ' ', 1), '[^A-Za-z]', '', 'g') AS a, regexp_replace(split_part(line, ' ', 2), '[^A-Za-z]', '', 'g') AS b FROM lines)"

@@ -1,6 +1,9 @@
 """Operators on small fixtures."""
 
+import re
+
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from codelode.functions import paths, text
@@ -102,6 +105,37 @@ def test_trace_life(spark):
     assert trace.tag(notes, 9, "x", "y", 1).count() == 2
 
 
+def test_referenced_paths(spark):
+    """Against brute force: several literals a statement, repeats, exact, short, absent and non-ASCII ones."""
+    paths = [f"src{k % 7}/doc{k}.en" for k in range(80)] + ["src1/doc", "ab", "Src1/DOC5.en", "\u0391\u0391\u03a3\u0391/x", "src1/doc8.en"]
+    lits = [["%doc1%"], ["src1/doc8.en"], ["*doc7.*", "%src0/%"], ["ab"], ["5"], ["%%", ""], ["\u0391\u0391\u03a3"], ["DOC5"], ["none such"], ["doc1", "doc1"], ["src3", "doc3"], ["src1/doc"]]
+    log = [(k, "SELECT 1 WHERE " + " OR ".join(f"path LIKE '{x}'" for x in lits[k % len(lits)])) for k in range(600)] + [(3, "path = 'doc9.en'")]
+    want = set()
+    for k, sql in log:
+        for core in (x.strip("%*") for x in re.findall("'([^']*)'", sql)):
+            want |= {(k, p) for p in ([core] if core in paths else paths if core else []) if core in p}
+    out = search.referenced_paths(spark.createDataFrame(log, "id long, sql_text string"), spark.createDataFrame([(p,) for p in paths], "path string"))
+    got = [(r.id, r.path) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    a, b = spark.range(300).selectExpr("id % 3 AS k", "id AS x"), spark.range(200).selectExpr("id % 4 AS k", "id AS y")
+    tiles = search.join_in_tiles(a, b, "k", (7, 5)).select("k", "x", "y").collect()
+    assert sorted(map(tuple, tiles)) == sorted((x % 3, x, y) for x in range(300) for y in range(200) if x % 3 == y % 4)
+
+
+def test_referenced_paths_of_every_statement(spark):
+    """Against brute force over all events of the small table, of which the sixty of referenced_paths are a few."""
+    from codelode.plans import tables
+
+    known = [r.path for r in tables.views.files(spark, DATA).select("path").collect()]
+    want = set()
+    for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id").collect():
+        n = r.event_id
+        core = (f"src{n % 20}/en", f"doc{n % 900}.", f"src1/en/doc{n % 900}.en")[n % 3]
+        want |= {(n, p) for p in known if (p == core if core in known else core in p)}
+    got = [(r.id, r.path) for r in tables.referenced_paths_all(spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want and max(want)[0] >= 60
+
+
 def test_refs(spark):
     f = spark.createDataFrame([(1, "a/x.c", "1\n2\n3"), (2, "b/x.c", "q")], "id long, path string, content string")
     assert {r.copy for r in refs.select(f.select("path"), f).collect()} == {"x.c", "b-x.c"}
