@@ -93,11 +93,12 @@ def symbols_like(symbols: DataFrame, pattern: str, limit: int) -> DataFrame:
     return symbols.where(F.col("name").ilike(pattern)).orderBy("path", "id").limit(limit)
 
 
-def symbols_named(symbols: DataFrame, name: str, kinds: list[str] | None = None, limit: int = 500) -> DataFrame:
+def symbols_named(symbols: DataFrame, name: str, kinds: list[str] | None = None, limit: int | None = 500) -> DataFrame:
+    """Symbols of a name, the first limit by path and id; without a limit all, in no order."""
     rows = symbols.where(F.col("name") == name)
     if kinds:
         rows = rows.where(F.col("kind").isin(kinds))
-    return rows.orderBy("path", "id").limit(limit)
+    return rows if limit is None else rows.orderBy("path", "id").limit(limit)
 
 
 def referenced_paths(statements: DataFrame, files: DataFrame) -> DataFrame:

@@ -85,6 +85,11 @@ def symbol_exact_kinds(spark, d):
     return search.symbols_named(views.symbols(spark, d), "The", ["class", "method"]).select("id", "name", "kind", "path")
 
 
+@query(WITH + SYMBOLS + " SELECT id, name, kind, path FROM symbols WHERE name = 'The' AND kind IN ('class', 'method')")
+def symbol_exact_kinds_all(spark, d):
+    return search.symbols_named(views.symbols(spark, d), "The", ["class", "method"], None).select("id", "name", "kind", "path")
+
+
 @query(WITH + SYMBOLS + " SELECT s.id, decode(array_slice(encode(f.content), s.start_byte + 1, s.end_byte)) AS span FROM symbols s JOIN files f ON f.id = s.file_id")
 def slice_bytes_span(spark, d):
     s, f = views.symbols(spark, d), views.files(spark, d).select(F.col("id").alias("file_id"), "content")

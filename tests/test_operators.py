@@ -105,6 +105,13 @@ def test_trace_life(spark):
     assert trace.tag(notes, 9, "x", "y", 1).count() == 2
 
 
+def test_symbols_named_without_limit(spark):
+    s = spark.range(1203).selectExpr("id", "if(id % 3 = 0, 'b', 'a') AS name", "if(id % 2 = 0, 'class', 'method') AS kind", "'p' AS path")
+    assert search.symbols_named(s, "a").count() == 500
+    assert search.symbols_named(s, "a", None, None).count() == 802
+    assert search.symbols_named(s, "a", ["class"], None).count() == sum(k % 3 > 0 and k % 2 == 0 for k in range(1203))
+
+
 def test_referenced_paths(spark):
     """Against brute force: several literals a statement, repeats, exact, short, absent and non-ASCII ones."""
     paths = [f"src{k % 7}/doc{k}.en" for k in range(80)] + ["src1/doc", "ab", "Src1/DOC5.en", "\u0391\u0391\u03a3\u0391/x", "src1/doc8.en"]
