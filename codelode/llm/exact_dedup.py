@@ -10,15 +10,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.common import ascii_lower, scratch_root, table
 
 
+def text_digest() -> Column:
+    """SHA-256 of text with A-Z lower-cased, null as empty."""
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): SHA-256 of each text with A-Z lower-cased, null as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)).alias("digest"))
+    """(doc_id, digest) of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
 
 
 class DigestIndex:

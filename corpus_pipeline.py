@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity, exact dedup, SimHash near-dedup, suffix-array dedup, best-fit packing.
 
 Every stage takes all its predecessor kept. A row with a null doc_id passes the duplicate stages, as it cannot
-be named in their decisions. All stages but the last return the columns of documents as they came in; the
+be named in their decisions. Where a doc_id repeats with different texts, exact dedup decides on each text by
+itself; SimHash takes them for one document, so all go if one of them is a near copy of a smaller doc_id. All stages but the last return the columns of documents as they came in; the
 suffix-array stage replaces text by what is left of it and n_chars by its length in characters.
 """
 
@@ -21,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id."""
-    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts the largest doc_id; other texts under a doc_id that loses stay."""
+    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id", F.col("digest").alias("_digest"))
+    return docs.withColumn("_digest", exact_dedup.text_digest()).join(gone, ["doc_id", "_digest"], "left_anti").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,6 +325,15 @@ def test_op10_fingerprints(spark, texts):
     assert [got[k] & (2**64 - 1) for k in range(len(rows))] == [plain_fingerprint(t) for t in rows]
 
 
+def test_pipeline_copies_of_repeated_ids(spark):
+    """A clean text stays where another text under its doc_id is a copy."""
+    import corpus_pipeline as cp
+
+    rows = [(1, "copied"), (1, "clean"), (2, "Copied"), (3, None), (4, ""), (None, "copied"), (2, "Copied"), (5, "clean too")]
+    left = cp.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(1, "clean"), (2, "Copied"), (2, "Copied"), (4, ""), (None, "copied"), (5, "clean too")], key=repr)
+
+
 def test_pipeline_stages(spark, docs, texts):
     """Each stage against a plain version over its own input."""
     import corpus_pipeline as cp
