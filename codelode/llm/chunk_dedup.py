@@ -4,7 +4,7 @@ A gear rolling hash is taken at every byte; a cut falls where the hash is the sm
 on either side. Cuts depend on nearby bytes only, so an insertion moves no cut beyond its surroundings and a
 passage is cut alike wherever it stands. Chunks are deduplicated by 128-bit digest: the smallest doc_id that has
 a chunk keeps its first copy. Redundant chunks go where they stand in a row of at least MIN_RUN bytes, which
-passes over chance repeats and single short lines.
+passes over chance repeats and single short lines, or where they are the whole text.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                         redundant += 1
                         run_from = at if run_from is None else run_from
                     else:
-                        if run_from is not None and at - run_from >= min_run:
+                        if run_from is not None and (at - run_from >= min_run or at - run_from == len(text)):
                             spans += (run_from, at)
                         run_from = None
                         drop.add(d)
