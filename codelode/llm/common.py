@@ -39,10 +39,46 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of shared storage; none if it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+FAR = 1 << 62  # surrogate keys of rows without an id start here, after all ids in use
+
+
+def row_key(name, content):
+    """The id of a row; rows without one get a number made of their content, above all ids, so equal ones share it."""
+    return F.coalesce(name, F.shiftrightunsigned(F.xxhash64(content), 2) + F.lit(FAR))
+
+
+def salted_join(rows: DataFrame, small: DataFrame, keys: list[str], count: str, spread: str, parts: int = 1000) -> DataFrame:
+    """Inner join of rows with small on keys, small (a stored table) having one row a key and in ``count`` the rows it meets.
+
+    Keys that meet over a share 1 / parts of all rows are at most ``parts`` in number whatever the data, so they can
+    be broadcast; each is dealt by a hash of ``spread`` over as many salts as it has such shares. No task of the
+    merge join then gets more of one key than that share, with or without adaptive execution.
+    """
+    total = small.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    share = max(1, total // parts)
+    hot = small.where(F.col(count) > share).select(*keys, F.ceil(F.col(count) / share).cast("int").alias("_salts"))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    last = F.when(F.col(count) > share, F.ceil(F.col(count) / share).cast("int") - 1).otherwise(0)
+    dealt = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return rows.join(dealt, [*keys, "_salt"]).drop("_salt")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,26 +1,32 @@
 """Reversible incremental line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
 The exact state is a set of postings (key, doc_id); reference counts are kept per key. Each shard of the key
-space has a cuckoo filter of its repeated keys, those found in two documents or more. A document is cleaned by
-probing the filters and checking the hits against the exact counts, so a false positive costs a lookup and
-never a line. Inserting raises counts and adds keys to the filters; deleting lowers counts and takes them out.
+space has a cuckoo filter of its repeated keys, those found in two documents or more. Documents are cleaned by
+sending their distinct keys to the filter of their shard and checking the hits against the exact counts, so a
+false positive costs a lookup and never a line. Inserting raises counts and adds keys to the filters; deleting
+lowers counts and takes them out. Hot keys are salted where postings meet counts (``salted_join``).
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm.common import rows_of, slices, table
+from codelode.llm.common import children, exists, remove, row_key, rows_of, salted_join, scratch_root, shuffle_width, slices, table
 
 MIN_CHARS = 10
 SPACE = b" \t\n\x0b\x0c\r"
 SLOTS = 4
 SHARD_KEYS = 100_000
-FILTER_BYTES = 32 << 20  # filters in all; above it documents are checked against the counts without a filter
+POSTINGS, COUNTS, FILTERS = "doc long, h1 long, h2 long", "h1 long, h2 long, n_docs long, min_doc long, max_doc long", "shard int, cells binary"
+REPEATED = "n_docs > 1"
 
 
 class Cuckoo:
@@ -107,128 +113,194 @@ def key_digest(line: bytes, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, filters=None, shards: int = 1) -> DataFrame:
-    """(doc_id, h1, h2): the distinct long keys of each document; with filters, only those that a filter has."""
+def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, h1, h2): the distinct long keys of every row; doc is doc_id, or a number made of the text where it is null."""
 
     def run(batches):
-        loaded = {k: Cuckoo.load(v) for k, v in filters.value.items()} if filters is not None else None
         for b in slices(batches):
             names, digests = [], []
-            for name, text in zip(b.column("doc_id").to_pylist(), rows_of(b, "t"), strict=True):
-                if name is None:
-                    continue
+            for name, text in zip(b.column("doc").to_pylist(), rows_of(b, "t"), strict=True):
                 found = {d for line in text.split(b"\n") if (d := key_digest(line, min_chars))}
                 names += [name] * len(found)
                 digests += found
             h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            doc = np.array(names, np.int64)
-            if loaded is not None:
-                hit = np.zeros(len(h), bool)
-                shard = h[:, 1].view(np.uint64) % np.uint64(shards) if len(h) else np.empty(0, np.uint64)
-                for s in np.unique(shard):
-                    if int(s) in loaded:
-                        at = np.flatnonzero(shard == s)
-                        hit[at] = loaded[int(s)].contains(h[at, 0].astype(np.uint64))
-                h, doc = h[hit], doc[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], ["doc_id", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(np.ascontiguousarray(h[:, k])) for k in (0, 1))], ["doc", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return texts_of(docs).select("doc", "t").mapInArrow(run, "doc long, h1 long, h2 long")
 
 
-def _shard_of(shards: int):
-    """h2 as an unsigned number modulo shards."""
-    return F.pmod(F.pmod(F.col("h2"), F.lit(shards)) + F.when(F.col("h2") < 0, F.lit(2**64 % shards)).otherwise(0), F.lit(shards)).cast("int")
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, t): id as given, key of the row, text."""
+    name, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(name.alias("doc_id"), row_key(name, text).alias("doc"), text.alias("t"))
 
 
 class LineIndex:
-    """State of the lines of a growing and shrinking corpus on shared storage.
+    """State of the lines of a growing and shrinking corpus in a folder of shared storage.
 
-    counts: (h1, h2, n_docs, min_doc, max_doc), exact. filters: (shard, cells), one cuckoo filter of the keys
-    with two documents or more. postings: list of (doc_id, h1, h2) tables, one for each insertion, minus deletions.
+    Each change writes a version: ``counts`` (h1, h2, n_docs, min_doc, max_doc), exact; ``filters`` (shard, cells),
+    one cuckoo filter for the keys of a shard that two documents or more hold; ``postings`` (doc, h1, h2) of an
+    insertion or ``gone`` (doc) of a deletion; last of all ``meta``, which makes the version valid, so a change
+    that was cut short leaves the one before. Opening a folder again continues at its last version. The number of
+    shards is a power of two that doubles with the repeated keys, so a filter stays at about SHARD_KEYS keys.
     """
 
-    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS):
-        self.spark, self.min_chars = spark, min_chars
-        self.postings: DataFrame | None = None
-        self.counts: DataFrame | None = None
-        self.filters: DataFrame | None = None
-        self.shards = 1
+    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS):
+        self.spark, self.min_chars, self.shard_keys = spark, min_chars, shard_keys
+        self.path = path or f"{scratch_root(spark)}/codelode/line-index-{uuid.uuid4().hex}"
+        valid = [v for v in children(spark, self.path) if exists(spark, f"{self.path}/{v}/meta/_SUCCESS")]
+        self.version, self.shards, self.steps = 0, 1, []
+        if valid:
+            meta = spark.read.parquet(f"{self.path}/{valid[-1]}/meta").first()
+            if meta.min_chars != min_chars:
+                raise ValueError(f"the index was made with min_chars={meta.min_chars}")
+            self.version, self.shards, self.steps = meta.version, meta.shards, [tuple(x) for x in meta.steps]
+
+    def _read(self, name: str, schema: str, version: int | None = None) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/v{self.version if version is None else version:08d}/{name}")
+
+    @property
+    def counts(self) -> DataFrame | None:
+        return self._read("counts", COUNTS) if self.version else None
+
+    @property
+    def filters(self) -> DataFrame | None:
+        return self._read("filters", FILTERS) if self.version else None
+
+    @property
+    def postings(self) -> DataFrame | None:
+        """(doc, h1, h2) of the documents the index holds: every insertion without what was deleted after it."""
+        made = [self._read("postings", POSTINGS, v).withColumn("v", F.lit(v)) for v, kind in self.steps if kind == "insert"]
+        if not made:
+            return None
+        live = reduce(DataFrame.unionByName, made)
+        cut = [self._read("gone", "doc long", v).select(F.col("doc").alias("_d"), F.lit(v).alias("_v")) for v, kind in self.steps if kind == "delete"]
+        if cut:
+            live = live.join(reduce(DataFrame.unionByName, cut), (F.col("doc") == F.col("_d")) & (F.col("v") < F.col("_v")), "left_anti")
+        return live.drop("v")
 
     @staticmethod
     def _count(postings: DataFrame) -> DataFrame:
-        return postings.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("min_doc"), F.max("doc_id").alias("max_doc"))
+        return postings.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.min("doc").alias("min_doc"), F.max("doc").alias("max_doc"))
 
     def insert(self, docs: DataFrame) -> None:
-        """Add documents whose ids the index does not hold yet (a repeated id counts as one document)."""
-        new, _ = table(line_keys(docs, self.min_chars), "line-postings")
-        self._move(new, 1)
-        self.postings = new if self.postings is None else self.postings.unionByName(new)
+        """Add documents. Rows that repeat an id are one document, and keys the index already has of it do not count again."""
+        new = line_keys(docs, self.min_chars).distinct()
+        have = self.postings
+        if have is not None:
+            new, _ = table(new, "line-keys")
+            new = new.join(have.join(new.select("doc").distinct(), "doc", "left_semi"), ["doc", "h1", "h2"], "left_anti")
+        self._commit("insert", "postings", new)
 
     def delete(self, ids: DataFrame) -> None:
         """Take out the documents of ids(doc_id); counts and filters become what they were without them."""
-        ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        gone, _ = table(self.postings.join(ids, "doc_id", "left_semi"), "line-deletions")
-        self.postings, _ = table(self.postings.join(ids, "doc_id", "left_anti"), "line-postings")
-        self._move(gone, -1)
-
-    def _move(self, change: DataFrame, sign: int) -> None:
-        """Bring counts and filters up to date after postings came (sign 1) or went (-1)."""
-        delta = self._count(change)
-        if self.counts is None:
-            counts = delta
-        elif sign > 0:
-            both = self.counts.unionByName(delta)
-            counts = both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min("min_doc").alias("min_doc"), F.max("max_doc").alias("max_doc"))
-        else:
-            # the smallest and largest document of a key that lost one are read again from its postings
-            touched = delta.select("h1", "h2")
-            counts = self.counts.join(touched, ["h1", "h2"], "left_anti").unionByName(self._count(self.postings.join(touched, ["h1", "h2"], "left_semi")))
-        old, self.counts = self.counts, table(counts, "line-counts")[0]
-        repeated = F.col("min_doc") < F.col("max_doc")
-        now = self.counts.where(repeated).select("h1", "h2")
-        if old is None:
-            self.shards = max(1, -(-now.count() // SHARD_KEYS))
-            moved = now.withColumn("sign", F.lit(1))
-        else:
-            was = old.where(repeated).select("h1", "h2")
-            moved = now.join(was, ["h1", "h2"], "left_anti").withColumn("sign", F.lit(1)).unionByName(was.join(now, ["h1", "h2"], "left_anti").withColumn("sign", F.lit(-1)))
-        self._update(moved.withColumn("shard", _shard_of(self.shards)), now.withColumn("shard", _shard_of(self.shards)))
-
-    def _update(self, moved: DataFrame, now: DataFrame) -> None:
-        schema = "shard int, cells binary"
-
-        def build(key, keys):
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([Cuckoo.of(np.unique(keys.column("h1").to_numpy()).astype(np.uint64)).dump()], pa.binary())})
-
-        def update(key, have, keys):
-            made = Cuckoo.load(have.column("cells")[0].as_py()) if have.num_rows else Cuckoo.sized(keys.num_rows)
-            h, sign = keys.column("h1").to_numpy().astype(np.uint64), keys.column("sign").to_numpy()
+        gone = ids.select(F.col("doc_id").cast("long").alias("doc")).where("doc IS NOT NULL").distinct()
+        self._commit("delete", "gone", gone)
+
+    def _commit(self, kind: str, name: str, change: DataFrame) -> None:
+        """Write the next version: the change, the counts and filters it leads to, and the mark that makes it valid."""
+        was, old, old_filters, before, shards = self.version, self.counts, self.filters, self.postings, self.shards
+        at = f"{self.path}/v{was + 1:08d}"
+        remove(self.spark, at)  # what a change that was cut short has left
+
+        def put(df: DataFrame, part: str) -> DataFrame:
+            df.write.option("compression", "zstd").parquet(f"{at}/{part}")
+            return self.spark.read.schema(df.schema).parquet(f"{at}/{part}")
+
+        change = put(change, name)
+        self.version, self.steps = was + 1, [*self.steps, (was + 1, kind)]
+        try:
+            if kind == "insert":
+                counts = self._count(change)
+                if old is not None:
+                    counts = old.unionByName(counts).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.min("min_doc").alias("min_doc"), F.max("max_doc").alias("max_doc"))
+            elif old is not None:
+                # a key that lost a document is counted again from its postings
+                touched = before.join(change, "doc", "left_semi").select("h1", "h2").distinct()
+                counts = old.join(touched, ["h1", "h2"], "left_anti").unionByName(self._count(self.postings.join(touched, ["h1", "h2"], "left_semi")))
+            else:
+                counts = self.spark.createDataFrame([], COUNTS)
+            now = put(counts, "counts").where(REPEATED).select("h1", "h2")
+            n = now.count()
+            while n > 2 * self.shard_keys * self.shards:
+                self.shards *= 2
+            if old is None or self.shards != shards:
+                put(self._built(now), "filters")
+            else:
+                had = old.where(REPEATED).select("h1", "h2")
+                moved = now.join(had, ["h1", "h2"], "left_anti").withColumn("sign", F.lit(1)).unionByName(had.join(now, ["h1", "h2"], "left_anti").withColumn("sign", F.lit(-1)))
+                put(self._updated(old_filters, moved, now), "filters")
+            meta = self.spark.createDataFrame([(self.version, self.shards, self.min_chars, self.steps)], "version int, shards int, min_chars int, steps array<struct<v:int,kind:string>>")
+            meta.coalesce(1).write.parquet(f"{at}/meta")
+        except BaseException:
+            self.version, self.steps, self.shards = was, self.steps[:-1], shards
+            raise
+
+    def _shard(self):
+        return F.col("h2").bitwiseAND(self.shards - 1).cast("int")
+
+    def _built(self, keys: DataFrame) -> DataFrame:
+        """A filter for every shard that has keys."""
+
+        def build(key, rows):
+            h = np.unique(rows.column("h1").to_numpy()).astype(np.uint64)
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([Cuckoo.of(h).dump()], pa.binary())})
+
+        return keys.withColumn("shard", self._shard()).groupBy("shard").applyInArrow(build, FILTERS)
+
+    def _updated(self, filters: DataFrame, moved: DataFrame, now: DataFrame) -> DataFrame:
+        """The filters after keys came (sign 1) and went (-1); one that overflows is built anew from the exact counts."""
+
+        def update(key, have, rows):
+            made = Cuckoo.load(have.column("cells")[0].as_py()) if have.num_rows else Cuckoo.sized(rows.num_rows)
+            h, sign = rows.column("h1").to_numpy().astype(np.uint64), rows.column("sign").to_numpy()
             made.delete(h[sign < 0])
             cells = made.dump() if made.insert(h[sign > 0]) else b""
             return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([cells], pa.binary())})
 
-        if self.filters is None:
-            made = now.groupBy("shard").applyInArrow(build, schema)
-        else:
-            made = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(update, schema)
-        self.filters, _ = table(made, "line-filters")
-        full = self.filters.where(F.length("cells") == 0).select("shard")
-        if full.take(1):  # a filter that overflowed is built anew, larger, from the exact counts
-            again = now.join(full, "shard", "left_semi").groupBy("shard").applyInArrow(build, schema)
-            self.filters, _ = table(self.filters.where(F.length("cells") > 0).unionByName(again), "line-filters")
-
-    def repeated_lines(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, drops array<binary-as-two-longs>): keys each document loses, those another, smaller doc_id holds."""
-        size = self.filters.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0))).first()[0]
-        share = None
-        if size <= FILTER_BYTES:
-            share = self.spark.sparkContext.broadcast({r.shard: bytes(r.cells) for r in self.filters.collect()})
-        hits = line_keys(docs, self.min_chars, share, self.shards)
-        shared = self.counts.where("min_doc < max_doc").select("h1", "h2", "min_doc")
-        lost = hits.join(shared, ["h1", "h2"]).where("doc_id <> min_doc")
-        return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
-
-    def clean(self, docs: DataFrame) -> DataFrame:
+        moved = moved.withColumn("shard", self._shard())
+        made, _ = table(filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(update, FILTERS), "line-filters")
+        full = made.where(F.length("cells") == 0).select("shard")
+        again = self._built(now.withColumn("shard", self._shard()).join(full, "shard", "left_semi").drop("shard"))
+        return made.where(F.length("cells") > 0).unionByName(again)
+
+    def _probe(self, keys: DataFrame) -> DataFrame:
+        """(h1, h2) of distinct keys that the filter of their shard has.
+
+        A filter travels to the keys of its shard and precedes them in their partition, so a task holds one filter
+        and one batch of keys.
+        """
+        none = F.lit(None)
+        first = self.filters.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("h1"), none.cast("long").alias("h2"), "cells")
+        rest = keys.select(self._shard().alias("shard"), F.lit(1).alias("kind"), "h1", "h2", none.cast("binary").alias("cells"))
+
+        def run(batches):
+            shard, held = None, None
+            for b in batches:
+                s, kind = b.column("shard").to_numpy(), b.column("kind").to_numpy()
+                h = pc.fill_null(b.column("h1"), 0).to_numpy().view(np.uint64)
+                edges = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (kind[1:] != kind[:-1]), True])
+                keep = np.zeros(b.num_rows, bool)
+                for x, y in zip(edges.tolist(), edges[1:].tolist()):
+                    if kind[x] == 0:
+                        shard, held = s[x], Cuckoo.load(b.column("cells")[x].as_py())
+                    elif shard == s[x] and held is not None:
+                        keep[x:y] = held.contains(h[x:y])
+                yield b.select(["h1", "h2"]).filter(pa.array(keep))
+
+        both = first.unionByName(rest)
+        return both.repartition(max(shuffle_width(self.spark), self.shards), "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "h1 long, h2 long")
+
+    def repeated_lines(self, docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+        """(doc, drops): keys each document loses, those that another, smaller doc holds. keys: the documents' postings if at hand."""
+        if keys is None:
+            keys, _ = table(line_keys(docs, self.min_chars).distinct(), "line-keys")
+        found = self._probe(keys.select("h1", "h2").distinct())
+        held, _ = table(self.counts.where(REPEATED).join(found, ["h1", "h2"]).select("h1", "h2", "n_docs", "min_doc"), "line-hits")
+        lost = salted_join(keys, held, ["h1", "h2"], "n_docs", "doc").where("doc <> min_doc")
+        return lost.groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+
+    def clean(self, docs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
         """(doc_id, n_lines, n_dropped, text) for every row of docs, which the index must hold."""
         min_chars = self.min_chars
 
@@ -250,20 +322,20 @@ class LineIndex:
                     ["doc_id", "n_lines", "n_dropped", "text"],
                 )
 
-        src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
-        return src.join(self.repeated_lines(docs), "doc_id", "left").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string")
+        joined = texts_of(docs).join(self.repeated_lines(docs, keys), "doc", "left")
+        return joined.select("doc_id", "t", "drops").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text): each document without the lines a smaller doc_id holds.
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, path: str | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text): each document without the lines a smaller doc_id holds, through a new index.
 
-    Null and empty texts are one empty line. Rows with a null doc_id keep all lines and count for no other row;
-    rows that repeat an id are one document. Ties do not arise: the smallest id keeps. Only doc_id and text are
-    read; an empty table gives an empty result.
+    Null and empty texts are one empty line. Rows with a null doc_id come after all ids, equal texts among them as
+    one document; rows that repeat an id are one document. Ties do not arise: the smallest id keeps. Only doc_id
+    and text are read; an empty table gives an empty result. The index stays in path for later changes.
     """
-    index = LineIndex(docs.sparkSession, min_chars)
+    index = LineIndex(docs.sparkSession, path, min_chars)
     index.insert(docs)
-    return index.clean(docs)
+    return index.clean(docs, index.postings)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -300,23 +300,55 @@ def test_op8_table(spark, docs, texts):
     assert [(got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k, _ in texts] == want
 
 
-def test_op9_reversible(spark):
+def test_op9_reversible(spark, tmp_path):
     rows = ["a long enough line\nonly here", "A LONG enough line  \nx", "a long enough line\nshared between two", "Shared between two"]
     state = lambda i: sorted(map(tuple, i.counts.select("h1", "h2", "n_docs", "min_doc", "max_doc").collect()))
     one = lines.LineIndex(spark)
     one.insert(frame(spark, rows))
-    two = lines.LineIndex(spark)
+    two = lines.LineIndex(spark, str(tmp_path / "index"))
     two.insert(frame(spark, rows[:2]))
     two.insert(frame(spark, rows[2:], 2))
     assert state(one) == state(two)
+    two = lines.LineIndex(spark, str(tmp_path / "index"))
+    two.insert(frame(spark, rows[:3]))  # rows the index has already do not count again
+    assert state(one) == state(two)
     assert sorted(map(tuple, one.clean(frame(spark, rows)).collect())) == sorted(map(tuple, two.clean(frame(spark, rows)).collect()))
     two.delete(frame(spark, rows[2:], 2).select("doc_id"))
     less = lines.LineIndex(spark)
     less.insert(frame(spark, rows[:2]))
     assert state(two) == state(less)
     assert {r.doc_id: r.n_dropped for r in two.clean(frame(spark, rows[:2])).collect()} == {0: 0, 1: 1}
+    two = lines.LineIndex(spark, str(tmp_path / "index"))
     two.delete(frame(spark, rows[:1]).select("doc_id"))
     assert {r.doc_id: r.n_dropped for r in two.clean(frame(spark, rows[1:2], 1)).collect()} == {1: 0}
+    two.insert(frame(spark, rows[:1]))  # a deleted document can come again
+    assert state(two) == state(less)
+    with pytest.raises(ValueError):
+        lines.LineIndex(spark, str(tmp_path / "index"), min_chars=5)
+
+
+def test_op9_repeated_and_null_ids(spark):
+    """One document under a repeated id; rows without an id come last, equal ones as one document."""
+    i = lines.LineIndex(spark)
+    rows = [(1, "only in one document"), (1, "only in one document"), (2, "found in two of them"), (None, "found in two of them\nb"), (None, "only without an id"), (None, "only without an id")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    i.insert(made)
+    assert sorted(r.n_docs for r in i.counts.collect()) == [1, 1, 2]
+    got = sorted(map(tuple, i.clean(made).collect()), key=repr)
+    assert got == sorted([(1, 1, 0, "only in one document")] * 2 + [(2, 1, 0, "found in two of them"), (None, 2, 1, "b")] + [(None, 1, 0, "only without an id")] * 2, key=repr)
+
+
+def test_op9_shards_grow(spark):
+    """Shards double with the keys, and filters of all sizes let every repeated line through to the counts."""
+    text = lambda a, b: "\n".join(f"line number {k} of the test" for k in range(a, b))
+    i = lines.LineIndex(spark, shard_keys=20)
+    seen = []
+    for k, n in enumerate((10, 60, 200)):
+        i.insert(frame(spark, [text(0, n), text(0, n) + "\nown line of the second"], 2 * k))
+        seen.append(i.shards)
+        got = {r.doc_id: (r.n_dropped, r.text) for r in i.clean(frame(spark, [text(0, n), text(0, n) + "\nown line of the second"], 2 * k)).collect()}
+        assert got[2 * k + 1] == (n + (k > 0), "" if k else "own line of the second")
+    assert seen[0] < seen[1] < seen[2] and i.filters.count() == i.shards
 
 
 def test_op9_cuckoo():
