@@ -3,7 +3,9 @@
 Long texts are cut at safe boundaries before encoding. A boundary is a single space or newline between two
 word characters: no alternative of the split pattern continues from a non-space into white space, and none of
 the white-space alternatives sees more than this one character there, so pieces encode as the whole would.
-Texts without such a boundary are encoded whole. Decoding joins raw bytes, so ids that cut a character are safe.
+Long runs of white space, on which the library's pattern would recurse too deep, are matched here as the pattern
+does: all but the last character before a non-space is one match, the whole run at the end of the text. Other
+texts without a boundary are encoded whole. Decoding joins raw bytes, so ids that cut a character are safe.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from codelode.llm.common import rows_of, slices
 
 BOUNDARY = re.compile(r"(?<=[^\W\d_])[ \n](?=[^\W\d_])")
 LONG = 1 << 16
+# The characters that the library's pattern takes for white space
+RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _ENCODINGS: dict[tuple[str, str], object] = {}
 
 
@@ -51,7 +55,16 @@ def safe_pieces(text: str, long: int = LONG) -> Iterator[str]:
 def encode_text(enc, text: str) -> list[int]:
     if len(text) <= LONG:
         return enc.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in enc.encode_ordinary(piece)]
+    ids: list[int] = []
+    at = 0
+    for m in RUN.finditer(text):
+        for piece in safe_pieces(text[at : m.start()]):
+            ids += enc.encode_ordinary(piece)
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        ids += enc._encode_single_piece(text[m.start() : at])
+    for piece in safe_pieces(text[at:]):
+        ids += enc.encode_ordinary(piece)
+    return ids
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
