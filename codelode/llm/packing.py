@@ -8,6 +8,7 @@ number of distinct lengths and rooms, not the number of documents.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -39,7 +40,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # the library takes special tokens out of a text before anything else; so does encode, hence they are text here
         self.tok.encode_special_tokens = True
+        self.special = {x.content: np.asarray([i], "<u4").tobytes() for i, x in self.tok.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # for words of letters up to U+00FF the file's normaliser and splitting come down to these
         self.light = Tokenizer.from_file(path)
         self.light.encode_special_tokens = True
@@ -108,7 +112,14 @@ class WordTokenizer:
             known[c] = known[c[:-1]] + known[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+        """Each text's ids as little-endian unsigned 32-bit integers; special tokens spelled out in a text are one id each."""
+        if not any(x in t for t in texts for x in self.special):
+            return self._plain(texts)
+        cut = [self.split.split(t) for t in texts]
+        ids = iter(self._plain([x for parts in cut for x in parts[::2]]))
+        return [b"".join(self.special[x] if k % 2 else next(ids) for k, x in enumerate(parts)) for parts in cut]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
         clean = []
         for text in texts:
             try:

@@ -99,17 +99,41 @@ def test_op2_round_trip(spark):
     assert len(list(bpe.safe_pieces(long))) > 1 and "".join(bpe.safe_pieces(long)) == long
 
 
+def test_op2_long_runs(spark):
+    """Runs that the library matches alike on shorter texts, and texts on which it fails."""
+    ranks, pattern = tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN
+    enc = bpe.encoding(ranks, pattern)
+    for run in (" " * 70_000, "\n" * 70_000, "\t \n\u3000" * 20_000, "\xa0" * 70_001, "\x1c" * 70_000):
+        for text in (run, "a" + run, run + "b", "a." + run + "1" + run + "!", "x" + run[:-1] + " y", "x" + run + "\nz", "x" + run[:1500] + "\x1c" + run):
+            assert bpe.encode_text(enc, text) == enc.encode_ordinary(text)
+    rows = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "w" * 2_000_000, "1" * 1_000_000 + "\r\n" * 1_000_000]
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(frame(spark, rows), ranks, pattern), ranks, pattern).collect()}
+    assert [bytes(got[k].bytes).decode() for k in range(4)] == rows
+
+
+def test_op2_table(spark, docs, texts):
+    """Every column of the registered query, from the library on whole texts."""
+    enc = bpe.encoding(tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN)
+    got = {r.doc_id: r for r in queries.QUERIES["op2_byte_bpe"](spark, DATA).collect()}
+    assert len(got) == len(texts)
+    for k, t in texts:
+        ids = enc.encode_ordinary(t or "")
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == want
+
+
 def test_op3_ids_and_places(spark, docs, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tok.path("word_bpe_49k.json"))
-    odd = frame(spark, ODD, 10_000_000)
+    special = ["a<|endoftext|>b", "<|ENDOFTEXT|> <|startoftext|>", "<|startoftext|><|endoftext|>.", "é<|endof\ntext|> x<|endoftext|>é Ünï 字<|endoftext|>", "<|endoftext|>" * 2100]
+    odd = frame(spark, ODD + special, 10_000_000)
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     got: dict = {}
     for r in packing.pack(both, tok.path("word_bpe_49k.json"), with_ids=True).collect():
         got.setdefault(r.doc_id, []).append(r)
     total, seqs = 0, {}
-    for k, text in [*texts, *((10_000_000 + k, x) for k, x in enumerate(ODD))]:
+    for k, text in [*texts, *((10_000_000 + k, x) for k, x in enumerate(ODD + special))]:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         total += len(ids)
         own = sorted(got[k], key=lambda r: r.piece)
