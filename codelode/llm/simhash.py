@@ -1,10 +1,11 @@
 """SimHash near-dedup with pigeonring filtering.
 
-Fingerprints are cut into m ring segments. If two differ in at most t bits, there is a start segment from which
-every chain of l consecutive segments differs in at most l * t / m bits in sum. Pairs are met only where the
-start segment passes its own budget (an index key, widened by its one-bit variants when the budget allows one),
-and are pruned along the chain before the full Hamming check. m falls as the number of fingerprints rises, which
-lengthens the keys: 5 segments of 12 to 13 bits, or 3 of 21 to 22 bits with one-bit variants.
+A fingerprint is cut into threshold + 1 ring segments. If two differ in at most t bits, there is a start segment
+from which every chain of l consecutive segments differs in at most l * t / m bits in sum: none in the first
+segment, one in the first two, two in the first three. The first two segments of the chain are the index key, of
+25 to 26 bits: a fingerprint stands at its own key (its home) and probes the keys with one set bit of the second
+segment cleared, so of two fingerprints that differ in this bit the one that has it meets the other. Pairs of a
+home and a home or a probe are pruned along the rest of the chain before the full Hamming check.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ SHINGLE = 4
 THRESHOLD = 4
 SEED = 42
 BLOCK = 1024
-WIDE_FROM = 1 << 20  # distinct fingerprints from which the longer keys pay for their variants
 _CHUNK = 1 << 16
 
 
@@ -56,9 +56,9 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def ring(n: int, threshold: int = THRESHOLD, wide_from: int = WIDE_FROM) -> list[tuple[int, int]]:
-    """(offset, width) of each segment of the ring for n fingerprints."""
-    m = threshold + 1 if n < wide_from else max(1, threshold - 1)
+def ring(threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    """(offset, width) of each segment of the ring."""
+    m = threshold + 1
     cuts = [round(64 * i / m) for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -76,66 +76,113 @@ def chain_passes(x: np.ndarray, start: int, segments: list[tuple[int, int]], thr
     return live
 
 
-def _links(fp: np.ndarray, kind: np.ndarray, group: np.ndarray, start: int, segments, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked index pairs within groups (sorted); kind 0 meets all of its group, kind 1 meets only kind 2."""
-    lefts, rights = [], []
+def keys_of(fp: np.ndarray, start: int, segments: list[tuple[int, int]]):
+    """The home key of each fingerprint for a start segment, and (index, key) of its probes."""
+    (o1, w1), (o2, w2) = segments[start], segments[(start + 1) % len(segments)]
+    one = fp >> np.uint64(o1) & np.uint64((1 << w1) - 1)
+    two = fp >> np.uint64(o2) & np.uint64((1 << w2) - 1)
+    home = one << np.uint64(w2) | two
+    rows, bits = np.nonzero(two[:, None] >> np.arange(w2, dtype=np.uint64) & np.uint64(1))
+    return home, rows, home[rows] ^ np.uint64(1) << bits.astype(np.uint64)
+
+
+def _entries(groups: DataFrame, segments, probes: bool) -> DataFrame:
+    """(seg, val, kind, rep, fp): every fingerprint at its home keys (kind 0) and, if asked, at the keys it probes (kind 1)."""
+
+    def run(batches):
+        for b in slices(batches, 4000):
+            rep, fp = b.column("rep").to_numpy(), b.column("fp").to_numpy()
+            for seg in range(len(segments)):
+                home, rows, near = keys_of(fp.view(np.uint64), seg, segments)
+                at, val, kind = np.arange(fp.size), home, np.zeros(fp.size, np.int8)
+                if probes:
+                    at, val, kind = np.r_[at, rows], np.r_[home, near], np.r_[kind, np.ones(rows.size, np.int8)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(at.size, seg, np.int8)), pa.array(val.view(np.int64)), pa.array(kind), pa.array(rep[at]), pa.array(fp[at])], ["seg", "val", "kind", "rep", "fp"])
+
+    return groups.select("rep", "fp").mapInArrow(run, "seg byte, val long, kind byte, rep long, fp long")
+
+
+def _hot_keys(homes: DataFrame, segments) -> DataFrame:
+    """(seg, val, blocks) of the keys with over about BLOCK entries.
+
+    A key is hot by its own homes or by those of the keys that probe it; keys of a few homes add BLOCK at most.
+    """
+    most = max(w for _, w in segments)
+    sizes = homes.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // most)
+
+    def near(batches):
+        for b in batches:
+            seg, val, n = (b.column(c).to_numpy() for c in ("seg", "val", "n"))
+            width = np.array([segments[(s + 1) % len(segments)][1] for s in range(len(segments))], np.uint64)[seg]
+            rows, bits = np.nonzero((val.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)) * (np.arange(64) < width[:, None]))
+            at = np.r_[np.arange(val.size), rows]
+            to = np.r_[val.view(np.uint64), val.view(np.uint64)[rows] ^ np.uint64(1) << bits.astype(np.uint64)]
+            yield pa.RecordBatch.from_arrays([pa.array(seg[at]), pa.array(to.view(np.int64)), pa.array(n[at])], ["seg", "val", "n"])
+
+    total = sizes.mapInArrow(near, "seg byte, val long, n long").groupBy("seg", "val").agg(F.sum("n").alias("n"))
+    return total.where(F.col("n") > BLOCK).select("seg", "val", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+
+
+def _links(fp: np.ndarray, kind: np.ndarray, side: np.ndarray, group: np.ndarray, start: int, segments, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked index pairs of groups whose rows are sorted by kind.
+
+    A group of one block pairs each home with all homes and probes after it; a group of two blocks (side 0 and 1)
+    pairs homes of one with homes and probes of the other.
+    """
+    lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     n = fp.size
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     size = np.diff(np.r_[first, n])
+    two = np.maximum.reduceat(side, first) > 0
 
     def keep(i, j):
-        ok = (kind[i] == 0) | (kind[i] != kind[j])
-        i, j = i[ok], j[ok]
         live = chain_passes(fp[i] ^ fp[j], start, segments, threshold)
         lefts.append(i[live])
         rights.append(j[live])
 
-    small = np.repeat(size <= 64, size)
+    def grid(i, j):
+        for at in range(0, i.size, 256):
+            x, y = np.meshgrid(i[at : at + 256], j, indexing="ij")
+            keep(x.ravel(), y.ravel())
+
+    small = np.repeat((size <= 64) & ~two, size) & (kind == 0)
     rest = np.repeat(first + size, size) - np.arange(n) - 1
-    for lag in range(1, int(size[size <= 64].max(initial=1))):
-        i = np.flatnonzero(small & (rest >= lag))
-        keep(i, i + lag)
-    for a, s in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-        for lo in range(a, a + s, 256):
-            i, j = np.meshgrid(np.arange(lo, min(lo + 256, a + s)), np.arange(lo, a + s), indexing="ij")
-            upper = j > i
-            keep(i[upper], j[upper])
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *lefts]), np.concatenate([none, *rights])
-
-
-def link_forest(groups: DataFrame, threshold: int = THRESHOLD, wide_from: int = WIDE_FROM) -> DataFrame:
+    live = np.flatnonzero(small & (rest > 0))
+    lag = 1
+    while live.size:
+        keep(live, live + lag)
+        lag += 1
+        live = live[rest[live] >= lag]
+    for k in np.flatnonzero((size > 64) | two).tolist():
+        at = np.arange(first[k], first[k] + size[k])
+        home = at[kind[at] == 0]
+        if two[k]:
+            grid(home[side[home] == 0], at[side[at] == 1])
+            grid(home[side[home] == 1], at[(side[at] == 0) & (kind[at] == 1)])
+        else:
+            for lo in range(0, home.size, 256):
+                part = home[lo : lo + 256]
+                x, y = np.meshgrid(part, at[lo:], indexing="ij")
+                keep(x[y > x], y[y > x])
+    return np.concatenate(lefts), np.concatenate(rights)
+
+
+def link_forest(groups: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(src, dst) links that join the same components as all links of groups(rep, fp).
 
-    groups must be a stored table with one row per fingerprint. A bucket over BLOCK fingerprints is dealt into
-    pairs of blocks, so a hot segment value becomes many tasks; each bucket emits a forest, at most one link a row.
+    groups must be a stored table with one row per fingerprint. A hot key is dealt into pairs of blocks of about
+    BLOCK entries, so it becomes many tasks; the hot keys are a stored table, which Spark broadcasts only if its
+    size allows it. Each pair of blocks emits a forest, at most one link a row. The plan is the same at every size.
     """
     spark = groups.sparkSession
-    n = groups.count()
-    segments = ring(n, threshold, wide_from)
-    radius = threshold // len(segments)
-    fp = F.col("fp")
-
-    def key(i: int):
-        off, width = segments[i]
-        return F.shiftrightunsigned(fp, off).bitwiseAND((1 << width) - 1)
-
-    def keyed(i: int, values, kind: int):
-        return F.transform(values, lambda v: F.struct(F.lit(i).alias("seg"), v.alias("val"), F.lit(kind).alias("kind")))
-
-    if radius == 0:
-        probes = F.array(*[F.struct(F.lit(i).alias("seg"), key(i).alias("val"), F.lit(0).alias("kind")) for i in range(len(segments))])
-    else:
-        home = [keyed(i, F.array(key(i)), 1) for i in range(len(segments))]
-        near = [keyed(i, F.array(key(i), *[key(i).bitwiseXOR(1 << b) for b in range(segments[i][1])]), 2) for i in range(len(segments))]
-        probes = F.flatten(F.array(*home, *near))
-    rows = groups.select("rep", "fp", F.explode(probes).alias("k")).select("rep", "fp", "k.*")
-    sizes = rows.groupBy("seg", "val").agg(F.count("*").alias("n"))
-    big = sizes.where(F.col("n") > BLOCK).select("seg", "val", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(big, ["seg", "val"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    segments = ring(threshold)
+    if threshold == 0:
+        return groups.select(F.col("rep").alias("src"), F.col("rep").alias("dst")).limit(0)
+    big, _ = table(_hot_keys(_entries(groups, segments, False), segments), "hot-keys")
+    rows = _entries(groups, segments, True).join(big, ["seg", "val"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     rows = rows.select("rep", "fp", "seg", "val", "kind", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("rep", "fp", "seg", "val", "kind", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    rows = rows.select("rep", "fp", "seg", "val", "kind", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("byte").alias("side"))
     keys = ["seg", "val", "a", "b"]
 
     def run(batches):
@@ -143,17 +190,10 @@ def link_forest(groups: DataFrame, threshold: int = THRESHOLD, wide_from: int =
             c = {k: t.column(k).to_numpy() for k in (*keys, "rep", "fp", "kind", "side")}
             changed = np.r_[True, np.any([c[k][1:] != c[k][:-1] for k in keys], axis=0)]
             group = np.cumsum(changed)
-            bits = c["fp"].view(np.uint64)
-            # within one block all rows meet; between two blocks only rows of different sides
-            kind = np.where(c["kind"] > 0, c["kind"], np.where(c["a"] == c["b"], 0, 1 + c["side"]))
-            cross = (c["kind"] > 0) & (c["a"] != c["b"])
             for seg in np.unique(c["seg"]):
                 at = np.flatnonzero(c["seg"] == seg)
-                i, j = _links(bits[at], kind[at], group[at], int(seg), segments, threshold)
+                i, j = _links(c["fp"].view(np.uint64)[at], c["kind"][at], c["side"][at], group[at], int(seg), segments, threshold)
                 i, j = at[i], at[j]
-                if cross.any():
-                    ok = ~cross[i] | (c["side"][i] != c["side"][j])
-                    i, j = i[ok], j[ok]
                 if not i.size:
                     continue
                 names, back = np.unique(c["rep"][np.r_[i, j]], return_inverse=True)
@@ -161,8 +201,8 @@ def link_forest(groups: DataFrame, threshold: int = THRESHOLD, wide_from: int =
                 hung = np.flatnonzero(root != np.arange(names.size))
                 yield pa.RecordBatch.from_arrays([pa.array(names[hung]), pa.array(names[root[hung]])], ["src", "dst"])
 
-    width = max(shuffle_width(spark), n * len(segments) // 200_000)
-    return rows.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+    width = max(shuffle_width(spark), groups.count() // 20_000)
+    return rows.repartition(width, *keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
