@@ -109,27 +109,35 @@ def normalise(sentence: str) -> str:
 
 
 KNOWN = {normalise(s): name for name, forms in SENTENCES.items() for s in forms}
+LONGEST = max(len(k.split()) for k in KNOWN)
 BEGINNINGS = {" ".join(w[:n]) for w in map(str.split, KNOWN) for n in range(1, len(w))}
 # every known sentence has one of these words, so a text without them needs no splitting
 TRIGGERS = ("licen", "permission", "permitted", "rights", "redistribut", "warranty", "endorse", "released", "copy")
 
 
-def pieces(text: str) -> list[tuple[int, int, int, int, str]]:
-    """(paragraph, number of the sentence, start, end, normalised) of the lines of every sentence, without empty ones."""
+def pieces(text: str) -> list[tuple[int, int, int, int, int, str]]:
+    """(paragraph, sentence, place, start, end, normalised) of the lines of every sentence, without empty ones.
+
+    place numbers the sentences for MAX_GAP; what has no sentence ends counts as one sentence for every LONGEST words.
+    """
     plain = MARKERS.sub(lambda m: " " * len(m[0]), text)
-    out, paragraph, end = [], 0, 0
+    out, paragraph, end, place = [], 0, 0, -1
     for k, m in enumerate(SENTENCE.finditer(plain)):
         paragraph += plain.count("\n", end, m.start()) > 1
         at, end = m.start(), m.end()
+        place, count = place + 1, 0
         for line in m[0].split("\n"):
             if words := normalise(line):
-                out.append((paragraph, k, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), words))
+                if count >= LONGEST:
+                    place, count = place + 1, 0
+                count += words.count(" ") + 1
+                out.append((paragraph, k, place, at + len(line) - len(line.lstrip()), at + len(line.rstrip()), words))
             at += len(line) + 1
     return out
 
 
 def sentence_ids(text: str) -> list[tuple[int, int, int, str]]:
-    """(number of the sentence, start, end, identifier) of the known sentences of text, in order.
+    """(place, start, end, identifier) of the known sentences of text, in order.
 
     A known sentence begins and ends at a line's or a sentence's end and stays in its paragraph. The longest run of
     lines of one sentence is taken; if none is known, the run goes on over sentence ends and counts as one sentence.
@@ -139,7 +147,7 @@ def sentence_ids(text: str) -> list[tuple[int, int, int, str]]:
         return []
     parts, out, i, joined = pieces(text), [], 0, 0
     while i < len(parts):
-        paragraph, k, start, _, words = parts[i]
+        paragraph, k, place, start, _, words = parts[i]
         j, last = i, None
         while True:
             if words in KNOWN:
@@ -147,12 +155,12 @@ def sentence_ids(text: str) -> list[tuple[int, int, int, str]]:
             j += 1
             if words not in BEGINNINGS or j == len(parts) or parts[j][0] != paragraph or (last is not None and parts[j][1] != k):
                 break
-            words += " " + parts[j][4]
+            words += " " + parts[j][5]
         if last is None:
             i += 1
         else:
-            out.append((k - joined, start, parts[last][3], name))
-            joined += parts[last][1] - k
+            out.append((place - joined, start, parts[last][4], name))
+            joined += parts[last][2] - place
             i = last + 1
     return out
 

@@ -269,12 +269,46 @@ def test_op6_runs_of_sentences(spark):
     assert spans[5] == [rows[5]] and spans[6] == [form["gpl-or-later"]]
 
 
-def test_op6_against_plain_lines(spark, docs, texts):
-    """On the small table every licence sentence is a line of its own."""
-    got = {r.doc_id: r.sentences for r in licenses.scan(docs).collect()}
+def test_op6_padding_and_gaps(spark):
+    """White space inside a sentence does not hide it; lines without sentence ends count as sentences between two of a rule."""
+    form = {k: v[0] for k, v in licenses.SENTENCES.items()}
+    notice, copy = "Licensed under the Apache License, Version 2.0", form["apache2-copy"]
+    filler = lambda n: "\n".join(f"line {k} without an end" for k in range(n))
+    rows = [form["mit-grant"].replace(" ", " " * 60), form["mit-grant"].replace("copy", "copy" + " " * 50_000), f"{notice}.\n{filler(500)}\n{copy}", f"{notice}.\n{filler(3)}\n{copy}"]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [got[k].licenses for k in (0, 1)] == ["MIT", "MIT"]
+    assert [[(m.start, m.end) for m in got[k].matches] for k in (2, 3)] == [[(0, len(notice) + 1)], [(0, len(rows[3]))]]
+
+
+# Written out by hand, apart from the library's tables: what the licence lines of the test tables are.
+PLAIN_LINES = {
+    "this work is licensed under the gnu general public license, version 3.": ("gpl3-notice", "GPL-3.0"),
+    "licensed under the apache license, version 2.0.": ("apache2-notice", "Apache-2.0"),
+    "released under the mit license.": ("mit-notice", "MIT"),
+    "licensed under cc by-sa 4.0.": ("cc-by-sa", "CC-BY-SA-4.0"),
+    "licensed under cc by-nc 4.0.": ("cc-by-nc", "CC-BY-NC-4.0"),
+    "licensed under cc by 4.0.": ("cc-by", "CC-BY-4.0"),
+    "all rights reserved.": ("rights-reserved", "all-rights-reserved"),
+    "released under cc0 1.0.": ("cc0", "CC0-1.0"),
+}
+
+
+def test_op6_against_plain_lines(spark, texts):
+    """Every column of the registered query on the small table, where a licence sentence is a line of its own."""
+    got = {r.doc_id: r for r in queries.QUERIES["op6_license_scan"](spark, DATA).collect()}
+    seen = 0
     for k, text in texts:
-        want = [licenses.KNOWN[licenses.normalise(x)] for x in (text or "").split("\n") if licenses.normalise(x) in licenses.KNOWN]
-        assert got[k] == ",".join(want)
+        want, at = [], 0
+        for line in (text or "").split("\n"):
+            bare = line.strip()
+            if bare.lower() in PLAIN_LINES:
+                want.append((*PLAIN_LINES[bare.lower()], at + line.index(bare), at + line.index(bare) + len(bare)))
+            at += len(line) + 1
+        r = got[k]
+        assert (r.sentences, r.licenses, r.n_matches) == (",".join(w[0] for w in want), ",".join(sorted({w[1] for w in want})), len(want))
+        assert [(m.license, m.start, m.end) for m in r.matches] == [w[1:] for w in want]
+        seen += len(want)
+    assert seen
 
 
 def test_op7_held_out_and_fairness(duck):
