@@ -2,8 +2,9 @@
 
 Features are the distinct words of a text and their beginnings (3 to 8 letters), which also catch unseen
 inflections; a feature's value is log2(1 + distinct words that have it). Training minimises logistic loss + an L1 term + a penalty on the squared change of the score when
-an identity term of a labelled text is swapped for another of its group, so that a neutral mention of a group
-carries no weight of its own. The model is fitted on the driver on at most about ``max_rows`` labelled rows
+an identity term of a labelled text is swapped for another of its group or for the group's neutral word, so that
+a neutral mention of a group carries no weight of its own. In a labelled text without identity terms the terms of
+one group take the same slot in turn (groups go round over the texts). The model is fitted on the driver on at most about ``max_rows`` labelled rows
 chosen by a hash of doc_id (a documented bound); scoring is one narrow pass over all texts.
 """
 
@@ -23,18 +24,21 @@ MAX_FEATURES = 20_000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
-# Identity terms; a swap replaces a term by the others of its group.
+# Identity terms by group, in four languages. The last of a group is its neutral word, which is swapped
+# in for the others but never out.
 IDENTITY_GROUPS = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"),
-    ("gay", "lesbian", "straight", "bisexual", "transgender", "queer"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "arab", "african", "european"),
-    ("immigrant", "native", "refugee"), ("immigrants", "natives", "refugees"),
-    ("old", "young"), ("deaf", "blind", "disabled"),
-    ("femmes", "hommes"), ("frauen", "männer"), ("mujeres", "hombres"),
+    ("women", "men", "people"), ("woman", "man", "person"), ("girls", "boys", "children"), ("girl", "boy", "child"), ("female", "male", "human"),
+    ("gay", "lesbian", "straight", "bisexual", "transgender", "queer", "adult"),
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "local"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "people"),
+    ("black", "white", "asian", "latino", "arab", "african", "european", "local"),
+    ("immigrant", "native", "refugee", "neighbour"), ("immigrants", "natives", "refugees", "neighbours"),
+    ("old", "young", "other"), ("deaf", "blind", "disabled", "other"),
+    ("femmes", "hommes", "gens"), ("musulmans", "chrétiens", "juifs", "gens"), ("noirs", "blancs", "arabes", "gens"), ("immigrés", "réfugiés", "voisins"),
+    ("frauen", "männer", "leute"), ("muslime", "christen", "juden", "leute"), ("türken", "araber", "deutsche", "leute"), ("einwanderer", "flüchtlinge", "nachbarn"),
+    ("mujeres", "hombres", "gente"), ("musulmanes", "cristianos", "judíos", "gente"), ("negros", "blancos", "árabes", "gente"), ("inmigrantes", "refugiados", "vecinos"),
 )
-GROUP_OF = {term: group for group in IDENTITY_GROUPS for term in group}
+GROUP_OF = {term: group for group in IDENTITY_GROUPS for term in group[:-1]}
 _WORD_CACHE = 100_000
 _KNOWN: dict = {}
 LOG = np.log2(1 + np.arange(1 << 14)).tolist()
@@ -54,6 +58,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
     threshold: float = THRESHOLD
+    pairs: int = 0  # counterfactual pairs that the fit has penalised
 
     def logit(self, words: set[str]) -> float:
         found = Counter(f for w in words for f in features_of(w) if f in self.weights)
@@ -71,7 +76,7 @@ def fit(texts: Iterable[str | None], y: list[int], fairness: float = 1.0, sparsi
         return Model({}, prior)
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words_of(t))], np.int32) for t in texts]
-    for term in GROUP_OF:
+    for term in (t for group in IDENTITY_GROUPS for t in group):
         vocabulary.setdefault(term, len(vocabulary))
     features: dict[str, int] = {}
     of_word = np.full((len(vocabulary), 1 + len(PREFIXES)), -1, np.int32)
@@ -93,29 +98,38 @@ def fit(texts: Iterable[str | None], y: list[int], fairness: float = 1.0, sparsi
     names = [f for f, i in features.items() if at[i] >= 0]
     logs = np.array(LOG)
 
-    def row(words: np.ndarray) -> dict[int, float]:
-        own = of_word[words].ravel()
-        own = at[own[own >= 0]]
-        u, c = np.unique(own[own >= 0], return_counts=True)
-        return dict(zip(u.tolist(), logs[np.minimum(c, len(LOG) - 1)].tolist()))
+    def own(word: int) -> set[int]:
+        return {int(k) for k in at[of_word[word][of_word[word] >= 0]] if k >= 0}
 
+    term_features = {vocabulary[t]: own(vocabulary[t]) for group in IDENTITY_GROUPS for t in group}
+    groups = [[vocabulary[t] for t in group] for group in IDENTITY_GROUPS]
+    group_of = {vocabulary[t]: [vocabulary[x] for x in group] for t, group in GROUP_OF.items()}
     cols, vals, size_of, change_of, change_cols, change_vals, pairs = [], [], [], [], [], [], 0
-    terms = {vocabulary[t]: t for t in GROUP_OF}
-    for d in docs:
-        a = row(d)
-        cols.append(np.fromiter(a.keys(), np.int64, len(a)))
-        vals.append(np.fromiter(a.values(), np.float64, len(a)))
-        size_of.append(len(a))
-        for i in d.tolist():
-            for other in GROUP_OF[terms[i]] if i in terms else ():
-                if other == terms[i]:
-                    continue
-                b = row(np.union1d(d[d != i], [vocabulary[other]]).astype(np.int32))
-                diff = {k: a.get(k, 0.0) - b.get(k, 0.0) for k in sorted(a.keys() | b.keys()) if a.get(k) != b.get(k)}
-                change_of += [pairs] * len(diff)
-                change_cols += diff.keys()
-                change_vals += diff.values()
-                pairs += 1
+    for k, d in enumerate(docs):
+        found = of_word[d].ravel()
+        found = at[found[found >= 0]]
+        u, c = np.unique(found[found >= 0], return_counts=True)
+        cols.append(u)
+        vals.append(logs[np.minimum(c, len(LOG) - 1)])
+        size_of.append(u.size)
+        count, words = dict(zip(u.tolist(), c.tolist())), set(d.tolist())
+        named = sorted(words & group_of.keys())
+        if named:
+            swaps = [(i, j, True) for i in named for j in group_of[i] if j not in words]
+        else:
+            slot = groups[k % len(groups)]
+            swaps = [(i, j, False) for i, j in zip(slot, slot[1:] + slot[:1])]
+        for i, j, there in swaps:
+            # a has the term i (which the text holds, or else is put into it), b has j in its place
+            out, into = (term_features[i] if there or i not in words else set()), (term_features[j] if j not in words else set())
+            for f in sorted(out ^ into):
+                n_a = count.get(f, 0) + (not there and f in out)
+                n_b = count.get(f, 0) - (there and f in out) + (f in into)
+                if n_a != n_b:
+                    change_of.append(pairs)
+                    change_cols.append(f)
+                    change_vals.append(LOG[min(n_a, len(LOG) - 1)] - LOG[min(n_b, len(LOG) - 1)])
+            pairs += 1
     del docs
     cols, vals, of = np.concatenate(cols), np.concatenate(vals), np.repeat(np.arange(n), size_of)
     dof, dcol, dval = np.array(change_of, np.int64), np.array(change_cols, np.int64), np.array(change_vals)
@@ -148,7 +162,7 @@ def fit(texts: Iterable[str | None], y: list[int], fairness: float = 1.0, sparsi
             look, look_bias = new + k * (new - w), new_bias + k * (new_bias - bias)
             w, bias, t = new, new_bias, t_new
         free = w != 0
-    return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(bias))
+    return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(bias), pairs=pairs)
 
 
 def fold(doc_id):

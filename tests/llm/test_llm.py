@@ -318,13 +318,51 @@ def test_op7_held_out_and_fairness(duck):
     test = [(m.score(r[0]) >= 0.7, r[1]) for r in rows if toxicity.held_out(r[2])]
     assert sum(a and b for a, b in test) / sum(b for _, b in test) > 0.85
     assert sum(a and not b for a, b in test) / sum(not b for _, b in test) < 0.01
-    x = ["women are here idiot"] * 30 + ["men are here"] * 30 + ["women are kind"] * 10 + ["men are kind idiot"] * 2
-    y = [1] * 30 + [0] * 30 + [0] * 10 + [1] * 2
-    gap = lambda m: abs(m.score("women are here") - m.score("men are here"))
-    assert gap(toxicity.fit(x, y, fairness=50.0)) < gap(toxicity.fit(x, y, fairness=0.0)) + 1e-9
+    assert m.pairs >= len(fit)
+    plain = toxicity.fit([r[0] for r in fit], [r[1] for r in fit], fairness=0.0)
+    terms = [t for g in toxicity.IDENTITY_GROUPS for t in g]
+    change = lambda m: sum((m.score(f"{a} stand here") - m.score(f"{b} stand here")) ** 2 for g in toxicity.IDENTITY_GROUPS for a in g for b in g)
+    assert change(m) <= change(plain) and all(m.score(f"the {t} of this town") < 0.7 for t in terms)
+
+
+def test_op7_neutral_mentions():
+    """Where toxic texts name a group and clean ones do not, swaps take the group's weight and false positives with it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("bcdfgklmnprst", k=5))
+    insults = [word() for _ in range(40)]
+    x = [f"{rng.choice(['muslims', 'women'])} {word()} {rng.choice(insults)} {word()}" for _ in range(150)] + [f"{word()} {word()} {word()} {word()}" for _ in range(150)]
+    y = [1] * 150 + [0] * 150
+    neutral = [f"{t} {word()} {word()}" for t in ("muslims", "women") for _ in range(50)]
+    wrong = {f: sum((m := toxicity.fit(x, y, fairness=f)).score(t) >= 0.7 for t in neutral) for f in (0.0, 1.0)}
+    assert m.pairs > 300 and wrong[0.0] > 50 and wrong[1.0] < wrong[0.0] / 5
+
+
+def test_op7_slots_without_terms():
+    """No labelled text holds a term, yet a beginning that a term shares with a toxic word loses weight on the term."""
+    x = ["muslix here", "muslox there", "muslax now", "people here", "person there", "gente now"] * 30
+    y = [1, 1, 1, 0, 0, 0] * 30
+    free, fair = (toxicity.fit(x, y, fairness=f) for f in (0.0, 1.0))
+    assert fair.pairs >= 180 and fair.score("muslims here") < free.score("muslims here")
     assert toxicity.fit(["a"], [0]).score(None) < 0.7
 
 
+def test_op7_tables(spark):
+    """An empty table, clashing names, null and repeated ids, ids labelled twice."""
+    docs = spark.createDataFrame([], "doc_id long, text string, toxic int, score double")
+    labels = spark.createDataFrame([], "doc_id long, toxic int, text string")
+    m = toxicity.train(docs, labels)
+    assert toxicity.score_all(docs, m).count() == 0
+    rows = [(k, f"bad{'x' * (k % 3)} thing" if k % 2 else "good thing", 7, 0.5) for k in range(60)] + [(None, "bad thing", 7, 0.5), (4, None, 7, 0.5), (4, "", 7, 0.5)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    labels = spark.createDataFrame([(k, k % 2, "clash") for k in range(60)] + [(5, 0, "x"), (None, 1, "x"), (6, None, "x")], labels.schema)
+    m = toxicity.train(docs, labels)
+    got = toxicity.score_all(docs, m).collect()
+    assert len(got) == 63 and all(r.predicted == (r.score >= 0.7) for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
+    assert all(r.held_out == toxicity.held_out(r.doc_id) for r in got if r.doc_id is not None)
+    assert min(r.score for r in got if r.doc_id is not None and r.doc_id % 2) > max(r.score for r in got if r.doc_id is not None and r.doc_id % 2 == 0)
+
+
 def test_op7_odd_rows(spark):
     m = toxicity.Model({"bad$": 9.0}, -4.0)
     got = toxicity.score_all(frame(spark, ODD + ["a bad one"]), m).collect()
