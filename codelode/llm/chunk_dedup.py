@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunks.
 
-A gear rolling hash is taken at every byte; a cut falls where the hash is the smallest within RADIUS positions
-on either side. Cuts depend on nearby bytes only, so an insertion moves no cut beyond its surroundings and a
-passage is cut alike wherever it stands. Chunks are deduplicated by 128-bit digest: the smallest doc_id that has
-a chunk keeps its first copy. Redundant chunks go where they stand in a row of at least MIN_RUN bytes, which
+A gear rolling hash is taken at every byte; a cut falls where the hash is smaller than all within RADIUS positions
+before it and not greater than any within RADIUS after it, so chunks between cuts are longer than RADIUS bytes.
+Cuts depend on nearby bytes only, so an insertion moves no cut beyond its surroundings and a passage is cut alike
+wherever it stands; MAX_CHUNK bounds the chunks of monotonous text. Chunks are deduplicated by 128-bit digest: the
+smallest doc_id that has a chunk keeps its first copy. Redundant chunks go where they stand in a row of at least MIN_RUN bytes, which
 passes over chance repeats and single short lines, or where they are the whole text.
 """
 
@@ -16,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import rows_of, slices, table
-from codelode.llm.suffix_dedup import cut_spans
+from codelode.llm.common import row_key, rows_of, salted_join, slices, table
+from codelode.llm.suffix_dedup import _sliding_min, cut_spans
 
-RADIUS = 24
+RADIUS = 40
 MIN_RUN = 100
 MAX_CHUNK = 1024
 WINDOW = 32  # bytes that a 32-bit gear hash remembers
@@ -55,13 +56,10 @@ def cuts(text: bytes) -> np.ndarray:
         h = gear_hashes(np.frombuffer(text, np.uint8)[lo:hi])
         if h.size <= 2 * RADIUS:
             continue
-        v, span, width = h, 1, 2 * RADIUS + 1
-        while span * 2 <= width:
-            v = np.minimum(v[: v.size - span], v[span:])
-            span *= 2
-        m = h.size - width + 1
-        least = np.minimum(v[:m], v[width - span : width - span + m])
-        p = np.flatnonzero(h[RADIUS : RADIUS + m] == least) + RADIUS + lo
+        low = _sliding_min(h, RADIUS)
+        m = h.size - 2 * RADIUS
+        here = h[RADIUS : RADIUS + m]
+        p = np.flatnonzero((here < low[:m]) & (here <= low[RADIUS + 1 : RADIUS + 1 + m])) + RADIUS + lo
         found.append(p[(p >= at) & (p < at + BLOCK)] + 1)
     ends = np.concatenate([*found, [n]]) if found else np.array([n])
     ends = np.unique(ends)
@@ -86,20 +84,20 @@ def chunks(text: bytes) -> tuple[list[int], list[bytes]]:
 
 
 def chunk_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, d1, d2): the distinct chunks of each row of docs(doc_id, t)."""
+    """(doc, d1, d2): the distinct chunks of each row of docs(doc, t)."""
 
     def run(batches):
         for b in slices(batches):
             names, found = [], []
-            for name, text in zip(b.column("doc_id").to_pylist(), rows_of(b, "t"), strict=True):
+            for name, text in zip(b.column("doc").to_pylist(), rows_of(b, "t"), strict=True):
                 own = set(chunks(text)[1])
                 names.append(np.full(len(own), name, np.int64))
                 found += own
             d = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             names = np.concatenate(names) if names else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(np.ascontiguousarray(d[:, k])) for k in (0, 1))], ["doc_id", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(np.ascontiguousarray(d[:, k])) for k in (0, 1))], ["doc", "d1", "d2"])
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, d1 long, d2 long")
+    return docs.select("doc", "t").mapInArrow(run, "doc long, d1 long, d2 long")
 
 
 def digest_lists(column: pa.ListArray) -> list[bytes]:
@@ -113,31 +111,34 @@ def digest_lists(column: pa.ListArray) -> list[bytes]:
 def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, n_bytes, n_chunks, n_redundant, n_removed, n_spans, kept binary) for every row of docs(doc_id, text).
 
-    A chunk is redundant if a smaller doc_id has it or it stood earlier in the same text. Null and empty texts
-    have no chunk. Rows with a null doc_id lose nothing but repeats of their own, and no row loses to them; rows
-    that repeat a doc_id are one document. Only the two columns are read; an empty table gives no rows.
+    A chunk is repeated if a smaller doc_id has it or it stood earlier in the same text; n_redundant counts those
+    that are removed. Null and empty texts have no chunk. Rows with a null doc_id come after all ids, equal texts
+    among them as one document; rows that repeat a doc_id are one document. Only the two columns are read; an empty
+    table gives no rows. A chunk that many texts share is salted where texts meet counts (``salted_join``).
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t"))
+    name, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    src = docs.select(name.alias("doc_id"), row_key(name, text).alias("doc"), text.alias("t"))
     seen, _ = table(chunk_digests(src), "chunks")
-    shared = seen.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    lost = seen.join(shared, ["d1", "d2"]).where("doc_id > first")
-    lost = lost.groupBy("doc_id").agg(F.collect_list(F.struct("d1", "d2")).alias("lost"))
+    shared = seen.groupBy("d1", "d2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    lost = salted_join(seen, table(shared, "shared-chunks")[0], ["d1", "d2"], "n", "doc").where("doc > first")
+    lost = lost.groupBy("doc").agg(F.collect_set(F.struct("d1", "d2")).alias("lost"))
 
     def run(batches):
         for b in slices(batches):
             rows = []
             for name, text, gone in zip(b.column("doc_id").to_pylist(), rows_of(b, "t"), digest_lists(b.column("lost")), strict=True):
                 drop = {gone[k : k + 16] for k in range(0, len(gone), 16)}
-                at, spans, redundant, run_from = 0, [], 0, None
+                at, spans, redundant, run_from, run = 0, [], 0, None, 0
                 ends, digests = chunks(text)
                 for e, d in zip([*ends, None], [*digests, None]):
                     if d in drop:
-                        redundant += 1
+                        run += 1
                         run_from = at if run_from is None else run_from
                     else:
                         if run_from is not None and (at - run_from >= min_run or at - run_from == len(text)):
                             spans += (run_from, at)
-                        run_from = None
+                            redundant += run
+                        run_from, run = None, 0
                         drop.add(d)
                     at = e
                 left, n, k = cut_spans(text, spans, 0)
@@ -146,7 +147,7 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             cols = list(zip(*rows)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_chunks", "n_redundant", "n_removed", "n_spans", "kept"])
 
-    return src.join(lost, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_chunks long, n_redundant long, n_removed long, n_spans long, kept binary")
+    return src.join(lost, "doc", "left").select("doc_id", "t", "lost").mapInArrow(run, "doc_id long, n_bytes long, n_chunks long, n_redundant long, n_removed long, n_spans long, kept binary")
 
 
 def op4_chunk_dedup(spark, sf_dir: str) -> DataFrame:
