@@ -225,15 +225,45 @@ def test_op4_brute_force(spark, texts):
 
 
 def test_op5_incremental(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
-    one = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in index.add(frame(spark, ["A", "a", "É", "é", None, ""])).collect()}
+    at = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, at, 4)
+    one = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in index.add(frame(spark, ["A", "a", "É", "é", None, ""]), "first").collect()}
     assert one == {0: (1, 2, False), 1: (1, 2, True), 2: (2, 1, True), 3: (3, 1, True), 4: (5, 2, False), 5: (5, 2, True)}
-    two = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4).add(frame(spark, ["a", "new"], 10)).collect()}
+    two = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.DigestIndex(spark, at, 4).add(frame(spark, ["a", "new"], 10), "second").collect()}
     assert two == {10: (1, False), 11: (11, True)}
+    for k in range(3):
+        exact_dedup.DigestIndex(spark, at, 4).add(frame(spark, [f"more {k} {n}" for n in range(5)] + ["new"], 100 * k + 100)).collect()
+    index = exact_dedup.DigestIndex(spark, at, 4)
+    assert len(index.generations()) <= 4 and sum(g.rows for g in index.generations()) == 4 + 1 + 15
+    # a batch that comes again, as after a lost job, gives the same rows and appends nothing
+    again = {r.doc_id: (r.keep_id, r.kept) for r in index.add(frame(spark, ["a", "new"], 10), "second").collect()}
+    assert again == two and sum(g.rows for g in exact_dedup.DigestIndex(spark, at).generations()) == 20
     plan = exact_dedup.exact_dedup(frame(spark, ["a"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_op5_index_is_read_sorted(spark, tmp_path):
+    """Neither a shuffle nor a sort stands over the scan of the index, and no Python in the plan."""
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    index.add(frame(spark, [f"text {k}" for k in range(100)]))
+    groups = exact_dedup.digests(frame(spark, ["text 5", "unseen"])).groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+    spark.conf.set(exact_dedup.SORTED_READ, "true")
+    try:
+        plan = index.fresh(groups, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(exact_dedup.SORTED_READ, "false")
+    below = plan[plan.index("SortMergeJoin") :].split("\n")
+    scan = next(k for k, line in enumerate(below) if "codelode_digests" in line and "Scan" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, at = [], depth(below[scan])
+    for line in reversed(below[:scan]):
+        if depth(line) < at:
+            above.append(line)
+            at = depth(line)
+    assert above and not any("Sort [" in x or "Exchange" in x for x in above[:-1]) and "SortMergeJoin" in above[-1]
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_op6_rules(spark):
     mit = "The MIT License (MIT)\n\n" + "\n".join(licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-condition", "as-is-software"))
     wrapped = licenses.SENTENCES["bsd-redistribution"][0].replace(" forms", "\nforms") + "\n" + licenses.SENTENCES["bsd-source"][0] + "\n" + licenses.SENTENCES["bsd-binary"][0]
