@@ -73,13 +73,36 @@ def test_op1_bounds_and_odd_vectors(spark):
     x[100:200] = x[:100] + rng.normal(size=(100, 16)) * np.linspace(0.02, 0.6, 100)[:, None]
     norm = np.linalg.norm(x, axis=1)
     want = {(i, j) for i, j in zip(*np.nonzero(np.triu((x @ x.T) / np.outer(norm, norm) >= 0.9, 1)))}
-    got = {(int(a), int(b)) for i, j in embeddings.tile_links(x, x, 0.9, True) for a, b in zip(i, j)}
-    assert got == want and want
+    q, *rest = embeddings.quantise(x)
+    tile = (q.astype(np.int8), *rest)
+    sure, open_ = set(), set()
+    for i, j, s in embeddings.tile_pairs(tile, tile, 0.9, True):
+        for a, b, k in zip(i.tolist(), j.tolist(), s.tolist()):
+            (sure if k else open_).add((a, b))
+    assert sure <= want <= sure | open_ and sure and open_ and len(open_) < len(want)
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.0, 1.0]), (8, [1.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0])]
     out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out.collect()}
-    assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[8] == (2, 1, False)
-    assert all(got[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 9)) and got[None] == (0, None, False)
+    assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[8] == (3, 1, False)
+    assert all(got[k] == (0, k, True) for k in (3, 4, 5, 6, 7, 9)) and got[None] == (3, 1, False)
+    clash = spark.createDataFrame([(1, [1.0, 0.0], 3, "a")], "vec_id long, embedding array<float>, d1 long, rep string")
+    assert [tuple(r) for r in embeddings.near_duplicates(clash).collect()] == [(1, 0, 1, True)]
+    assert embeddings.near_duplicates(clash.limit(0)).count() == 0
+
+
+def test_op1_around_the_threshold(spark):
+    """Vectors whose cosines crowd at 0.9, where most pairs are open, against brute force in double precision."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 24))
+    x[1:90] = x[0] + rng.normal(size=(89, 24)) * np.linalg.norm(x[0]) / np.sqrt(24) * 0.333
+    x = x.astype(np.float32).astype(np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    near = (x @ x.T) / np.outer(norm, norm) >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")).collect()}
+    root = common.forest(len(x), *np.nonzero(np.triu(near, 1)))
+    assert [got[k].n_links for k in range(len(x))] == near.sum(axis=1).tolist() and near.any()
+    assert [got[k].component_id for k in range(len(x))] == root.tolist()
 
 
 def test_op1_many_tiles(spark):
