@@ -142,7 +142,8 @@ class LineIndex:
     one cuckoo filter for the keys of a shard that two documents or more hold; ``postings`` (doc, h1, h2) of an
     insertion or ``gone`` (doc) of a deletion; last of all ``meta``, which makes the version valid, so a change
     that was cut short leaves the one before. Opening a folder again continues at its last version. The number of
-    shards is a power of two that doubles with the repeated keys, so a filter stays at about SHARD_KEYS keys.
+    shards is a power of two that doubles with the distinct keys, so that a shard has SHARD_KEYS to twice as many of
+    them to count and probe, and its filter fewer.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS):
@@ -220,8 +221,9 @@ class LineIndex:
                 counts = old.join(touched, ["h1", "h2"], "left_anti").unionByName(self._count(self.postings.join(touched, ["h1", "h2"], "left_semi")))
             else:
                 counts = self.spark.createDataFrame([], COUNTS)
-            now = put(counts, "counts").where(REPEATED).select("h1", "h2")
-            n = now.count()
+            counts = put(counts, "counts")
+            now = counts.where(REPEATED).select("h1", "h2")
+            n = counts.count()
             while n > 2 * self.shard_keys * self.shards:
                 self.shards *= 2
             if old is None or self.shards != shards:
