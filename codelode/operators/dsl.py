@@ -169,10 +169,13 @@ def canonical(node: Node, ignore: frozenset = frozenset()):
     plain, keyed, i = [], [], 0
     while i < len(node.items):
         item = node.items[i]
-        if item.items is None and item.text.startswith(":") and i + 1 < len(node.items):
+        if item.items is None and item.text.startswith(":"):
+            # a keyword before another keyword or at the end is a flag, without a value
+            after = node.items[i + 1] if i + 1 < len(node.items) else None
+            flag = after is None or (after.items is None and after.text.startswith(":"))
             if item.text not in ignore and item.text[1:] not in ignore:
-                keyed.append((item.text, canonical(node.items[i + 1], ignore)))
-            i += 2
+                keyed.append((item.text, ("flag",) if flag else canonical(after, ignore)))
+            i += 1 if flag else 2
         else:
             plain.append(canonical(item, ignore))
             i += 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.scratch import cut
@@ -23,6 +23,11 @@ def rollup(edges: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups.groupBy("grp").agg(F.count("*").alias("members")), between
 
 
+def rollup_frontier(groups: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(grp, members, frontier): the counts of frontier(id, n), what a bounded slice left out, added up by group."""
+    return groups.join(frontier, "id", "left").groupBy("grp").agg(F.count("*").alias("members"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("frontier"))
+
+
 def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct non-self predecessors and successors, and instability to three digits (0 when isolated)."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
@@ -123,6 +128,47 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(new))
 
 
+class SliceTooLarge(ValueError):
+    """A slice has more edges than one task may take."""
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest node that each node is joined to, direction aside.
+
+    Each round takes the least label of the neighbours and then the label of that label, so the rounds follow the
+    logarithm of a component's extent rather than the extent; nothing is collected.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = cut(both.where("src <> dst").distinct())
+    names = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    label = cut(names.withColumn("component", F.col("id")))
+    while True:
+        near = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("least"))
+        low = label.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "least").alias("at"))
+        # the label that a node's old label gets, by way of any of its nodes, and then the label of the label
+        lower = low.groupBy(F.col("was").alias("root")).agg(F.min("at").alias("to"))
+        low = low.join(lower, low.at == lower.root, "left").select("id", "was", F.least("at", F.coalesce("to", "at")).alias("at"))
+        new = cut(low)
+        label = new.select("id", F.col("at").alias("component"))
+        if not new.where("was <> at").take(1):
+            return label
+
+
+def slices(edges: DataFrame, budget: int = 1_000_000) -> DataFrame:
+    """edges(src, dst) with the slice each belongs to, its weak component; SliceTooLarge if one has over budget edges."""
+    comp = weak_components(edges).select(F.col("id").alias("src"), F.col("component").alias("slice"))
+    out = edges.select("src", "dst").join(comp, "src").select("slice", "src", "dst")
+    return within_budget(out, budget)
+
+
+def within_budget(edges: DataFrame, budget: int) -> DataFrame:
+    """edges(slice, ...) as they are, if no slice has over budget of them."""
+    most = edges.groupBy("slice").count().agg(F.max("count")).first()[0]
+    if most is not None and most > budget:
+        raise SliceTooLarge(f"a slice has {most} edges, over the budget of {budget}")
+    return edges
+
+
 def strong_components_of(pairs: list[tuple[int, int]]) -> dict[int, int]:
     """Node to the smallest node of its strong component (iterative path-based search)."""
     succ: dict[int, list[int]] = {}
@@ -252,8 +298,24 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def hubs(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> DataFrame:
     """(id, deg, fan_in, fan_out, hub): hubs are cut nodes or nodes at or over the 90th nearest-rank fan-in (at least 2)."""
     c = coupling(nodes, edges).select("id", F.col("ca").alias("fan_in"), F.col("ce").alias("fan_out"))
-    ordered = c.agg(F.array_sort(F.collect_list("fan_in")).alias("all"))  # a slice is bounded by its budget
-    n = F.size("all")
-    gate = ordered.select(F.greatest(F.lit(2), F.element_at("all", F.least(F.floor(n * 90 / 100), n - 1).cast("int") + 1)).alias("gate"))
-    marked = c.join(F.broadcast(gate)).join(cuts.select("id").withColumn("cut", F.lit(True)), "id", "left")
+    # the nearest rank from the counts of each fan-in: as many rows as there are distinct fan-ins
+    sizes = c.groupBy("fan_in").agg(F.count("*").alias("k"))
+    below = Window.orderBy("fan_in").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = sizes.select("fan_in", F.sum("k").over(below).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    at = F.least(F.floor(F.col("n") * 90 / 100), F.col("n") - 1)
+    gate = ranked.where(F.col("upto") > at).agg(F.greatest(F.lit(2), F.min("fan_in")).alias("gate"))
+    marked = c.crossJoin(F.broadcast(gate)).join(cuts.select("id").withColumn("cut", F.lit(True)), "id", "left")  # one row
     return marked.select("id", (F.col("fan_in") + F.col("fan_out")).alias("deg"), "fan_in", "fan_out", (F.coalesce("cut", F.lit(False)) | (F.col("fan_in") >= F.col("gate"))).alias("hub"))
+
+
+def metrics(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> DataFrame:
+    """One row: nodes, edges, cycles, and the labels of the most unstable and the most depended on of nodes(id, label).
+
+    Nodes are ranked by instability, fan-out and id; the most depended on is the first of that rank with the largest fan-in.
+    """
+    c = coupling(nodes, edges).join(nodes.select("id", "label"), "id")
+    unstable = F.min_by("label", F.struct(-F.col("instability"), -F.col("ce"), F.col("id")))
+    wanted = F.min_by("label", F.struct(-F.col("ca"), -F.col("instability"), -F.col("ce"), F.col("id")))
+    head = c.agg(F.count("*").alias("nodes"), unstable.alias("most_unstable"), wanted.alias("most_depended_on"))
+    cycles = components.where("cyclic").agg(F.countDistinct("slice", "component").alias("cycles"))
+    return head.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(cycles).select("nodes", "edges", "cycles", "most_unstable", "most_depended_on")  # three single rows

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.functions import text
+from codelode.functions import paths, text
 
 
 def postings(files: DataFrame) -> DataFrame:
@@ -136,14 +136,23 @@ def join_in_tiles(left: DataFrame, right: DataFrame, key: str, rows: tuple[int,
     return a.join(b, [key, "_a", "_b"]).drop("_a", "_b")
 
 
-def staged_seeds(files: DataFrame, symbols: DataFrame, seed: str, limit: int = 25) -> DataFrame:
-    """(id, path, stage): files of the first stage that finds any: path, symbol name, fuzzy path, text."""
-    paths = files.select("id", "path")
-    one = paths.where((F.col("path") == seed) | F.col("path").endswith("/" + seed)).withColumn("stage", F.lit(1))
-    two = symbols.where(F.col("name") == seed).select(F.col("file_id").alias("id"), "path").distinct().withColumn("stage", F.lit(2))
-    found = one.unionByName(two)
-    if not any(c in seed for c in "%_"):
-        found = found.unionByName(paths.where(F.col("path").ilike(f"%{seed}%")).withColumn("stage", F.lit(3)))
-    found = found.unionByName(files.where(has_term(seed)).select("id", "path").withColumn("stage", F.lit(4)))
-    best = found.agg(F.min("stage").alias("stage"))
-    return found.join(F.broadcast(best), "stage").orderBy(F.length("path"), "path").limit(limit).select("id", "path", "stage")
+def staged_seeds(files: DataFrame, symbols: DataFrame, seed: str, limit: int = 25, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, path, stage): files of the first stage that finds any, the first limit of them.
+
+    Stages: 1 the path or its end, shortest first; 2 the name of a symbol in it; 3 a part of a symbol's name, for
+    seeds without LIKE signs; 4 path or text, in order of BM25. All stages are decided in one pass over either table.
+    """
+    want, path = paths.normalise(F.lit(seed)), paths.normalise(F.col("path"))
+    low = F.lower(F.concat_ws("\n", "path", "content"))
+    tf = (F.length(low) - F.length(F.replace(low, F.lit(seed.lower()), F.lit("")))) / max(1, len(seed))
+    mean = files.agg(F.avg(F.length("content")).alias("mean"))
+    score = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.length("content") / F.col("mean")))
+    by_file = files.crossJoin(F.broadcast(mean))  # one row of totals
+    stage = F.when((path == want) | F.endswith(path, F.concat(F.lit("/"), want)), 1).when(has_term(seed), 4)
+    by_file = by_file.select("id", "path", stage.alias("stage"), F.when(stage == 4, -score).alias("rank"))
+    fuzzy = F.lit(False) if any(c in seed for c in "%_") else F.col("name").ilike(f"%{seed}%")
+    by_name = symbols.select(F.col("file_id").alias("id"), "path", F.when(F.col("name") == seed, 2).when(fuzzy, 3).alias("stage"), F.lit(None).cast("double").alias("rank"))
+    found = by_file.unionByName(by_name).where("stage IS NOT NULL").groupBy("id", "path").agg(F.min_by("rank", "stage").alias("rank"), F.min("stage").alias("stage"))
+    first = found.agg(F.min("stage").alias("stage"))
+    best = found.join(F.broadcast(first), "stage")  # one row
+    return best.orderBy("rank", F.when(F.col("stage") == 1, F.length("path")), "path", "id").limit(limit).select("id", "path", "stage")

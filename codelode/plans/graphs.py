@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codelode.operators import boundary, graph, trace
 from codelode.plans.registry import query
 from codelode.sources import views
-from codelode.sources.views import LOG, NATIONS, NOTES, RING, TRADE, TURNS
+from codelode.sources.views import LOG, MEMBERS, NATIONS, NOTES, TRADE, TURNS, WEB
 
 DEDUP = "dd AS (SELECT src, dst, relation, CAST(sum(weight) AS BIGINT) AS weight FROM trade GROUP BY 1, 2, 3)"
 GRAPH = "WITH " + TRADE + ", " + DEDUP + ", " + NATIONS
@@ -40,22 +40,23 @@ def rollup_module(spark, d):
     return graph.rollup(e, n.select("id", F.col("module").alias("grp")))[0]
 
 
-COUPLED = """, c AS (SELECT n_nationkey AS id, (SELECT count(DISTINCT src) FROM ring WHERE dst = n_nationkey) AS ca, (SELECT count(DISTINCT dst) FROM ring WHERE src = n_nationkey) AS ce FROM nation)"""
+COUPLED = """, c AS (SELECT id, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce FROM members LEFT JOIN (SELECT dst AS id, count(*) AS ca FROM web GROUP BY 1) USING (id)
+ LEFT JOIN (SELECT src AS id, count(*) AS ce FROM web GROUP BY 1) USING (id))"""
 
 
-@query("WITH " + RING + COUPLED + " SELECT CAST(id AS BIGINT) AS id, ca, ce, CASE WHEN ca + ce = 0 THEN 0.0 ELSE round(ce / (ca + ce), 3) END AS instability FROM c")
+@query("WITH " + WEB + ", " + MEMBERS + COUPLED + " SELECT CAST(id AS BIGINT) AS id, ca, ce, CASE WHEN ca + ce = 0 THEN 0.0 ELSE round(ce / (ca + ce), 3) END AS instability FROM c")
 def node_coupling(spark, d):
-    return graph.coupling(views.nations(spark, d), views.ring(spark, d))
+    return graph.coupling(views.members(spark, d), views.web(spark, d))
 
 
-BFS = """WITH RECURSIVE """ + RING + """, r(id, depth) AS (SELECT 0, 0 UNION SELECT ring.dst, r.depth + 1 FROM r JOIN ring ON ring.src = r.id WHERE r.depth < 3),
+BFS = """WITH RECURSIVE """ + WEB + """, r(id, depth) AS (SELECT min(src), 0 FROM web UNION SELECT web.dst, r.depth + 1 FROM r JOIN web ON web.src = r.id WHERE r.depth < 3),
 m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)"""
 
 
 @query(BFS + " SELECT CAST(id AS BIGINT) AS id, CAST(depth AS INTEGER) AS depth FROM m")
 def bfs_bounded(spark, d):
-    seeds = views.nations(spark, d).where("id = 0").select("id")
-    return graph.bfs_bounded(views.ring(spark, d), seeds, 200, 3, "out").nodes
+    e = views.web(spark, d)
+    return graph.bfs_bounded(e, e.agg(F.min("src").alias("id")), 200, 3, "out").nodes
 
 
 @query(
@@ -65,8 +66,8 @@ SELECT (SELECT count(*) FROM m WHERE depth <= top) AS n_nodes, coalesce((SELECT
  CAST(least(top, (SELECT max(depth) FROM m)) AS INTEGER) AS frontier_depth, (SELECT count(*) FROM m WHERE depth = top + 1) AS elided FROM t"""
 )
 def bfs_truncated_accounting(spark, d):
-    seeds = views.nations(spark, d).where("id = 0").select("id")
-    s = graph.bfs_bounded(views.ring(spark, d), seeds, 4, 3, "out")
+    e = views.web(spark, d)
+    s = graph.bfs_bounded(e, e.agg(F.min("src").alias("id")), 4, 3, "out")
     one = s.nodes.agg(F.count("*").alias("n_nodes"))
     return one.select("n_nodes", F.lit(s.truncated).alias("truncated"), F.lit(s.frontier_depth).alias("frontier_depth"), F.lit(s.elided).cast("long").alias("elided"))
 
@@ -80,7 +81,7 @@ def toposort_layers(spark, d):
     return graph.layers(views.turns(spark, d))[0]
 
 
-REACH = "WITH RECURSIVE " + RING + ", reach(a, b) AS (SELECT src, dst FROM ring UNION SELECT reach.a, ring.dst FROM reach JOIN ring ON ring.src = reach.b), ids AS (SELECT src AS id FROM ring UNION SELECT dst FROM ring)"
+REACH = "WITH RECURSIVE " + WEB + ", reach(a, b) AS (SELECT src, dst FROM web UNION SELECT reach.a, web.dst FROM reach JOIN web ON web.src = reach.b), ids AS (SELECT src AS id FROM web UNION SELECT dst FROM web)"
 
 
 @query(
@@ -88,12 +89,11 @@ REACH = "WITH RECURSIVE " + RING + ", reach(a, b) AS (SELECT src, dst FROM ring
 SELECT id, min(other) AS component, count(*) AS size, count(*) > 1 AS cyclic FROM s GROUP BY id"""
 )
 def scc_cycles(spark, d):
-    e = views.ring(spark, d).withColumn("slice", F.lit(1).cast("long"))
-    return graph.strong_components(e).drop("slice")
+    return graph.strong_components(graph.slices(views.web(spark, d))).drop("slice")
 
 
-SPARSE = RING.replace("% 17 = 5", "% 29 = 5")
-UNDIRECTED = SPARSE + """, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM ring GROUP BY 1, 2),
+SPARSE = WEB.replace("% 9 = 5", "% 23 = 5")
+UNDIRECTED = SPARSE + """, u AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM web GROUP BY 1, 2),
 adj AS (SELECT a AS s, b AS t, a, b FROM u UNION ALL SELECT b, a, a, b FROM u)"""
 
 
@@ -102,7 +102,7 @@ adj AS (SELECT a AS s, b AS t, a, b FROM u UNION ALL SELECT b, a, a, b FROM u)""
 SELECT a, b FROM u WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = u.a AND r.b = u.b AND r.cur = u.b)"""
 )
 def bridges(spark, d):
-    return graph.bridges(views.ring(spark, d, 29).withColumn("slice", F.lit(1).cast("long"))).drop("slice")
+    return graph.bridges(graph.slices(views.web(spark, d, 23))).drop("slice")
 
 
 @query(
@@ -111,20 +111,19 @@ r(x, cur) AS (SELECT x, first FROM near UNION SELECT r.x, adj.t FROM r JOIN adj
 SELECT DISTINCT adj.s AS id FROM adj WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = adj.s AND r.cur = adj.t)"""
 )
 def cut_nodes(spark, d):
-    return graph.cut_nodes(views.ring(spark, d, 29).withColumn("slice", F.lit(1).cast("long"))).drop("slice")
+    return graph.cut_nodes(graph.slices(views.web(spark, d, 23))).drop("slice")
 
 
 @query(
     "WITH RECURSIVE " + UNDIRECTED + """, near AS (SELECT s AS x, min(t) AS first FROM adj GROUP BY s),
 r(x, cur) AS (SELECT x, first FROM near UNION SELECT r.x, adj.t FROM r JOIN adj ON adj.s = r.cur AND adj.t <> r.x),
-k AS (SELECT DISTINCT adj.s AS id FROM adj WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = adj.s AND r.cur = adj.t))""" + COUPLED + """,
+k AS (SELECT DISTINCT adj.s AS id FROM adj WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.x = adj.s AND r.cur = adj.t)), """ + MEMBERS + COUPLED + """,
 o AS (SELECT list_sort(list(ca)) AS al FROM c), g AS (SELECT greatest(2, al[CAST(least(floor(90 * len(al) / 100), len(al) - 1) AS INTEGER) + 1]) AS gate FROM o)
 SELECT CAST(c.id AS BIGINT) AS id, ca + ce AS deg, ca AS fan_in, ce AS fan_out, c.id IN (SELECT id FROM k) OR ca >= gate AS hub FROM c, g"""
 )
 def importance_hubs(spark, d):
-    e = views.ring(spark, d, 29)
-    cuts = graph.cut_nodes(e.withColumn("slice", F.lit(1).cast("long")))
-    return graph.hubs(views.nations(spark, d), e, cuts)
+    e = views.web(spark, d, 23)
+    return graph.hubs(views.members(spark, d), e, graph.cut_nodes(graph.slices(e)))
 
 
 @query(ZONED + " SELECT id, zone FROM z")
@@ -157,13 +156,13 @@ def internal_view(spark, d):
 
 
 @query(
-    "WITH " + RING + ", " + NATIONS + """, z AS (SELECT *, CASE WHEN label LIKE 'EUROPE/%' THEN 'target' ELSE 'dependency' END AS zone FROM nodes),
-x AS (SELECT ring.* FROM ring JOIN z a ON a.id = src JOIN z b ON b.id = dst WHERE a.zone = 'target' AND b.zone = 'dependency')
+    "WITH " + WEB + ", " + MEMBERS + """, z AS (SELECT *, CASE WHEN label LIKE 'EUROPE/%' THEN 'target' ELSE 'dependency' END AS zone FROM members),
+x AS (SELECT web.* FROM web JOIN z a ON a.id = src JOIN z b ON b.id = dst WHERE a.zone = 'target' AND b.zone = 'dependency')
 SELECT id, CASE WHEN zone = 'target' AND id NOT IN (SELECT src FROM x) THEN 0 WHEN zone = 'target' THEN 1 WHEN id IN (SELECT dst FROM x) THEN 2 ELSE 3 END AS band FROM z"""
 )
 def bands_four(spark, d):
-    n = boundary.zones(views.nations(spark, d).withColumn("path", F.col("label")), "EUROPE")
-    return boundary.bands(views.ring(spark, d), n).select("id", "band")
+    n = boundary.zones(views.members(spark, d).withColumn("path", F.col("label")), "EUROPE")
+    return boundary.bands(views.web(spark, d), n).select("id", "band")
 
 
 SPEC = [{"name": "West", "include": ["src1", "src1/fr", "src2"], "exclude": ["src1/de"]}, {"name": "French", "include": ["src1/fr"]}, {"name": "Rest", "include": ["src3/"], "exclude": ["*doc3*"]}]
@@ -215,34 +214,72 @@ def module_fan_stats(spark, d):
 
 
 @query(
-    "WITH RECURSIVE " + RING + """, q AS (SELECT DISTINCT CAST(a.n_regionkey AS BIGINT) AS src, CAST(b.n_regionkey AS BIGINT) AS dst FROM ring JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey <> b.n_regionkey),
+    "WITH RECURSIVE " + WEB + ", " + MEMBERS + """, q AS (SELECT DISTINCT a.m AS src, b.m AS dst FROM web JOIN members a ON a.id = src JOIN members b ON b.id = dst WHERE a.m <> b.m AND (a.m + b.m) % 7 = 3),
 reach(a, b) AS (SELECT src, dst FROM q UNION SELECT reach.a, q.dst FROM reach JOIN q ON q.src = reach.b), ids AS (SELECT src AS id FROM q UNION SELECT dst FROM q),
 s AS (SELECT x.a AS id, x.b AS other FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a UNION SELECT id, id FROM ids)
 SELECT id, min(other) AS component, count(*) AS size FROM s GROUP BY id"""
 )
 def module_cycles(spark, d):
-    n = views.read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("m"))
-    e = views.ring(spark, d).join(n.select(F.col("id").alias("src"), F.col("m").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("m").alias("b")), "dst")
-    q = e.where("a <> b").select(F.lit(1).cast("long").alias("slice"), F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    return graph.strong_components(q).select("id", "component", "size")
+    n = views.members(spark, d)
+    e = views.web(spark, d).join(n.select(F.col("id").alias("src"), F.col("m").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("m").alias("b")), "dst")
+    q = e.where("a <> b AND (a + b) % 7 = 3").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return graph.strong_components(graph.slices(q)).select("id", "component", "size")
 
 
-@query("WITH " + RING + COUPLED + ", " + NATIONS + " SELECT c.id::BIGINT AS id FROM c JOIN nodes n ON n.id = c.id WHERE n.label NOT LIKE 'EUROPE/%' AND (n.label LIKE 'ASIA/%' OR c.ca >= 3)")
+@query("WITH " + WEB + ", " + MEMBERS + COUPLED + " SELECT c.id::BIGINT AS id FROM c JOIN members n ON n.id = c.id WHERE n.label NOT LIKE 'EUROPE/%' AND (n.label LIKE 'ASIA/%' OR c.ca >= 3)")
 def view_hide(spark, d):
-    n = views.nations(spark, d)
-    fan = graph.coupling(n, views.ring(spark, d)).select("id", F.col("ca").alias("fan_in"))
+    n = views.members(spark, d)
+    fan = graph.coupling(n, views.web(spark, d)).select("id", F.col("ca").alias("fan_in"))
     z = boundary.zones(n.withColumn("path", F.col("label")), "EUROPE").join(fan, "id")
     return boundary.hidden(z, patterns=["ASIA/*"], min_fan_in=3).select("id")
 
 
-@query("WITH " + NATIONS + ", " + RING + " SELECT src, dst FROM ring WHERE src IN (SELECT id FROM nodes WHERE module IN ('ASIA', 'EUROPE')) AND dst IN (SELECT id FROM nodes WHERE module IN ('ASIA', 'EUROPE'))")
+@query("WITH " + MEMBERS + ", " + WEB + " SELECT src, dst FROM web WHERE src IN (SELECT id FROM members WHERE module IN ('ASIA', 'EUROPE')) AND dst IN (SELECT id FROM members WHERE module IN ('ASIA', 'EUROPE'))")
 def induced_subgraph(spark, d):
-    return graph.induced(views.nations(spark, d).where("module IN ('ASIA', 'EUROPE')"), views.ring(spark, d)).select("src", "dst")
+    return graph.induced(views.members(spark, d).where("module IN ('ASIA', 'EUROPE')"), views.web(spark, d)).select("src", "dst")
 
 
-@query("WITH RECURSIVE " + RING + ", r(id) AS (SELECT CAST(3 AS BIGINT) UNION SELECT ring.dst FROM r JOIN ring ON ring.src = r.id) SELECT id FROM r")
+@query("WITH RECURSIVE " + WEB + ", r(id) AS (SELECT min(src) FROM web UNION SELECT web.dst FROM r JOIN web ON web.src = r.id) SELECT id FROM r")
 def chain_descendants(spark, d):
-    return graph.reachable(views.ring(spark, d), views.nations(spark, d).where("id = 3"))
+    e = views.web(spark, d)
+    return graph.reachable(e, e.agg(F.min("src").alias("id")))
+
+
+@query("WITH RECURSIVE " + WEB + ", r(id) AS (SELECT max(dst) FROM web UNION SELECT web.src FROM r JOIN web ON web.dst = r.id) SELECT id FROM r")
+def chain_ancestors(spark, d):
+    e = views.web(spark, d)
+    return graph.reachable(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), e.agg(F.max("dst").alias("id")))
+
+
+@query(
+    "WITH RECURSIVE " + UNDIRECTED + """, w(id, r) AS (SELECT s, s FROM adj UNION SELECT adj.t, w.r FROM w JOIN adj ON adj.s = w.id)
+SELECT id, min(r) AS component FROM w GROUP BY id"""
+)
+def weak_components(spark, d):
+    return graph.weak_components(views.web(spark, d, 23))
+
+
+@query(
+    "WITH RECURSIVE " + SPARSE + ", " + MEMBERS + COUPLED + """, f AS (SELECT id, label, ca, ce, CASE WHEN ca + ce = 0 THEN 0.0 ELSE round(ce / (ca + ce), 3) END AS inst FROM c JOIN members USING (id)),
+reach(a, b) AS (SELECT src, dst FROM web UNION SELECT reach.a, web.dst FROM reach JOIN web ON web.src = reach.b),
+s AS (SELECT x.a AS id, min(x.b) AS comp FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+SELECT (SELECT count(*) FROM f) AS nodes, (SELECT count(*) FROM web) AS edges, (SELECT count(DISTINCT comp) FROM s) AS cycles,
+ (SELECT arg_min(label, (-inst, -ce, id)) FROM f) AS most_unstable, (SELECT arg_min(label, (-ca, -inst, -ce, id)) FROM f) AS most_depended_on"""
+)
+def metrics_summary(spark, d):
+    e = views.web(spark, d, 23)
+    return graph.metrics(views.members(spark, d), e, graph.strong_components(graph.slices(e)))
+
+
+@query(
+    "WITH RECURSIVE " + WEB + ", " + MEMBERS + """, q AS (SELECT src, count(DISTINCT dst) AS n FROM web GROUP BY 1)
+SELECT module AS grp, count(*) AS members, CAST(coalesce(sum(q.n), 0) AS BIGINT) AS frontier FROM members LEFT JOIN q ON q.src = id GROUP BY 1"""
+)
+def rollup_frontier(spark, d):
+    """The fan-outs of all nodes, taken as a frontier, by module."""
+    n = views.members(spark, d).select("id", F.col("module").alias("grp"))
+    frontier = views.web(spark, d).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("n"))
+    return graph.rollup_frontier(n, frontier)
 
 
 LATEST = "WITH " + LOG + ", " + NOTES + ", n AS (SELECT log_id, max_by(note, id) AS note, max_by(tag, id) AS tag, max_by(status, id) AS status FROM notes GROUP BY 1), ln AS (SELECT qlog.*, note, tag, status FROM qlog LEFT JOIN n ON log_id = qlog.id)"

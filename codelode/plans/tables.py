@@ -194,14 +194,24 @@ def definition_preference(spark, d):
     return resolve.definitions(views.symbols(spark, d)).select("id", "name")
 
 
-@query(
-    WITH + SYMBOLS + """, a AS (SELECT id, path, 1 AS stage FROM files WHERE path = 'doc7.' OR ends_with(path, '/doc7.')
-UNION ALL SELECT DISTINCT file_id, path, 2 FROM symbols WHERE name = 'doc7.' UNION ALL SELECT id, path, 3 FROM files WHERE path ILIKE '%doc7.%'
-UNION ALL SELECT id, path, 4 FROM files WHERE contains(lower(content), 'doc7.') OR contains(lower(path), 'doc7.'))
-SELECT id, path, stage FROM a WHERE stage = (SELECT min(stage) FROM a) ORDER BY length(path), path LIMIT 25"""
-)
+def _seed_sql(seed: str) -> str:
+    low = seed.lower()
+    return WITH + SYMBOLS + f""", a AS (SELECT id, path, 1 AS stage FROM files WHERE path = '{seed}' OR ends_with(path, '/{seed}')
+UNION ALL SELECT DISTINCT file_id, path, 2 FROM symbols WHERE name = '{seed}' UNION ALL SELECT DISTINCT file_id, path, 3 FROM symbols WHERE name ILIKE '%{seed}%'
+UNION ALL SELECT id, path, 4 FROM files WHERE contains(lower(content), '{low}') OR contains(lower(path), '{low}'))
+SELECT id, path, stage FROM a WHERE stage = (SELECT min(stage) FROM a) ORDER BY length(path) * (stage = 1)::INTEGER, path LIMIT 25"""
+
+
+@query(_seed_sql("doc7.en"))
 def file_seed_stages(spark, d):
-    return search.staged_seeds(views.files(spark, d), views.symbols(spark, d), "doc7.")
+    """Found by the end of a path, or by text where there is no such path."""
+    return search.staged_seeds(views.files(spark, d), views.symbols(spark, d), "doc7.en")
+
+
+@query(_seed_sql("tionea"))
+def file_seed_by_symbol(spark, d):
+    """No path ends in this and no symbol is named so, but symbols have it in their names."""
+    return search.staged_seeds(views.files(spark, d), views.symbols(spark, d), "tionea")
 
 
 RULES = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,17 @@ SCHEMAS = {
 }
 
 
+# nodes of parsed plans that change something
+_WRITES = re.compile(r"(?m)^[ :+\-]*'?(Insert\w*|Create\w*|Replace\w*|Drop\w*|Alter\w*|Rename\w*|Delete\w*|Update\w*|Merge\w*|Truncate\w*|Overwrite\w*|Append\w*|Load\w*|Cache\w*|Uncache\w*|Refresh\w*|Repair\w*|Recover\w*|Set\w*|Unset\w*|Reset\w*|Add\w+|Analyze\w*|Comment\w*|Clear\w*|Use\w*|Call\w*|Execute\w*|Declare\w*|Compound\w*)\b")
+
+
 class Store:
-    """Opens or makes a store. Tables that are not there read as empty."""
+    """Opens or makes a store. Tables that are not there read as empty; a store to be read must be there."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
+        self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
+        if read_only and not any(self.has(name) for name in SCHEMAS):
+            raise FileNotFoundError(f"no store in {path}")
 
     def has(self, name: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -38,6 +45,8 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def write(self, name: str, rows: DataFrame, mode: str = "overwrite") -> None:
+        if self.read_only:
+            raise PermissionError("the store is open for reading")
         rows.select(*StructType.fromDDL(SCHEMAS[name]).fieldNames()).write.mode(mode).parquet(f"{self.path}/{name}")
 
     def register(self) -> None:
@@ -46,11 +55,11 @@ class Store:
         text.register(self.spark)
 
     def sql(self, statement: str) -> DataFrame:
-        """One read-only statement over the registered tables."""
-        word = statement.lstrip(" \t\r\n(").split(None, 1)[0].lower() if statement.strip() else ""
-        if word not in ("select", "with", "values", "table", "from", "describe", "show", "explain"):
-            raise ValueError("only queries are accepted")
+        """One read-only statement over the registered tables; anything whose plan holds a command is refused."""
         self.register()
+        parsed = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
+        if _WRITES.search(parsed):
+            raise ValueError("only queries are accepted")
         return self.spark.sql(statement)
 
 

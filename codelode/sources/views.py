@@ -82,15 +82,27 @@ TRADE = """trade AS (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
-def ring(spark: SparkSession, sf_dir: str, thin: int = 17) -> DataFrame:
-    """A sparse graph on nations whose shape does not depend on the scale."""
-    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    a, b = n.select(F.col("k").alias("src")), n.select(F.col("k").alias("dst"))
-    return a.join(b, ((F.col("src") * 7 + F.col("dst") * 3) % thin == 5) & (F.col("src") != F.col("dst")))
+def web(spark: SparkSession, sf_dir: str, thin: int = 9) -> DataFrame:
+    """A sparse graph on customers that grows with the tables: a share of the orders leads from its customer to another."""
+    o = read(spark, sf_dir, "orders").where(f"o_orderkey % {thin} = 5")
+    n = read(spark, sf_dir, "customer").agg(F.count("*").alias("n"))
+    dst = ((F.col("o_orderkey") * 7 + 3) % F.col("n")).cast("long").alias("dst")
+    return o.crossJoin(F.broadcast(n)).select(F.col("o_custkey").cast("long").alias("src"), dst).where("src <> dst").distinct()  # one row is joined
 
 
-RING = """ring AS (SELECT CAST(a.n_nationkey AS BIGINT) AS src, CAST(b.n_nationkey AS BIGINT) AS dst FROM nation a, nation b
- WHERE (a.n_nationkey * 7 + b.n_nationkey * 3) % 17 = 5 AND a.n_nationkey <> b.n_nationkey)"""
+WEB = """web AS (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS src, CAST((o_orderkey * 7 + 3) % (SELECT count(*) FROM customer) AS BIGINT) AS dst FROM orders
+ WHERE o_orderkey % 9 = 5 AND o_custkey <> (o_orderkey * 7 + 3) % (SELECT count(*) FROM customer))"""
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of web with a path-like label and a module: the nation."""
+    c, n, r = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.select(F.col("c_custkey").cast("long").alias("id"), F.concat_ws("/", "r_name", "n_name", "c_custkey").alias("label"), F.col("n_nationkey").cast("long").alias("m"), F.col("r_name").alias("module"))
+
+
+MEMBERS = """members AS (SELECT CAST(c_custkey AS BIGINT) AS id, r_name || '/' || n_name || '/' || c_custkey AS label, CAST(n_nationkey AS BIGINT) AS m, r_name AS module
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
