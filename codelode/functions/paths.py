@@ -69,3 +69,26 @@ def in_zone(path: Column, root: str) -> Column:
     root = re.sub(r"^[./]+", "", root.replace("\\", "/")).rstrip("/")
     p = normalise(path)
     return F.when(path.isNull(), F.lit(False)).when(F.lit(root == ""), F.lit(True)).otherwise((p == root) | p.startswith(root + "/"))
+
+
+# Files that mark the root of a module; *.build.cs and *.uplugin do as well.
+BUILD_MARKERS = ("cmakelists.txt", "pyproject.toml", "package.json", "cargo.toml", "go.mod", "setup.py", "build.gradle")
+
+
+def is_build_marker(path: Column, names: tuple[str, ...] = BUILD_MARKERS) -> Column:
+    low = F.lower(base_name(F.translate(path, "\\", "/")))
+    return low.isin(*names) | low.endswith(".build.cs") | low.endswith(".uplugin")
+
+
+def like_prefix(prefix: str) -> str:
+    """A LIKE pattern for what begins with prefix, its signs escaped by a backslash."""
+    return re.sub(r"([\\%_])", r"\\\1", prefix) + "%"
+
+
+def dependency_label(path: Column, roots: list[str]) -> Column:
+    """<root>::<file name> by the longest root a path is under, else the file name."""
+    p = normalise(path)
+    out = base_name(p)
+    for root in sorted(filter(None, roots), key=len):
+        out = F.when((p == root) | p.startswith(root + "/"), F.concat(F.lit(root + "::"), base_name(p))).otherwise(out)
+    return out

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.functions import paths
 from codelode.scratch import cut
 
 
@@ -28,6 +29,21 @@ def rollup_frontier(groups: DataFrame, frontier: DataFrame) -> DataFrame:
     return groups.join(frontier, "id", "left").groupBy("grp").agg(F.count("*").alias("members"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("frontier"))
 
 
+def module_groups(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, grp) of nodes(id, path): the nearest folder above with a build marker, (root) for one at the root, else the first segment.
+
+    A path meets the folders by its own prefixes, so the join is on equality.
+    """
+    clean = F.translate(F.coalesce("path", F.lit("")), "\\", "/")
+    roots = files.where(paths.is_build_marker(F.col("path"))).select(paths.parent_dir(F.translate("path", "\\", "/"), "").alias("root")).distinct()
+    parts = F.split(clean, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    near = nodes.select("id", F.explode(F.array_distinct(above)).alias("root")).join(roots, "root").groupBy("id").agg(F.max_by("root", F.length("root")).alias("root"))
+    first = F.substring_index(clean, "/", 1)
+    group = F.when(F.col("root") == "", "(root)").when(F.col("root").isNotNull(), F.col("root")).when(first == "", "(root)").otherwise(first)
+    return nodes.join(near, "id", "left").select("id", group.alias("grp"))
+
+
 def coupling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct non-self predecessors and successors, and instability to three digits (0 when isolated)."""
     e = edges.where("src <> dst").select("src", "dst").distinct()

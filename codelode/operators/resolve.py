@@ -90,3 +90,14 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     first = F.min_by(F.col("dst_file_id"), F.struct(stage, F.when(stage == 3, F.lit(0)).otherwise(F.col("ord")), F.length("dst_path"), "dst_path", "dst_file_id"))
     best = hit.groupBy("file_id", "line", "target").agg(first.alias("dst_file_id"))
     return imports.select("file_id", "line", "target").distinct().join(best, ["file_id", "line", "target"], "left")
+
+
+def by_id(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of many ids at once, as one semi-join on wanted(id)."""
+    return rows.join(wanted.select("id").distinct(), "id", "left_semi")
+
+
+def files_in_order(files: DataFrame, exts: list[str] | None = None) -> DataFrame:
+    """Files by path, of the given extensions in any case."""
+    rows = files.where(F.lower("ext").isin([e.lower() for e in exts])) if exts else files
+    return rows.orderBy("path")

@@ -3,7 +3,7 @@
 import pytest
 from conftest import DATA, same
 
-from codelode.plans import graphs, tables  # noqa: F401
+from codelode.plans import code, graphs, tables  # noqa: F401
 from codelode.plans.registry import ORACLE_SQL, QUERIES
 
 
