@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from codelode.functions import text
+from codelode.sources import dialect
 
 SCHEMAS = {
     "files": "id long, path string, ext string, size long, mtime long, content string",
@@ -51,9 +52,19 @@ class Store:
 
     def register(self) -> None:
         for name in SCHEMAS:
-            self.table(name).createOrReplaceTempView(name)
+            rows = self.table(name)
+            if "id" in rows.columns:
+                rows = rows.withColumn("rowid", F.col("id"))
+            rows.createOrReplaceTempView(name)
+        self.table("files").select(F.col("id").alias("rowid"), "path", "content").createOrReplaceTempView("files_fts")
         text.register(self.spark)
 
+    def query(self, statement: str, log=None) -> DataFrame:
+        """A statement in the dialect of the file-based store (see dialect); log(statement) is told of it first."""
+        if log:
+            log(statement)
+        return self.sql(dialect.rewrite(statement))
+
     def sql(self, statement: str) -> DataFrame:
         """One read-only statement over the registered tables; anything whose plan holds a command is refused."""
         self.register()
@@ -63,6 +74,28 @@ class Store:
         return self.spark.sql(statement)
 
 
+    def copy_from(self, other: "Store") -> None:
+        """Take over all tables of another store."""
+        for name in SCHEMAS:
+            if other.has(name):
+                self.write(name, other.table(name))
+
+    # slices of a fingerprint of the store: a changed store has another fingerprint, so nothing stale is read
+    def fingerprint(self) -> str:
+        """First 16 digits of a digest of files and counts, from sums that do not depend on order."""
+        f = self.table("files").agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("path", "size", "mtime").cast("decimal(38,0)")), F.lit(0))).first()
+        e = self.table("edges").agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("src_symbol_id", "dst_symbol_id", "dst_name", "relation").cast("decimal(38,0)")), F.lit(0))).first()
+        return hashlib.sha1(repr((*f, *e)).encode()).hexdigest()[:16]
+
+    def cached_slice(self, key: str, make):
+        """(nodes, edges) kept under a cache key, made by make() and written the first time."""
+        at = [f"cache/{key}/{part}" for part in ("nodes", "edges")]
+        if not all(self.has(f"{x}/_SUCCESS") for x in at):
+            for frame, x in zip(make(), at):
+                frame.write.mode("overwrite").parquet(f"{self.path}/{x}")
+        return tuple(self.spark.read.parquet(f"{self.path}/{x}") for x in at)
+
+
 def upsert_meta(meta: DataFrame, changes: DataFrame) -> DataFrame:
     """The later value of each key."""
     both = meta.withColumn("_n", F.lit(0)).unionByName(changes.withColumn("_n", F.lit(1)))
