@@ -174,7 +174,7 @@ def canonical(node: Node, ignore: frozenset = frozenset()):
             after = node.items[i + 1] if i + 1 < len(node.items) else None
             flag = after is None or (after.items is None and after.text.startswith(":"))
             if item.text not in ignore and item.text[1:] not in ignore:
-                keyed.append((item.text, ("flag",) if flag else canonical(after, ignore)))
+                keyed.append((item.text, ("atom", "") if flag else canonical(after, ignore)))
             i += 1 if flag else 2
         else:
             plain.append(canonical(item, ignore))

@@ -161,9 +161,10 @@ def weak_components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("least"))
         low = label.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "least").alias("at"))
-        # the label that a node's old label gets, by way of any of its nodes, and then the label of the label
-        lower = low.groupBy(F.col("was").alias("root")).agg(F.min("at").alias("to"))
-        low = low.join(lower, low.at == lower.root, "left").select("id", "was", F.least("at", F.coalesce("to", "at")).alias("at"))
+        # a node that is a label takes the least its holders have seen, then every node takes the label of its label
+        seen = low.groupBy(F.col("was").alias("id")).agg(F.min("at").alias("to"))
+        low = cut(low.join(seen, "id", "left").select("id", "was", F.least("at", F.coalesce("to", "at")).alias("at")))
+        low = low.join(low.select(F.col("id").alias("root"), F.col("at").alias("next")), F.col("at") == F.col("root")).select("id", "was", F.col("next").alias("at"))
         new = cut(low)
         label = new.select("id", F.col("at").alias("component"))
         if not new.where("was <> at").take(1):
