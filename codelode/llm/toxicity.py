@@ -11,7 +11,7 @@ chosen by a hash of doc_id (a documented bound); scoring is one narrow pass over
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,8 +39,7 @@ IDENTITY_GROUPS = (
     ("mujeres", "hombres", "gente"), ("musulmanes", "cristianos", "judíos", "gente"), ("negros", "blancos", "árabes", "gente"), ("inmigrantes", "refugiados", "vecinos"),
 )
 GROUP_OF = {term: group for group in IDENTITY_GROUPS for term in group[:-1]}
-_WORD_CACHE = 100_000
-_KNOWN: dict = {}
+_WORD_CACHE = 50_000
 LOG = np.log2(1 + np.arange(1 << 14)).tolist()
 
 
@@ -192,33 +191,28 @@ def scorer(docs: DataFrame, model: Model):
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = share.value
-        weights, known = m.weights, _active_features(m)
-        z = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            found: Counter = Counter()
-            for w in words_of(text):
-                hit = known.get(w)
-                if hit is None:
-                    hit = tuple(f for f in features_of(w) if f in weights)
-                    if len(known) < _WORD_CACHE:
-                        known[w] = hit
-                if hit:
-                    found.update(hit)
-            z[i] = m.bias + sum(weights[f] * LOG[min(found[f], len(LOG) - 1)] for f in sorted(found))
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        weights = m.weights
+        known: dict[str, tuple[str, ...]] = {}  # features with weight of the words met, for one task only
+        for texts in parts:
+            z = np.empty(len(texts))
+            for i, text in enumerate(texts):
+                found: Counter = Counter()
+                for w in words_of(text):
+                    hit = known.get(w)
+                    if hit is None:
+                        hit = tuple(f for f in features_of(w) if f in weights)
+                        if len(known) < _WORD_CACHE:
+                            known[w] = hit
+                    if hit:
+                        found.update(hit)
+                z[i] = m.bias + sum(weights[f] * LOG[min(found[f], len(LOG) - 1)] for f in sorted(found))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     return score
 
 
-def _active_features(model: Model) -> dict[str, tuple[str, ...]]:
-    """A worker's memory of which features of a word have weight, for the model in use."""
-    if _KNOWN.get("model") is not model:
-        _KNOWN.update(model=model, words={})
-    return _KNOWN["words"]
-
-
 def score_all(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row.
 
