@@ -31,7 +31,7 @@ BLOCK = 4 << 20  # windows of a text hashed at once
 RUN = 512  # windows in a region at most
 REGIONS = 1000  # distinct regions of a hash that one suffix array takes: 0.7 MB at most
 LEVELS = 4  # times a group of regions is split by a further hash before its windows are counted by digest
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 ROUND, STEP, PLAIN = 85.0, 0.3, 3.0  # microseconds a round, a byte in lockstep and a byte in plain Python
 
 
