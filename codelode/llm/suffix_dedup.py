@@ -17,6 +17,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ BLOCK = 4 << 20  # windows of a text hashed at once
 RUN = 512  # windows in a region at most
 REGIONS = 1000  # distinct regions of a hash that one suffix array takes: 0.7 MB at most
 LEVELS = 4  # times a group of regions is split by a further hash before its windows are counted by digest
+MARK_BYTES = 1 << 20  # regions whose windows are hashed at once, single hashes excepted
 BATCH_BYTES = 1 << 19
 ROUND, STEP, PLAIN = 85.0, 0.3, 3.0  # microseconds a round, a byte in lockstep and a byte in plain Python
 
@@ -287,13 +289,20 @@ def _by_suffix_array(wanted: DataFrame, length: int, width: int) -> DataFrame:
             twice = np.r_[False, np.all([t.column(c).to_numpy()[1:] == t.column(c).to_numpy()[:-1] for c in ("h", "r1", "r2")], axis=0)]
             t = t.filter(pa.array(~twice))
             h = h[~twice]
-            cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]).tolist()
-            n, text = t.column("n").to_pylist(), t.column("bytes").to_pylist()
-            groups = [list(zip(text[a:b], n[a:b])) for a, b in zip(cut, cut[1:])]
-            runs = [runs_of(flags) for g in _mark(groups, length) for flags in g]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), *(t.column(c).combine_chunks() for c in ("r1", "r2")), pa.array(runs, pa.list_(pa.int64()))], ["h", "r1", "r2", "runs"]
-            )
+            cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+            # hashing takes some twenty times the bytes of its regions, so few hashes are at it at once
+            ends = np.cumsum(pc.binary_length(t.column("bytes")).to_numpy())[cut[1:] - 1]
+            at = 0
+            while at < len(ends):
+                done = ends[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(ends, done + MARK_BYTES, side="right")))
+                some, edges = t.slice(cut[at], cut[end] - cut[at]).combine_chunks(), (cut[at : end + 1] - cut[at]).tolist()
+                n, text = some.column("n").to_pylist(), some.column("bytes").to_pylist()
+                groups = [list(zip(text[a:b], n[a:b])) for a, b in zip(edges, edges[1:])]
+                runs = [runs_of(flags) for g in _mark(groups, length) for flags in g]
+                kept = [some.column(c).combine_chunks() for c in ("h", "r1", "r2")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(runs, pa.list_(pa.int64()))], ["h", "r1", "r2", "runs"])
+                at = end
 
     return wanted.repartition(width, "h").sortWithinPartitions("h", "r1", "r2").mapInArrow(run, "h long, r1 long, r2 long, runs array<long>")
 
