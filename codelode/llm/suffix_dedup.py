@@ -264,14 +264,16 @@ def _spread(wanted: DataFrame, length: int) -> DataFrame:
     """
 
     def windows(batches):
-        for batch in slices(batches):
-            rows = []
-            for h, r1, r2, n, text in zip(*(batch.column(c).to_pylist() for c in ("h", "r1", "r2", "n", "bytes")), strict=True):
-                for x in range(len(text) - length + 1):
-                    d = np.frombuffer(xxhash.xxh3_128_digest(text[x : x + length]), "<i8").tolist()
-                    rows.append((h, r1, r2, n, x, d[0], d[1]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["h", "r1", "r2", "n", "x", "w1", "w2"])
+        for batch in slices(batches, 200):
+            sizes = np.array([max(0, k - length + 1) for k in pc.binary_length(batch.column("bytes")).to_pylist()])
+            if not sizes.sum():
+                continue
+            texts = batch.column("bytes").to_pylist()
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[x : x + length]) for t, k in zip(texts, sizes.tolist()) for x in range(k)), "<i8").reshape(-1, 2)
+            whose = pa.array(np.repeat(np.arange(sizes.size), sizes))
+            place = np.arange(len(digests)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            made = [*(batch.column(c).take(whose) for c in ("h", "r1", "r2", "n")), *(pa.array(x) for x in (place, digests[:, 0].copy(), digests[:, 1].copy()))]
+            yield pa.RecordBatch.from_arrays(made, ["h", "r1", "r2", "n", "x", "w1", "w2"])
 
     w = wanted.repartition("h", "r1", "r2").mapInArrow(windows, "h long, r1 long, r2 long, n long, x long, w1 long, w2 long")
     shared = w.groupBy("h", "w1", "w2").agg(F.sum("n").alias("c")).where("c > 1")
