@@ -28,7 +28,7 @@ from codelode.llm.gsaca import suffix_array, suffix_arrays
 
 LENGTH = 200
 GRAM = 32
-BLOCK = 4 << 20  # windows of a text hashed at once
+BLOCK = 1 << 20  # windows of a text hashed at once
 RUN = 512  # windows in a region at most
 REGIONS = 1000  # distinct regions of a hash that one suffix array takes: 0.7 MB at most
 LEVELS = 4  # times a group of regions is split by a further hash before its windows are counted by digest
