@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,11 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
 
 
 def scorer(docs: DataFrame, model: Model):
-    """A pandas UDF of a text column giving the score; the model's size is bounded by max_features."""
+    """An Arrow UDF of a text column giving the score; the model's size is bounded by max_features."""
     share = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = share.value
         weights = m.weights
         known: dict[str, tuple[str, ...]] = {}  # features with weight of the words met, for one task only
@@ -199,7 +199,7 @@ def scorer(docs: DataFrame, model: Model):
             z = np.empty(len(texts))
             for i, text in enumerate(texts):
                 found: Counter = Counter()
-                for w in words_of(text):
+                for w in words_of(text.as_py()):
                     hit = known.get(w)
                     if hit is None:
                         hit = tuple(f for f in features_of(w) if f in weights)
@@ -208,7 +208,8 @@ def scorer(docs: DataFrame, model: Model):
                     if hit:
                         found.update(hit)
                 z[i] = m.bias + sum(weights[f] * LOG[min(found[f], len(LOG) - 1)] for f in sorted(found))
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            yield pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            pa.default_memory_pool().release_unused()
 
     return score
 
