@@ -142,3 +142,64 @@ def hidden(nodes: DataFrame, names: list[str] = (), patterns: list[str] = (), mi
     if min_fan_in is not None:
         hit = hit | (F.col("fan_in") >= min_fan_in)
     return nodes.where((F.col("zone") == "dependency") & hit).orderBy("id")
+
+
+def flat_bands(nodes: DataFrame) -> DataFrame:
+    """nodes with band 0."""
+    return nodes.withColumn("band", F.lit(0))
+
+
+def two_bands(nodes: DataFrame) -> DataFrame:
+    """nodes with band 0 for the target and 1 for all else."""
+    return nodes.withColumn("band", F.when(F.col("zone") == "target", 0).otherwise(1))
+
+
+def module_bands(nodes: DataFrame, names: list[str], fallback: str = "External") -> DataFrame:
+    """nodes(module) with the place of their module among those that occur, in order of declaration.
+
+    The fallback comes after the names and (ambiguous) last; unknown and null modules count as (ambiguous). The
+    places are joined back from a table of at most as many rows as there are names.
+    """
+    order = {name: k for k, name in reversed(list(enumerate([*names, fallback, "(ambiguous)"])))}
+    at = F.create_map(*[F.lit(x) for item in order.items() for x in item])
+    placed = nodes.withColumn("_at", F.coalesce(F.try_element_at(at, F.coalesce("module", F.lit(""))), F.lit(len(names) + 1)))
+    found = placed.select("_at").distinct()
+    dense = found.withColumn("band", F.row_number().over(Window.orderBy("_at")) - 1)
+    return placed.join(F.broadcast(dense), "_at").select(*nodes.columns, "band")
+
+
+def super_nodes(nodes: DataFrame, module: Column, level: str = "file") -> tuple[DataFrame, DataFrame]:
+    """((id, grp), (grp, side, label, members, band)) for nodes(id, zone, path, band); module names dependency nodes.
+
+    Target nodes fold by the name of their file without its last extension, or by its folder with level "dir".
+    Nodes without a path fold into (external); a folded node has the smallest band of its members.
+    """
+    if level not in ("file", "dir"):
+        raise ValueError(f"level {level!r} is neither file nor dir")
+    base = F.regexp_replace(F.substring_index("path", "/", -1), r"(?<=[^.])\.[^.]+$", "")
+    own = base if level == "file" else paths.parent_dir(F.col("path"), ".")
+    side = F.when(F.col("zone") == "target", "target").otherwise("dependency")
+    label = F.when(F.coalesce("path", F.lit("")) == "", "(external)").when(side == "target", own).otherwise(module)
+    named = nodes.select("id", "band", side.alias("side"), label.alias("label")).withColumn("grp", F.concat_ws(":", "side", "label"))
+    folded = named.groupBy("grp", "side", "label").agg(F.count("*").alias("members"), F.min("band").alias("band"))
+    return named.select("id", "grp"), folded
+
+
+def quotient(edges: DataFrame, groups: DataFrame, collapsed: DataFrame | None = None) -> DataFrame:
+    """(src, dst, edges, cross, bridge): edges(src, dst, cross, bridge) between what stands for their ends.
+
+    A node of groups(id, grp) is stood for by its group if that is in collapsed(grp) (None: all of them), else by
+    itself. Edges inside a group go, equal ones become one, and a flag holds if it holds for any of them.
+    """
+    if collapsed is not None:
+        shut = collapsed.select("grp").distinct().withColumn("_shut", F.lit(True))
+        groups = groups.join(shut, "grp", "left").withColumn("grp", F.when(F.col("_shut"), F.col("grp")))
+    stand = groups.select("id", F.coalesce(F.col("grp").cast("string"), F.col("id").cast("string")).alias("rep"))
+    a, b = stand.select(F.col("id").alias("src"), F.col("rep").alias("_a")), stand.select(F.col("id").alias("dst"), F.col("rep").alias("_b"))
+    between = edges.join(a, "src").join(b, "dst").where("_a <> _b").groupBy(F.col("_a").alias("src"), F.col("_b").alias("dst"))
+    return between.agg(F.count("*").alias("edges"), F.bool_or("cross").alias("cross"), F.bool_or("bridge").alias("bridge"))
+
+
+def carried_confidence(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """edges(src, dst, relation) with the confidence of known(src, dst, relation, confidence), direct where it has none."""
+    return edges.join(known, ["src", "dst", "relation"], "left").withColumn("confidence", F.coalesce("confidence", F.lit("direct")))

@@ -213,7 +213,7 @@ def equivalent(a: str, b: str, ignore: tuple[str, ...] = ()) -> list[tuple[str,
 
 def n_differences(a: str, b: str) -> Column:
     """A column: how many differences the texts of two columns have."""
-    return F.udf(lambda x, y: len(equivalent(x or "", y or "")), IntegerType())(a, b)
+    return F.udf(lambda x, y: len(equivalent(x or "", y or "")), IntegerType(), useArrow=True)(a, b)
 
 
 def link_classes(nodes: DataFrame, schema: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -235,3 +235,9 @@ def link_classes(nodes: DataFrame, schema: DataFrame, symbols: DataFrame) -> Dat
     j = n.join(best, "id", "left")
     status = F.when(F.col("cls").isNull(), "no-classPath").when(F.col("candidates").isNull(), "unresolved").when(F.col("candidates") == 1, "unique").otherwise("ambiguous")
     return j.select("id", "node_type", status.alias("status"), "prefix", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+def link_summary(links: DataFrame) -> DataFrame:
+    """One row of the counts of each status of link_classes and of all."""
+    one = {"resolved_unique": "unique", "resolved_ambiguous": "ambiguous", "unresolved": "unresolved", "no_class_path": "no-classPath"}
+    return links.agg(*[F.count_if(F.col("status") == status).alias(name) for name, status in one.items()], F.count("*").alias("total"))

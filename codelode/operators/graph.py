@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import paths
 from codelode.scratch import cut
+from codelode.sources.tree import number
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -131,6 +132,30 @@ def layers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, left
 
 
+def topological_order(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, place from 1), and the nodes in or behind a cycle; edges from a node to itself do not count.
+
+    Nodes without predecessors come first by id; every other node follows its last predecessor, nodes of the same
+    last predecessor by id. That order never mixes layers, so it is made a layer at a time.
+    """
+    placed, left = layers(edges)
+    placed = cut(placed)
+    deepest = placed.agg(F.max("layer")).first()[0]
+    pairs = edges.where("src <> dst").select("src", "dst").distinct()
+    out, met = None, 0
+    for k in range(0 if deepest is None else deepest + 1):
+        now = placed.where(F.col("layer") == k).select("id")
+        if out is None:
+            now = now.withColumn("_after", F.lit(0).cast("long"))
+        else:
+            last = pairs.join(out.select(F.col("id").alias("src"), "place"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("place").alias("_after"))
+            now = now.join(last, "id")
+        now = cut(number(now.withColumn("_key", F.struct("_after", "id")), "_key", "place").select("id", (F.col("place") + met).cast("long").alias("place")))
+        met += now.count()
+        out = now if out is None else out.unionByName(now)
+    return (placed.select("id", F.lit(0).cast("long").alias("place")) if out is None else out), left
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes that seeds(id) reach, themselves included."""
     step = edges.select("src", "dst").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable
 
@@ -60,6 +62,49 @@ def merge(project: list[dict], presets: dict[str, dict], use: list[str]) -> list
     return list(out.values())
 
 
+def _document(path: str) -> dict:
+    with open(path, encoding="utf-8-sig") as f:
+        doc = json.load(f)
+    if not isinstance(doc, dict):
+        raise ValueError(f"{path} holds no rules document")
+    return doc
+
+
+def load(path: str, preset_dirs: list[str] = ()) -> list[dict]:
+    """The rules of a document and of the presets it extends, each with its ``_origin``; no document, no rules.
+
+    A preset NAME is NAME.rules.json in a folder the extending document names (relative to itself) or in
+    preset_dirs. What a preset extends comes before its own rules and no preset comes twice, so circles end. The
+    document's rules come last, but one with the id of an earlier rule takes that rule's place.
+    """
+    rows: list[dict] = []
+    if not os.path.exists(path):
+        return rows
+    met: set[str] = set()
+
+    def presets(doc: dict, at: str) -> None:
+        folders = [*(os.path.join(at, d) for d in doc.get("preset_dirs") or ()), *preset_dirs]
+        for name in doc.get("extends_presets") or ():
+            if name in met:
+                continue
+            met.add(name)
+            found = next((p for d in folders if os.path.exists(p := os.path.join(d, f"{name}.rules.json"))), None)
+            if found is None:
+                raise ValueError(f"preset {name!r} is in none of {folders}")
+            more = _document(found)
+            presets(more, os.path.dirname(found))
+            rows.extend({"_origin": f"preset:{name}", **r} for r in more.get("rules") or ())
+
+    own = _document(path)
+    presets(own, os.path.dirname(path))
+    place = {r["id"]: k for k, r in enumerate(rows) if r.get("id")}
+    for r in own.get("rules") or ():
+        r = {"_origin": "project", **r}
+        at = place.setdefault(r["id"], len(rows)) if r.get("id") else len(rows)
+        rows[at : at + 1] = [r]
+    return rows
+
+
 def applies(when: dict) -> Column:
     """AND of lang, kind, whole-name regular expression and path pattern (ignored on rows without a path)."""
     cond = F.lit(True)

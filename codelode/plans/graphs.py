@@ -282,6 +282,65 @@ def rollup_frontier(spark, d):
     return graph.rollup_frontier(n, frontier)
 
 
+ZONED_MEMBERS = "WITH " + WEB + ", " + MEMBERS + """, z AS (SELECT *, CASE WHEN label LIKE 'EUROPE/%' THEN 'target' ELSE 'dependency' END AS zone FROM members)"""
+
+
+def _zoned_members(spark, d):
+    return boundary.zones(views.members(spark, d).withColumn("path", F.col("label")), "EUROPE")
+
+
+@query("WITH " + MEMBERS + " SELECT id, 0 AS band FROM members")
+def bands_flat(spark, d):
+    return boundary.flat_bands(views.members(spark, d)).select("id", "band")
+
+
+@query(ZONED_MEMBERS + " SELECT id, CASE WHEN zone = 'target' THEN 0 ELSE 1 END AS band FROM z")
+def bands_two(spark, d):
+    return boundary.two_bands(_zoned_members(spark, d)).select("id", "band")
+
+
+@query("WITH " + MEMBERS + " SELECT id, CASE module WHEN 'ASIA' THEN 0 WHEN 'AFRICA' THEN 1 ELSE 2 END AS band FROM members")
+def bands_nway(spark, d):
+    """Of the declared names one and the fallback do not occur, so three places are left."""
+    return boundary.module_bands(views.members(spark, d), ["ASIA", "NOWHERE", "AFRICA"]).select("id", "band")
+
+
+@query(
+    ZONED_MEMBERS + """, n AS (SELECT CASE WHEN zone = 'target' THEN 'target' ELSE 'dependency' END AS side, CASE WHEN zone = 'target' THEN left(label, length(label) - length(split_part(label, '/', -1)) - 1) ELSE module END AS label, CASE WHEN zone = 'target' THEN 0 ELSE 1 END AS band FROM z)
+SELECT side || ':' || label AS grp, side, label, count(*) AS members, min(band) AS band FROM n GROUP BY side, label"""
+)
+def super_nodes(spark, d):
+    return boundary.super_nodes(boundary.two_bands(_zoned_members(spark, d)), F.col("module"), "dir")[1]
+
+
+@query(
+    ZONED_MEMBERS + """, n AS (SELECT id, zone, CASE WHEN module = 'ASIA' THEN CAST(id AS VARCHAR) ELSE module END AS rep FROM z)
+SELECT a.rep AS src, b.rep AS dst, count(*) AS edges, bool_or(a.zone <> b.zone) AS "cross", bool_or(web.src % 5 = 0) AS bridge FROM web JOIN n a ON a.id = web.src JOIN n b ON b.id = web.dst WHERE a.rep <> b.rep GROUP BY 1, 2"""
+)
+def quotient_graph(spark, d):
+    """All modules but ASIA are collapsed; edges from every fifth node stand for bridges."""
+    n = _zoned_members(spark, d)
+    e = boundary.classify(views.web(spark, d), n).where("src_zone IS NOT NULL AND dst_zone IS NOT NULL").withColumn("bridge", F.col("src") % 5 == 0)
+    groups = n.select("id", F.col("module").alias("grp"))
+    return boundary.quotient(e, groups, groups.where("grp <> 'ASIA'"))
+
+
+@query(
+    "WITH " + WEB + """, e AS (SELECT src, dst, 'calls' AS relation FROM web), k AS (SELECT *, CASE src % 3 WHEN 0 THEN 'ambiguous' ELSE 'name-only' END AS confidence FROM e WHERE dst % 4 <> 1)
+SELECT e.*, coalesce(confidence, 'direct') AS confidence FROM e LEFT JOIN k USING (src, dst, relation)"""
+)
+def confidence_carry(spark, d):
+    e = views.web(spark, d).withColumn("relation", F.lit("calls"))
+    known = e.where("dst % 4 <> 1").withColumn("confidence", F.when(F.col("src") % 3 == 0, "ambiguous").otherwise("name-only"))
+    return boundary.carried_confidence(e, known)
+
+
+@query()
+def toposort_order(spark, d):
+    """No SQL: a place follows from the places before it. Tests compare with a plain queue."""
+    return graph.topological_order(views.turns(spark, d))[0]
+
+
 LATEST = "WITH " + LOG + ", " + NOTES + ", n AS (SELECT log_id, max_by(note, id) AS note, max_by(tag, id) AS tag, max_by(status, id) AS status FROM notes GROUP BY 1), ln AS (SELECT qlog.*, note, tag, status FROM qlog LEFT JOIN n ON log_id = qlog.id)"
 
 

@@ -279,8 +279,7 @@ def required_pins(spark, d):
     return want.join(have, ["file_id", "pin"], "left_anti")
 
 
-@query(
-    """WITH code AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'A' WHEN 2 THEN 'F' ELSE '' END || 'Part' || (p_partkey % 300) AS name, CAST(p_size % 2 * 100 AS BIGINT) AS len FROM part),
+LINKS = """WITH code AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'A' WHEN 2 THEN 'F' ELSE '' END || 'Part' || (p_partkey % 300) AS name, CAST(p_size % 2 * 100 AS BIGINT) AS len FROM part),
 n AS (SELECT s_suppkey AS id, 'type' || s_suppkey AS node_type, CASE WHEN s_suppkey % 5 <> 0 THEN 'Part' || (s_suppkey * 7 % 400) END AS cls FROM supplier),
 t AS (SELECT n.id, o AS ord, ['U', 'A', 'F', ''][o + 1] AS prefix, ['U', 'A', 'F', ''][o + 1] || cls AS name FROM n, (SELECT unnest([0, 1, 2, 3]) AS o) WHERE cls IS NOT NULL),
 h AS (SELECT t.*, c.len > length(t.name) + 16 AS isd FROM t JOIN code c USING (name)),
@@ -288,7 +287,9 @@ b AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, bool_or(isd) OVER (PARTITI
 g AS (SELECT id, count(*) AS candidates, min(prefix) AS prefix FROM b WHERE n = 1 OR NOT anyd OR isd GROUP BY id)
 SELECT n.id, n.node_type, CASE WHEN cls IS NULL THEN 'no-classPath' WHEN candidates IS NULL THEN 'unresolved' WHEN candidates = 1 THEN 'unique' ELSE 'ambiguous' END AS status, prefix, coalesce(candidates, 0) AS candidates
 FROM n LEFT JOIN g USING (id)"""
-)
+
+
+@query(LINKS)
 def link_source_prefix_priority(spark, d):
     from codelode.operators import dsl
 
@@ -301,6 +302,15 @@ def link_source_prefix_priority(spark, d):
     return dsl.link_classes(n, schema, code)
 
 
+@query(
+    "SELECT count(*) FILTER (status = 'unique') AS resolved_unique, count(*) FILTER (status = 'ambiguous') AS resolved_ambiguous, count(*) FILTER (status = 'unresolved') AS unresolved, count(*) FILTER (status = 'no-classPath') AS no_class_path, count(*) AS total FROM (" + LINKS + ")"
+)
+def link_summary(spark, d):
+    from codelode.operators import dsl
+
+    return dsl.link_summary(link_source_prefix_priority(spark, d))
+
+
 @query(
     WITH + FILES + """ SELECT id, substr(sha1('{"direction": "out", "fp": "' || size || '", "max_depth": 3, "max_nodes": 200, "seed": "' || path || '"}'), 1, 16) AS cache_key FROM files"""
 )
