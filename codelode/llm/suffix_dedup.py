@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelode.llm.common import remove, rows_of, shuffle_width, slices, table, whole_groups
+from codelode.llm.common import remove, row_key, rows_of, shuffle_width, slices, table, whole_groups
 from codelode.llm.gsaca import suffix_array, suffix_arrays
 
 LENGTH = 200
@@ -233,8 +233,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 kinds = [np.int64, np.int64, np.int32, np.int64, np.int64, np.int32]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds)], names)
 
-    src = docs.where(F.col("doc_id").isNotNull())
-    return src.mapInArrow(run, "h long, doc_id long, sig int, b long, e long, w int")
+    return docs.select("doc_id", "t").mapInArrow(run, "h long, doc_id long, sig int, b long, e long, w int")
 
 
 def _region_rows(stored: DataFrame, length: int) -> DataFrame:
@@ -254,7 +253,7 @@ def _region_rows(stored: DataFrame, length: int) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "r1", "r2", "doc_id", "sig", "b", "e"])
 
-    return stored.where("at IS NOT NULL").mapInArrow(run, "h long, r1 long, r2 long, doc_id long, sig int, b long, e long")
+    return stored.where("at IS NOT NULL").select("doc_id", "t", "at").mapInArrow(run, "h long, r1 long, r2 long, doc_id long, sig int, b long, e long")
 
 
 def _spread(wanted: DataFrame, length: int) -> DataFrame:
@@ -362,11 +361,14 @@ def _solve(wanted: DataFrame, count: int, kinds: int, length: int, gram: int, mo
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = REGIONS) -> DataFrame:
-    """docs(doc_id, t, ...) as stored, with ``hits``: where its repeated windows are, by region."""
+    """docs(doc_id, t, ...) as stored, with ``hits``: where its repeated windows are, by region.
+
+    doc_id is no null. Rows that share it and their text share their regions, so these are collected as sets.
+    """
     spark = docs.sparkSession
     occ, occ_path = table(_occurrences(docs, length, gram), "regions")
     again = occ.groupBy("h").agg(F.sum("w").alias("c")).where("c > 1").select("h")
-    at = occ.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "sig", "b", "e")).alias("all"))
+    at = occ.join(again, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "sig", "b", "e")).alias("all"))
     # one shuffle of texts by doc_id serves this join and the bucketed copy
     width = max(shuffle_width(spark), 8)
     name = f"codelode_texts_{uuid.uuid4().hex}"
@@ -398,7 +400,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     full = distinct.where("rows > 1").select("h", "r1", "r2", F.lit(None).cast("array<long>").alias("runs"))
     known = full.unionByName(solved.join(full.select("h", "r1", "r2"), ["h", "r1", "r2"], "left_anti"))
     hits = rows.join(known, ["h", "r1", "r2"]).select("doc_id", "sig", "b", "e", "runs")
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("sig", "b", "e", "runs")).alias("hits"))
+    hits = hits.groupBy("doc_id").agg(F.collect_set(F.struct("sig", "b", "e", "runs")).alias("hits"))
     return stored.drop("at").join(hits, "doc_id", "left")
 
 
@@ -407,12 +409,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
 
     A byte goes if a length-byte string over it also starts anywhere else in any text, its own included. Texts
     are UTF-8 bytes; null and short texts lose nothing; very long texts are hashed in blocks. Rows with a null
-    doc_id are returned unchanged and serve as no other row's copy. Rows that repeat a doc_id are texts of their
+    doc_id take part under a number made of their text and come back with the null. Rows that repeat a doc_id are texts of their
     own; what is left may not be valid UTF-8. An empty table gives no rows. Only the two
     columns are read, unless carry asks for a struct ``carried`` of all columns but text as well.
     """
     src = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("doc_id"),
+        F.col("doc_id").cast("long").alias("given"),
         F.col("text").cast("string").alias("t"),
         *([F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("carried")] if carry else []),
     )
@@ -435,7 +438,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
                 spans.append(k)
                 kept.append(left)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (total, gone, spans)), pa.array(kept, pa.binary()), *(batch.column(c) for c in extra)],
+                [batch.column("given"), *(pa.array(x, pa.int64()) for x in (total, gone, spans)), pa.array(kept, pa.binary()), *(batch.column(c) for c in extra)],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *extra],
             )
 

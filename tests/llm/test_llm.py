@@ -450,6 +450,18 @@ def test_op8_table(spark, docs, texts):
     assert [(got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k, _ in texts] == want
 
 
+def test_op8_repeated_and_null_ids(spark):
+    """Every row is a text of its own, with or without an id; ids come back as they were given."""
+    rng = random.Random(16)
+    passage, other = ("".join(rng.choices("abcdefgh ", k=n)) for n in (260, 300))
+    plain = ["".join(rng.choices("abcdefgh ", k=400)) for _ in range(4)]
+    rows = [(1, plain[0] + passage), (1, plain[1]), (None, passage + plain[2]), (None, other), (None, other), (2, plain[3]), (2, plain[3]), (None, None), (None, "z" * 250)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = suffix_dedup.removed_by_brute_force([(t or "").encode() for _, t in rows])
+    digest = lambda r: hashlib.sha256(bytes(r.kept)).hexdigest()
+    assert sorted(((r.doc_id, r.n_removed, r.n_spans, digest(r)) for r in got), key=repr) == sorted(((k, *w) for (k, _), w in zip(rows, want)), key=repr)
+
+
 def test_op9_reversible(spark, tmp_path):
     rows = ["a long enough line\nonly here", "A LONG enough line  \nx", "a long enough line\nshared between two", "Shared between two"]
     state = lambda i: sorted(map(tuple, i.counts.select("h1", "h2", "n_docs", "min_doc", "max_doc").collect()))
