@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, exact dedup, SimHash near-dedup, suffix-array dedup, best-fit packing.
 
-Every stage takes all its predecessor kept. A row with a null doc_id passes the duplicate stages, as it cannot
-be named in their decisions. Where a doc_id repeats with different texts, exact dedup decides on each text by
+Every stage takes all its predecessor kept. A row with a null doc_id passes the two stages that drop duplicates,
+as it cannot be named in their decisions; the suffix-array stage cuts it like any other. Where a doc_id repeats with different texts, exact dedup decides on each text by
 itself; SimHash takes them for one document, so all go if one of them is a near copy of a smaller doc_id. All stages but the last return the columns of documents as they came in; the
 suffix-array stage replaces text by what is left of it and n_chars by its length in characters.
 """
