@@ -9,6 +9,7 @@ number of distinct lengths and rooms, not the number of documents.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -31,7 +32,7 @@ class WordTokenizer:
 
     The file's normaliser folds white space and its pre-tokeniser never matches across it, so a text's ids are
     those of its chunks between spaces and newlines joined. A chunk of letters is one word to the pre-tokeniser,
-    and a point or comma after it another. Unknown words are encoded together and told apart by their end
+    and a point or comma after it another, unless the normaliser turns the last letter into one with a mark. Unknown words are encoded together and told apart by their end
     tokens; other unknown chunks by the offsets the library reports. The memory has two generations, so it is
     bounded and keeps what is in use.
     """
@@ -56,6 +57,7 @@ class WordTokenizer:
         self.cache = cache
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.letters: dict[str, bool] = {}
 
     def _words(self, words: list[str], tok) -> None:
         """Learn chunks of letters only."""
@@ -83,6 +85,15 @@ class WordTokenizer:
                 self.known[c] = raw[at:end]
                 at = end
 
+    def _stays_letter(self, letter: str) -> bool:
+        """Whether a letter's normal form ends in a letter; a mark there is one word with a point that follows."""
+        if letter < "\u0100":
+            return True
+        known = self.letters.get(letter)
+        if known is None:
+            known = self.letters[letter] = unicodedata.category(self.tok.normalizer.normalize_str(letter)[-1])[0] == "L"
+        return known
+
     def _learn(self, chunks: set[str]) -> None:
         known, old = self.known, self.old
         words, tailed, odd = set(), [], []
@@ -92,7 +103,7 @@ class WordTokenizer:
                 known[c] = have
             elif c.isalpha():
                 words.add(c)
-            elif c[-1] in ".," and c[:-1].isalpha():
+            elif c[-1] in ".," and c[:-1].isalpha() and self._stays_letter(c[-2]):
                 tailed.append(c)
             else:
                 odd.append(c)
