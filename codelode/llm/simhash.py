@@ -209,15 +209,20 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fp, component_id) for every document.
 
     Null and wordless texts have fingerprint zero and link like any other. Equal fingerprints are collapsed to
-    their smallest doc_id before links are sought, so copies cost no pairs. A null doc_id keeps its fingerprint
-    and takes its copies' component (null if all copies lack an id, which then link with nothing); repeated ids
-    are one document. Only doc_id and text are read; an empty table gives an empty result.
+    one row before links are sought, so copies cost no pairs. Rows without an id link like any other and get the
+    smallest id they reach (null if there is none); repeated ids are one document, so their fingerprints share a
+    component. Only doc_id and text are read; an empty table gives an empty result.
     """
     prints, _ = table(fingerprints(docs), "fingerprints")
-    groups, _ = table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-groups")
-    links = link_forest(groups.where(F.col("rep").isNotNull()), threshold)
-    comp = connected_components(links, "simhash").withColumnRenamed("node", "rep")
-    named = groups.join(comp, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # a fingerprint is its own node; which ids it stands for is told when components are known
+    groups, _ = table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
+    links = link_forest(groups.select("fp", F.col("fp").alias("rep")), threshold)
+    twice = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("dst"), F.max("fp").alias("top")).where("dst < top")
+    links = links.unionByName(prints.join(twice, "doc_id").select(F.col("fp").alias("src"), "dst").where("src <> dst"))
+    comp = connected_components(links, "simhash").withColumnRenamed("node", "fp")
+    joined = groups.join(comp, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("node"))
+    least = joined.groupBy("node").agg(F.min("least").alias("component_id"))
+    named = joined.select("fp", "node").join(least, "node").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
