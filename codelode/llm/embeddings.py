@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelode.llm.common import FAR, forest, row_key, salted_join, shuffle_width, slices, table, whole_groups
+from codelode.llm.common import forest, row_key, salted_join, shuffle_width, slices, table, whole_groups
 from codelode.llm.graph import connected_components
 
 THRESHOLD = 0.9
@@ -31,6 +31,7 @@ SLACK = 1e-9  # above any rounding of the bounds themselves, which are sums of p
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Int8-valued q (float32), scale, |s q| and |e| of the rows of x scaled to length 1."""
+    x = level(x)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     scale = np.abs(unit).max(axis=1) / 127
     q = np.rint(unit / scale[:, None]).clip(-127, 127)
@@ -38,8 +39,22 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return q.astype(np.float32), scale, np.linalg.norm(near, axis=1), np.linalg.norm(unit - near, axis=1)
 
 
+def level(x: np.ndarray) -> np.ndarray:
+    """Rows whose largest component is at least 2**500 or under 2**-500, times a power of two that brings it near 1.
+
+    Squares of all others neither overflow nor vanish; a power of two changes no digit.
+    """
+    top = np.abs(x).max(axis=1, initial=0)
+    far = (top >= 2.0**500) | (top < 2.0**-500) & (top > 0)
+    if far.any():
+        x = x.copy()
+        x[far] = np.ldexp(x[far], -np.frexp(top[far])[1][:, None])
+    return x
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Row-wise cosine in double precision."""
+    x, y = level(x), level(y)
     return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
 
 
@@ -75,23 +90,23 @@ def tile_pairs(x: tuple, y: tuple, threshold: float, same: bool):
 
 
 def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec, d1, d2, embedding): vectors that can link, with a 128-bit digest of their doubles. vec is the row's key."""
+    """(vec_id, vec, d1, d2, embedding): vectors that can link, with a 128-bit digest of their doubles. vec is the row's key."""
 
     def run(batches):
         for b in slices(batches):
             out = []
-            for name, v in zip(b.column("vec").to_pylist(), b.column("v").to_pylist(), strict=True):
+            for given, name, v in zip(b.column("vec_id").to_pylist(), b.column("vec").to_pylist(), b.column("v").to_pylist(), strict=True):
                 if not v or None in v:
                     continue
                 a = np.asarray(v, np.float64) + 0.0
                 if np.isfinite(a).all() and a.any():
                     d = xxhash.xxh3_128_digest(a.tobytes())
-                    out.append((name, *np.frombuffer(d, "<i8").tolist(), v))
-            cols = list(zip(*out)) or [[], [], [], []]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["vec", "d1", "d2", "embedding"])
+                    out.append((given, name, *np.frombuffer(d, "<i8").tolist(), v))
+            cols = list(zip(*out)) or [[], [], [], [], []]
+            kinds = [*[pa.int64()] * 4, pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["vec_id", "vec", "d1", "d2", "embedding"])
 
-    return keyed(vectors, id_col, vec_col).select("vec", "v").mapInArrow(run, "vec long, d1 long, d2 long, embedding array<double>")
+    return keyed(vectors, id_col, vec_col).mapInArrow(run, "vec_id long, vec long, d1 long, d2 long, embedding array<double>")
 
 
 def keyed(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -181,7 +196,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     """
     spark = vectors.sparkSession
     named, _ = table(valid_vectors(vectors).withColumn("dim", F.size("embedding")), "vectors")
-    classes = named.groupBy("d1", "d2").agg(F.min("vec").alias("rep"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("embedding").alias("v"))
+    classes = named.groupBy("d1", "d2").agg(F.min("vec").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("dim").alias("dim"), F.first("embedding").alias("v"))
     classes, _ = table(coded(classes), "vector-classes")
     n = classes.count()
     tiles = max(TILES, -(-n // tile))
@@ -195,13 +210,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     found = first.where("n > 0").unionByName(second)
     comp = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")), "vectors")
     links = found.groupBy("d1", "d2").agg(F.sum("n").alias("n"))
-    verdict = classes.select("d1", "d2", "rep", "copies").join(links, ["d1", "d2"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    verdict = verdict.select("d1", "d2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    verdict = classes.select("d1", "d2", "rep", "least", "copies").join(links, ["d1", "d2"], "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    verdict = verdict.select("d1", "d2", "copies", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("node"))
+    # nodes are keys of rows; the smallest id is sought among the ids that rows were given
+    least = verdict.groupBy("node").agg(F.min("least").alias("component_id"))
+    verdict = verdict.drop("least").join(least, "node").drop("node")
     linked = salted_join(named.select("vec", "d1", "d2"), table(verdict, "vector-verdicts")[0], ["d1", "d2"], "copies", "vec")
     # every row comes back; rows that cannot link are those valid_vectors leaves out
     per_id = linked.groupBy("vec").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    named_only = F.when(F.col("component_id") < FAR, F.col("component_id"))
-    out = keyed(vectors).select("vec_id", "vec").join(per_id, "vec", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce(named_only, "vec_id").alias("component_id"))
+    out = keyed(vectors).select("vec_id", "vec").join(per_id, "vec", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
