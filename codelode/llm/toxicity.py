@@ -19,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.llm.common import slices, table
+
 MAX_ROWS = 6_000
+MAX_WORDS = 6_000_000  # distinct words by text that the driver takes from the labelled texts, all together
 MAX_FEATURES = 20_000
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
@@ -67,14 +70,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.logit(words_of(text)), -500, 500))))
 
 
-def fit(texts: Iterable[str | None], y: list[int], fairness: float = 1.0, sparsity: float = 4e-4, max_features: int = MAX_FEATURES, steps: int = 600) -> Model:
-    """Accelerated proximal gradient. Without both classes the score is the share of label 1."""
+def fit(texts: Iterable[str | Iterable[str] | None], y: list[int], fairness: float = 1.0, sparsity: float = 4e-4, max_features: int = MAX_FEATURES, steps: int = 600) -> Model:
+    """Accelerated proximal gradient over texts or their distinct words. Without both classes the score is the share of label 1."""
     share = (sum(y) + 0.5) / (len(y) + 1)
     prior = float(np.log(share / (1 - share)))
     if len(set(y)) < 2:
         return Model({}, prior)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words_of(t))], np.int32) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(words_of(t) if t is None or isinstance(t, str) else t)], np.int32) for t in texts]
     for term in (t for group in IDENTITY_GROUPS for t in group):
         vocabulary.setdefault(term, len(vocabulary))
     features: dict[str, int] = {}
@@ -169,11 +172,13 @@ def fold(doc_id):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> Model:
-    """Fit on labelled rows outside the held-out fold, at most about max_rows of them.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, **options) -> Model:
+    """Fit on labelled rows outside the held-out fold, at most about max_rows of them and max_words distinct words by text.
 
     Rows without a label, id or text column value follow these rules: a null label or id is skipped, a null text
-    is empty, an id labelled twice counts as toxic if any label says so.
+    is empty, an id labelled twice counts as toxic if any label says so, an id with several texts stands for the one
+    with the smallest hash. Labelled ids are taken in the order of a hash until either bound is reached; what comes to the
+    driver are words, not texts.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold("doc_id") != 1)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -181,9 +186,25 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **option
     if total > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_rows / total))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
-    got = rows.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts, y = got.column("text"), [int(t > 0) for t in got.column("toxic").to_pylist()]
-    return fit((t.as_py() for t in texts), y, **options) if y else Model()
+    one = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def split(batches):
+        for b in slices(batches, 200):
+            words = pa.array([sorted(words_of(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), words], ["doc_id", "toxic", "words"])
+
+    stored, _ = table(one.mapInArrow(split, "doc_id long, toxic int, words array<string>"), "labelled-words")
+    left, taken = max_words, []
+    for r in stored.select("doc_id", F.size("words").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # about max_rows rows
+        left -= r.n
+        if left < 0:
+            break
+        taken.append((r.doc_id,))
+    if left < 0:
+        stored = stored.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id")
+    got = stored.select("doc_id", "toxic", "words").toArrow().sort_by("doc_id")
+    words, y = got.column("words"), [int(t > 0) for t in got.column("toxic").to_pylist()]
+    return fit((w.as_py() for w in words), y, **options) if y else Model()
 
 
 def scorer(docs: DataFrame, model: Model):
