@@ -56,6 +56,31 @@ symbols AS (SELECT *, CASE WHEN kind <> 'class' THEN last_value(CASE WHEN kind =
 )
 
 
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symbol a non-empty line, whose spans nest: every twelfth holds the eleven lines after it, every third the two after it."""
+    s = lines(spark, sf_dir)
+    by = Window.partitionBy("file_id").orderBy("pos")
+    n, reach = F.row_number().over(by) - 1, lambda k: F.last("end_byte").over(by.rowsBetween(Window.currentRow, k))
+    s = s.withColumn("n", n).withColumn("e12", reach(11)).withColumn("e3", reach(2))
+    kind = F.when(F.col("n") % 12 == 0, "namespace").when(F.col("n") % 3 == 0, "class").otherwise("method")
+    end = F.when(F.col("n") % 12 == 0, F.col("e12")).when(F.col("n") % 3 == 0, F.col("e3")).otherwise(F.col("end_byte"))
+    name = F.regexp_extract("line", "[A-Za-z_][A-Za-z0-9_]*", 0)
+    return s.select((F.col("file_id") * 1000000 + F.col("pos")).alias("id"), "file_id", name.alias("name"), kind.alias("kind"), "start_byte", end.alias("end_byte"))
+
+
+NESTED = (
+    LINES
+    + """, nl AS (SELECT *, row_number() OVER w - 1 AS n, last_value(end_byte) OVER (w ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS e12, last_value(end_byte) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS e3
+ FROM (SELECT *, start_byte + octet_length(encode(line)) AS end_byte FROM lines) WINDOW w AS (PARTITION BY file_id ORDER BY pos)),
+nested AS (SELECT file_id * 1000000 + pos AS id, file_id, regexp_extract(line, '[A-Za-z_][A-Za-z0-9_]*') AS name, CASE WHEN n % 12 = 0 THEN 'namespace' WHEN n % 3 = 0 THEN 'class' ELSE 'method' END AS kind,
+ start_byte, CASE WHEN n % 12 = 0 THEN e12 WHEN n % 3 = 0 THEN e3 ELSE end_byte END AS end_byte FROM nl)"""
+)
+
+TOKENS = """, tp AS (SELECT file_id, pos, start_byte, generate_subscripts(p, 1) AS k, unnest(p) AS name FROM (SELECT file_id, pos, start_byte, regexp_extract_all(line, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS p FROM lines)),
+tokens AS (SELECT file_id, name, CAST(place AS BIGINT) AS place FROM (SELECT *, start_byte + coalesce(sum(octet_length(encode(name))) OVER (PARTITION BY file_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM tp)
+ WHERE regexp_matches(name, '^[A-Za-z_]'))"""
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One named edge a line of two words or more: to the second word, in two relations."""
     s = symbols(spark, sf_dir).select("id", "file_id", F.element_at(F.split("line", " "), F.when(F.size(F.split("line", " ")) > 1, 2).otherwise(1)).alias("dst_name"), F.size(F.split("line", " ")).alias("n"), "start_line")

@@ -5,7 +5,7 @@ from collections import Counter, deque
 import pytest
 from conftest import DATA, same
 
-from codelode.plans import code, graphs, tables  # noqa: F401
+from codelode.plans import code, graphs, places, tables  # noqa: F401
 from codelode.plans.registry import ORACLE_SQL, QUERIES
 from codelode.sources import views
 
