@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.operators import parse
+from codelode.scratch import cut
 from codelode.sources.store import Store, upsert_meta
 
 SPAN = 1 << 24  # ids of a file; more symbols or edges in one file are an error
@@ -50,13 +51,13 @@ def enrich_store(store: Store, apply_rules=None) -> DataFrame:
 
     apply_rules takes and gives symbol rows (with path). Tables are replaced as a whole, so a run can be repeated.
     """
-    rows = parse.enrich(store.table("files"))
+    rows = cut(parse.enrich(store.table("files")))  # files are parsed once
     made = rows.where("tag = 'symbol'").select("file_id", "local", "name", "kind", "lang", "start_line", "end_line", "start_byte", "end_byte", "parent_local")
     made = made.withColumn("attrs", F.lit(None).cast("map<string,string>")).withColumn("provenance", F.lit(None).cast("array<string>"))
     if apply_rules:
         paths = store.table("files").select(F.col("id").alias("file_id"), "path")
         made = apply_rules(made.join(paths, "file_id")).drop("path")
-    found = rows.where("tag = 'edge'").select("file_id", "src_local", F.lit(None).cast("long").alias("dst_local"), "dst_name", "relation")
+    found = rows.where("tag = 'edge'").select("file_id", "src_local", "dst_local", "dst_name", "relation")
     store.write("symbols", symbols(made))
     store.write("edges", edges(found, made))
     spark = rows.sparkSession

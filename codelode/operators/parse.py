@@ -23,7 +23,9 @@ LANGUAGES = {
 # Macro names that are no types although they do not look like the rest, and the look of the rest.
 EXTRA_MACROS = ("FORCEINLINE", "FORCENOINLINE", "FORCEINLINE_DEBUGGABLE", "CONSTEXPR")
 MACRO = re.compile(r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+$")
-_DECL = re.compile(r"\b(class|struct)\s+([A-Za-z_]\w*)(\s*\([^()]*\))?(?=\s+[A-Za-z_])")
+_HEAD = re.compile(rb"\b(?:class|struct)\b")
+_UNIT = re.compile(rb"\s+([A-Za-z_]\w*)(?:\s*\([^()]*\))?")
+_BLANK = bytes(b if b == 10 else 32 for b in range(256))  # line ends stay
 WORDS = {
     "cpp": {"class": "class", "struct": "struct", "enum": "enum", "namespace": "namespace"},
     "csharp": {"class": "class", "struct": "struct", "interface": "interface", "enum": "enum", "namespace": "namespace"},
@@ -34,39 +36,47 @@ WORDS = {
     "glsl": {"struct": "struct"},
 }
 CONTROL = {"if", "for", "while", "switch", "catch", "return", "else", "do", "new", "sizeof", "using", "lock", "foreach", "function"}
-SYMBOLS = "file_id long, tag string, local long, name string, kind string, lang string, start_line long, end_line long, start_byte long, end_byte long, parent_local long, src_local long, dst_name string, relation string, error string"
+SYMBOLS = "file_id long, tag string, local long, name string, kind string, lang string, start_line long, end_line long, start_byte long, end_byte long, parent_local long, src_local long, dst_name string, dst_local long, relation string, error string"
 COLUMNS = [c.split()[0] for c in SYMBOLS.split(", ")]
 
 
 def strip_macros(source: str) -> str:
-    """Blank macros between class or struct and the name, byte for byte, until nothing changes."""
-
-    def blank(m: re.Match) -> str:
-        if not (MACRO.match(m[2]) or m[2] in EXTRA_MACROS):
-            return m[0]
-        keep = m.start(2) - m.start()
-        return m[0][:keep] + "".join("\n" if c == "\n" else " " * len(c.encode()) for c in m[0][keep:])
-
-    while (new := _DECL.sub(blank, source)) != source:
-        source = new
-    return source
+    """Blank the macros between class or struct and the name, so that every byte keeps its place.
+
+    What follows the keyword is read as units, names with their arguments if they have any. All macro units go but
+    the last unit, which is the name.
+    """
+    data = source.encode()
+    out = bytearray(data)
+    for head in _HEAD.finditer(data):
+        units, at = [], head.end()
+        while unit := _UNIT.match(data, at):
+            units.append(unit)
+            at = unit.end()
+            name = unit[1].decode()
+            if not (MACRO.match(name) or name in EXTRA_MACROS):
+                break
+        for unit in units[:-1]:
+            out[unit.start(1) : unit.end()] = data[unit.start(1) : unit.end()].translate(_BLANK)
+    return out.decode()
 
 
 class Found:
     """Symbols and edges of one file, in order."""
 
     def __init__(self, lang: str):
-        self.lang, self.symbols, self.edges = lang, [], []
+        self.lang, self.symbols, self.edges = lang, [], {}
 
     def symbol(self, name, kind, lines, span, parent):
         self.symbols.append((len(self.symbols), name, kind, *lines, *span, parent))
         if parent is not None:
-            self.edges.append((parent, name, "contains"))
+            self.edges[parent, name, "contains", len(self.symbols) - 1] = None
         return len(self.symbols) - 1
 
     def edge(self, src, dst, relation):
-        if src is not None and dst and (src, dst, relation) not in self.edges:
-            self.edges.append((src, dst, relation))
+        """An edge to a name, once; what a symbol contains is an edge to its place."""
+        if src is not None and dst:
+            self.edges[src, dst, relation, None] = None
 
 
 def parse_python(source: str) -> Found:
@@ -231,12 +241,12 @@ def enrich(files: DataFrame) -> DataFrame:
                 try:
                     found = parse(content or "", lang)
                 except (SyntaxError, ValueError, RecursionError) as e:
-                    rows.append((i, "error", *[None] * 12, f"{type(e).__name__}: {e}"))
+                    rows.append((i, "error", *[None] * 13, f"{type(e).__name__}: {e}"))
                     continue
-                rows += [(i, "symbol", local, name, kind, lang, *rest, None, None, None, None) for local, name, kind, *rest in found.symbols]
-                rows += [(i, "edge", *[None] * 9, src, dst, relation, None) for src, dst, relation in found.edges]
+                rows += [(i, "symbol", local, name, kind, lang, *rest, *[None] * 5) for local, name, kind, *rest in found.symbols]
+                rows += [(i, "edge", *[None] * 9, src, dst, place, relation, None) for src, dst, relation, place in found.edges]
             out = pd.DataFrame(rows, columns=COLUMNS, dtype=object)
-            for c in ("file_id", "local", "start_line", "end_line", "start_byte", "end_byte", "parent_local", "src_local"):
+            for c in ("file_id", "local", "start_line", "end_line", "start_byte", "end_byte", "parent_local", "src_local", "dst_local"):
                 out[c] = out[c].astype("Int64")
             yield out
 

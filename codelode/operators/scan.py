@@ -110,7 +110,7 @@ def boundary_build(edges: DataFrame, symbols: DataFrame, max_nodes: int | None =
     if max_nodes is not None:
         total = seeds.count()
         seeds = seeds.orderBy("k").limit(max_nodes)
-    resolved = targets(edges, symbols)
+    resolved = cut(targets(edges, symbols)) if dep_depth >= 2 else targets(edges, symbols)
     nodes = cut(seeds.select("id", F.lit(0).alias("depth")))
     found = _expand(resolved, seeds)
     room = None if max_nodes is None else max(0, max_nodes - nodes.count())
@@ -135,23 +135,26 @@ def boundary_build(edges: DataFrame, symbols: DataFrame, max_nodes: int | None =
     return out
 
 
-def modules_build(edges: DataFrame, symbols: DataFrame, spec_zones: int, fallback: str = "External", max_nodes: int | None = None, dep_depth: int = 1) -> Build:
+def modules_build(edges: DataFrame, symbols: DataFrame, declared_order: list[str], fallback: str = "External", max_nodes: int | None = None, dep_depth: int = 1) -> Build:
     """The N-way build: seeds of every declared module, then rounds of expansion of what they meet in declared modules.
 
     symbols(id, name, path, module, start_byte, end_byte). Symbols of the fallback module and names are sinks; with
-    dep_depth 2 fallback symbols go once more. With a budget each module gets an equal share of three fifths of it.
+    dep_depth 2 fallback symbols go once more. With a budget each module gets an equal share of three fifths of it, and
+    seeds are dealt one a module in turn, in the order in which the modules are declared.
     """
+    spec_zones = len(declared_order)
+    place = F.coalesce(*[F.when(F.col("module") == name, F.lit(k)) for k, name in enumerate(declared_order)], F.lit(spec_zones))
     declared = symbols.where(F.col("module") != fallback)
     seeds = declared.select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), "module", F.struct("path", F.col("id").alias("n")).alias("k"))
     elided = 0
     if max_nodes is not None:
         share = max(1, max(spec_zones, max_nodes * 3 // 5) // max(1, spec_zones))
         rank = F.row_number().over(Window.partitionBy("module").orderBy("k"))
-        seeds = seeds.withColumn("k", F.struct(rank.alias("r"), F.col("k"))).where(F.col("k.r") <= share)
+        seeds = seeds.withColumn("k", F.struct(rank.alias("r"), place.alias("decl"), F.col("k"))).where(F.col("k.r") <= share)
         total = seeds.count()
         seeds = seeds.orderBy("k").limit(max_nodes)
         elided += max(0, total - max_nodes)
-    resolved = module_targets(edges, symbols)
+    resolved = cut(module_targets(edges, symbols))  # read by every round
     known = symbols.select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("id"), "module")
     nodes = cut(seeds.select("id", F.lit(0).alias("depth")))
     level, parts, depth = cut(seeds.select("id", "k")), [], 0

@@ -102,12 +102,12 @@ def symbols_named(symbols: DataFrame, name: str, kinds: list[str] | None = None,
 
 
 def referenced_paths(statements: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, path): indexed paths a statement's quoted literals name.
+    """(id, path): indexed paths a statement's literals name, in single or double quotes.
 
     Outer % and * are stripped; a literal that equals a path names that path alone, others every path they are in.
     Each distinct literal is searched once, among the paths that have its rarest trigram.
     """
-    quoted = statements.select("id", F.explode(F.regexp_extract_all("sql_text", F.lit("'([^']*)'"), 1)).alias("q"))
+    quoted = statements.select("id", F.explode(F.regexp_extract_all("sql_text", F.lit("['\"]([^'\"]+)['\"]"), 1)).alias("q"))
     lits = quoted.select("id", F.regexp_replace("q", "^[%*]+|[%*]+$", "").alias("core")).where("core <> ''")
     said = lits.groupBy("id").agg(F.array_sort(F.collect_set("core")).alias("lits"))
     each = said.select("lits").distinct().select("lits", F.explode("lits").alias("core"))

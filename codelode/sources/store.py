@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +22,6 @@ SCHEMAS = {
 }
 
 
-# nodes of parsed plans that change something
-_WRITES = re.compile(r"(?m)^[ :+\-]*'?(Insert\w*|Create\w*|Replace\w*|Drop\w*|Alter\w*|Rename\w*|Delete\w*|Update\w*|Merge\w*|Truncate\w*|Overwrite\w*|Append\w*|Load\w*|Cache\w*|Uncache\w*|Refresh\w*|Repair\w*|Recover\w*|Set\w*|Unset\w*|Reset\w*|Add\w+|Analyze\w*|Comment\w*|Clear\w*|Use\w*|Call\w*|Execute\w*|Declare\w*|Compound\w*)\b")
-
-
 class Store:
     """Opens or makes a store. Tables that are not there read as empty; a store to be read must be there."""
 
@@ -66,13 +61,25 @@ class Store:
         return self.sql(dialect.rewrite(statement))
 
     def sql(self, statement: str) -> DataFrame:
-        """One read-only statement over the registered tables; anything whose plan holds a command is refused."""
+        """One read-only statement over the registered tables; anything whose parsed plan has a command in it is refused."""
         self.register()
-        parsed = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
-        if _WRITES.search(parsed):
+        if not self._reads_only(statement):
             raise ValueError("only queries are accepted")
         return self.spark.sql(statement)
 
+    def _reads_only(self, statement: str) -> bool:
+        """Whether no node of the parsed plan is a command or a statement of its own kind, by class."""
+        kind = self.spark._jvm.java.lang.Class.forName
+        plans = "org.apache.spark.sql.catalyst.plans.logical."
+        bad = [kind(plans + "Command"), kind(plans + "ParsedStatement")]
+        todo = [self.spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)]
+        while todo:
+            node = todo.pop()
+            if any(b.isInstance(node) for b in bad):
+                return False
+            below = node.children()
+            todo += [below.apply(k) for k in range(below.size())]
+        return True
 
     def copy_from(self, other: "Store") -> None:
         """Take over all tables of another store."""

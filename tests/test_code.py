@@ -79,13 +79,45 @@ def test_modules_build(built):
     files = s.table("files").select(F.col("id").alias("file_id"), "path")
     symbols = boundary.modules(s.table("symbols").join(files, "file_id"), [{"name": "Game", "include": ["game"]}, {"name": "Lib", "include": ["lib/engine.py"]}]).drop("prefix")
     names = {f"s{r.id}": r.name for r in s.table("symbols").collect()}
-    b = scan.modules_build(s.table("edges"), symbols, 2)
+    order = ["Game", "Lib"]
+    b = scan.modules_build(s.table("edges"), symbols, order)
     assert {r.module for r in b.nodes.collect()} == {"Game", "Lib", "External"}
     assert ("Own", "Engine", "unique") in {(names.get(r.src), names.get(r.dst), r.confidence) for r in b.edges.collect()}
-    few = scan.modules_build(s.table("edges"), symbols, 2, max_nodes=4)
-    assert few.nodes.count() == 4 and few.truncated
+    # a seed a module; what they lead to is one more node, so nothing is left out
+    few = scan.modules_build(s.table("edges"), symbols, order, max_nodes=4)
+    assert few.nodes.count() == 3 and not few.truncated
+    less = scan.modules_build(s.table("edges"), symbols, order, max_nodes=2)
+    assert less.nodes.count() == 2 and less.truncated and less.elided > 0
     free = s.table("edges").drop("dst_symbol_id")
-    assert ("User", "amb:Twin", "ambiguous") in {(names.get(r.src), names.get(r.dst, r.dst), r.confidence) for r in scan.modules_build(free, symbols, 2).edges.collect()}
+    assert ("User", "amb:Twin", "ambiguous") in {(names.get(r.src), names.get(r.dst, r.dst), r.confidence) for r in scan.modules_build(free, symbols, order).edges.collect()}
+
+
+def test_modules_are_dealt_as_declared(spark):
+    """With room for one target only, the one that the module declared first leads to is taken."""
+    symbols = [(1, "S1", "z/one.h", "Z"), (2, "S2", "a/two.h", "A"), (3, "T1", "x/t.h", "External"), (4, "T2", "x/u.h", "External")]
+    symbols = spark.createDataFrame([(*s, 0, 100) for s in symbols], "id long, name string, path string, module string, start_byte long, end_byte long")
+    edges = spark.createDataFrame([(1, 1, "T2", "extends"), (2, 2, "T1", "extends")], "id long, src_symbol_id long, dst_name string, relation string")
+    for order, want in ((["Z", "A"], "s4"), (["A", "Z"], "s3")):
+        b = scan.modules_build(edges, symbols, order, max_nodes=3)
+        assert {r.id for r in b.nodes.collect()} == {"s1", "s2", want} and b.elided == 1
+
+
+def test_members_are_edges_by_place(spark):
+    """Two classes with a method of one name have an edge each to their own."""
+    files = spark.createDataFrame([(1, ".py", "class A:\n    def go(self): pass\nclass B:\n    def go(self): pass\n"), (2, ".java", "class C { void go() { } }")], "id long, ext string, content string")
+    rows = parse.enrich(files)
+    made = rows.where("tag = 'symbol'")
+    got = assemble.edges(rows.where("tag = 'edge'").select("file_id", "src_local", "dst_local", "dst_name", "relation"), made)
+    k = assemble.SPAN
+    assert {(r.src_symbol_id, r.dst_symbol_id) for r in got.where("relation = 'contains'").collect()} == {(k, k + 1), (k + 2, k + 3), (2 * k, 2 * k + 1)}
+
+
+def test_guard_reads_classes_not_text(built):
+    s, _ = built
+    assert [tuple(r) for r in s.query("SELECT 'a\nSet x', 'b\nInsertInto y'").collect()] == [("a\nSet x", "b\nInsertInto y")]
+    for bad in ("CREATE VIEW v AS SELECT 1", "CACHE TABLE files", "EXPLAIN SELECT 1", "TRUNCATE TABLE files", "BEGIN SELECT 1; END", "WITH a AS (SELECT 1) INSERT INTO files TABLE a"):
+        with pytest.raises(ValueError):
+            s.sql(bad)
 
 
 def test_long_chain(spark):
@@ -104,6 +136,9 @@ def test_macros_and_flags():
     assert [x[1] for x in parse.parse("class FORCEINLINE Foo { };", "cpp").symbols] == ["Foo"]
     twice = "class A_API B_API(é) Foo { };"
     assert len(parse.strip_macros(twice).encode()) == len(twice.encode()) and "API" not in parse.strip_macros(twice)
+    same = lambda text: parse.strip_macros(text) == text
+    assert same("class Foo : A_API Bar { };") and same("class A_API { };") and same("struct X_Y(1)Z {") and same("class A_API(f(1)) Foo")
+    assert parse.strip_macros("class A_API\n\tB_C (x)  Foo") == "class " + " " * 5 + "\n\t" + " " * 7 + "  Foo"
     assert dsl.equivalent("(n :flag :a 1)", "(n :a 1 :flag)") == [] and dsl.equivalent("(n :flag)", "(n :flag 1)")
 
 

@@ -2,13 +2,12 @@
 
 import json
 from collections import deque
-from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from codelode.operators import boundary, dsl, graph, rules
-from codelode.sources import home
+from codelode.sources import catalog
 
 
 def test_topological_order(spark):
@@ -75,31 +74,64 @@ def test_rules_documents(tmp_path):
         rules.load(str(tmp_path / "bad.json"))
 
 
-def test_store_places(tmp_path, monkeypatch):
-    monkeypatch.setenv(home.HOME_VARIABLE, str(tmp_path / "home"))
-    monkeypatch.delenv(home.STORE_VARIABLE, raising=False)
+def test_store_places(spark, tmp_path, monkeypatch):
+    monkeypatch.delenv(catalog.VARIABLE, raising=False)
     root = tmp_path / "work"
     (root / "deep" / "er").mkdir(parents=True)
-    at = home.init(root, languages=["python", "Java"])
-    (at / ".gitignore").write_text("kept")
-    assert home.init(root, alias="other") == at and (at / ".gitignore").read_text() == "kept"
-    assert home.find(root / "deep" / "er") == home.find(at) == at
-    p = home.project(root=str(root / "deep"))
-    assert (p.store, p.root, p.alias, p.exts) == (at, root / "deep", "work", [".py", ".pyi", ".java"])
-    (at / "user" / "config.json").write_text(json.dumps({"alias": "mine", "exts": [".x"], "ignore": []}))
-    assert (home.project(root).alias, home.project(at).exts, home.project(at).root) == ("mine", [".x"], root)
-    assert home.active_extensions(home.project(at), {"engine": "*.proj"}) == []
+    at = catalog.init(spark, str(root), languages=["python", "Java"])
+    assert catalog.init(spark, str(root), languages=["cpp"]) == at and catalog.is_store(spark, at)
+    assert catalog.nearest(spark, str(root / "deep" / "er")) == catalog.nearest(spark, at) == at
+    assert catalog.nearest(spark, str(tmp_path)) is None
+    said = catalog.settings(spark, at)
+    assert (said["alias"], said["exts"], said["ignore"]) == ("work", [".py", ".pyi", ".java"], list(catalog.IGNORE))
+    catalog.put(spark, at, "user", alias="mine", exts=[".x"], ignore=[])
+    catalog.put(spark, at, "shared", alias="theirs")
+    said = catalog.settings(spark, at)
+    assert (said["alias"], said["exts"], said["ignore"], said["languages"]) == ("mine", [".x"], [], ["python", "Java"])
+    catalog.put(spark, at, "user", alias=None)
+    assert catalog.settings(spark, at)["alias"] == "theirs"
+    with pytest.raises(ValueError):
+        catalog.put(spark, at, "other", alias="x")
+    assert catalog.active_extensions(spark, at, {"engine": "*.proj"}) == []
     (root / "a.proj").write_text("")
-    assert home.active_extensions(home.project(at), {"engine": "*.proj"}) == ["engine"]
-    (at / "user" / "config.json").write_text(json.dumps({"extensions": []}))
-    assert home.active_extensions(home.project(at), {"engine": "*.proj"}) == []
-    home.register(at, "short", root)
-    assert home.stores()[str(at)]["alias"] == "short" and home.resolve("short").store == at
-    assert home.unregister(at) and not home.unregister(at) and home.stores() == {}
-    monkeypatch.setenv(home.STORE_VARIABLE, str(tmp_path / "gone"))
-    assert home.find(root) is None
-    with pytest.raises(home.NoStore):
-        home.resolve()
-    assert home.is_system_location("/") and home.is_system_location(Path.home()) and home.is_system_location(Path.home() / "Desktop") and not home.is_system_location(root)
-    state = home.file_state(["a.proj", " ", "none"], root)
-    assert state[0]["size"] == 0 and state[1] == {"path": "none", "mtime": None, "size": None} and len(state) == 2
+    assert catalog.active_extensions(spark, at, {"engine": "*.proj"}) == ["engine"]
+    catalog.put(spark, at, profile="other")
+    assert catalog.active_extensions(spark, at, {"engine": "*.proj", "other": "*.none"}) == ["other"]
+    catalog.put(spark, at, extensions=[])
+    assert catalog.active_extensions(spark, at, {"engine": "*.proj"}) == []
+
+
+def test_catalog(spark, tmp_path, monkeypatch):
+    """The newest row of a store counts; aliases, folders and the environment lead to it."""
+    monkeypatch.delenv(catalog.VARIABLE, raising=False)
+    one, two = (catalog.init(spark, str(tmp_path / x)) for x in ("one", "two"))
+    c = catalog.Catalog(spark, str(tmp_path / "catalog"))
+    assert c.stores().count() == 0 and not c.remove(one)
+    c.add(one)
+    c.add(two, "both")
+    c.add(one, "both", "elsewhere")
+    assert {(r.store, r.alias, r.root) for r in c.stores().collect()} == {(one, "both", "elsewhere"), (two, "both", two.rpartition("/")[0])}
+    assert c.named("both") == one == catalog.resolve(spark, "both", catalog=c) and c.named("one") is None
+    assert c.remove(one) and not c.remove(one) and c.named("both") == two
+    assert catalog.resolve(spark, one) == catalog.resolve(spark, str(tmp_path / "one")) == catalog.resolve(spark, start=str(tmp_path / "one")) == one
+    monkeypatch.setenv(catalog.VARIABLE, two)
+    assert catalog.resolve(spark, start=str(tmp_path / "one")) == two
+    monkeypatch.setenv(catalog.VARIABLE, str(tmp_path / "gone"))
+    for name in (None, "nobody"):
+        with pytest.raises(catalog.NoStore):
+            catalog.resolve(spark, name, catalog=c)
+
+
+def test_unsuitable_places(tmp_path):
+    assert all(catalog.unsuitable(str(p), str(tmp_path)) for p in ("/", tmp_path, tmp_path / "Desktop"))
+    assert not catalog.unsuitable(str(tmp_path / "work"), str(tmp_path))
+
+
+def test_file_state(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "b.txt").write_text("four")
+    (tmp_path / "c.txt").write_text("x")
+    (tmp_path / "empty").write_text("")
+    names = spark.createDataFrame([(1, "a/b.txt"), (1, "none"), (2, "c.txt"), (2, "empty"), (3, None)], "id long, path string")
+    got = {(r.id, r.path): (r.mtime, r["size"]) for r in catalog.file_state(spark, names, str(tmp_path)).collect()}
+    assert got == {(1, "a/b.txt"): (int((tmp_path / "a" / "b.txt").stat().st_mtime), 4), (1, "none"): (None, None), (2, "c.txt"): (int((tmp_path / "c.txt").stat().st_mtime), 1), (2, "empty"): (None, None), (3, None): (None, None)}
