@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,54 +25,118 @@ def has_term(term: str) -> Column:
     return F.contains(F.lower("path"), low) | F.contains(F.lower("content"), low)
 
 
-def parse(query: str) -> list[list[str]]:
-    """Alternatives of terms that all must match: OR separates, white space is AND, quotes make phrases."""
-    terms, i, out = [], 0, []
-    while i < len(query):
-        if query[i].isspace():
-            i += 1
-        elif query[i] == '"':
-            end, word = i + 1, []
-            while end < len(query):
-                if query[end] == '"':
-                    if query[end + 1 : end + 2] != '"':
-                        break
-                    end += 1
-                word.append(query[end])
-                end += 1
-            terms.append("".join(word))
-            i = end + 1
-        else:
-            end = i
-            while end < len(query) and not query[end].isspace() and query[end] != '"':
-                end += 1
-            if query[i:end] == "OR":
-                out.append(terms)
-                terms = []
-            elif query[i:end] != "AND":
-                terms.append(query[i:end])
-            i = end
-    return [t for t in [*out, terms] if t]
+_TOKENS = re.compile(r'"(?:[^"]|"")*"?|[()]|[^\s"()]+')
+
+
+def parse(query: str):
+    """A term query as nested tuples: ("term", text), ("and" | "or", parts), ("not", wanted, unwanted); None if it is empty.
+
+    Words and quoted phrases side by side must all match and hold together most; then NOT, AND, OR. Round brackets group.
+    """
+    todo = _TOKENS.findall(query)[::-1]
+
+    def ahead(word: str) -> bool:
+        return bool(todo) and todo[-1] == word
+
+    def chain(name: str, word: str, part):
+        parts = [part()]
+        while ahead(word):
+            todo.pop()
+            parts.append(part())
+        parts = [p for p in parts if p]
+        return (name, parts) if len(parts) > 1 else parts[0] if parts else None
+
+    def together():
+        parts = []
+        while todo and todo[-1] not in (")", "AND", "OR", "NOT"):
+            t = todo.pop()
+            if t == "(":
+                parts.append(either())
+                if ahead(")"):
+                    todo.pop()
+            else:
+                parts.append(("term", t[1:].removesuffix('"').replace('""', '"') if t[0] == '"' else t.removesuffix("*")))
+        parts = [p for p in parts if p]
+        return ("and", parts) if len(parts) > 1 else parts[0] if parts else None
+
+    def without():
+        wanted = together()
+        while ahead("NOT"):
+            todo.pop()
+            unwanted = together()
+            wanted = ("not", wanted, unwanted) if wanted and unwanted else wanted
+        return wanted
+
+    def either():
+        return chain("or", "OR", lambda: chain("and", "AND", without))
+
+    found = either()
+    while todo:  # a bracket or a word without its other half is passed over
+        todo.pop()
+        more = either()
+        found = ("and", [found, more]) if found and more else found or more
+    return found
+
+
+def terms_of(tree) -> list[str]:
+    """The distinct terms of a parsed query, in order."""
+    if tree is None:
+        return []
+    parts = [tree[1]] if tree[0] == "term" else [t for p in (tree[1:] if tree[0] == "not" else tree[1]) for t in terms_of(p)]
+    return list(dict.fromkeys(parts))
+
+
+def decide(tree, term, maybe: bool = False) -> Column:
+    """A parsed query as a condition, term giving that of a word; with maybe terms may err towards true, so NOT decides nothing."""
+    if tree[0] == "term":
+        return term(tree[1])
+    if tree[0] == "not":
+        wanted = decide(tree[1], term, maybe)
+        return wanted if maybe else wanted & ~decide(tree[2], term)
+    return reduce(lambda a, b: a & b if tree[0] == "and" else a | b, [decide(p, term, maybe) for p in tree[1]])
+
+
+def grams_of(term: str) -> list[str]:
+    return sorted({term.lower()[i : i + 3] for i in range(len(term) - 2)})
 
 
 def match(files: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
     """Files that match a term query. With a postings index, candidates come from a semi-join on grams first."""
     wanted = parse(query)
-    if not wanted:
+    if wanted is None:
         return files.where(F.lit(False))
     if index is not None:
         files = files.join(candidates(index, wanted), files.id == F.col("file_id"), "left_semi")
-    return files.where(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(has_term, terms)) for terms in wanted]))
+    return files.where(decide(wanted, has_term))
+
 
+def candidates(index: DataFrame, tree) -> DataFrame:
+    """file_id of files whose grams allow a match: one pass over the postings of the query's grams."""
+    words = [t for t in terms_of(tree) if len(t) > 2]
+    grams = sorted({g for t in words for g in grams_of(t)})
+    held = [F.count_if(F.col("gram").isin(grams_of(t))).alias(f"n{k}") for k, t in enumerate(words)]
+    per = index.where(F.col("gram").isin(grams)).groupBy("file_id").agg(*held or [F.count("*").alias("n")])
+    full = {t: F.col(f"n{k}") == len(grams_of(t)) for k, t in enumerate(words)}
+    return per.where(decide(tree, lambda t: full.get(t, F.lit(False)), maybe=True)).select("file_id")
 
-def candidates(index: DataFrame, wanted: list[list[str]]) -> DataFrame:
-    """file_id of files that hold every trigram of an alternative."""
-    parts = []
-    for terms in wanted:
-        grams = sorted({t.lower()[i : i + 3] for t in terms for i in range(len(t) - 2)})
-        hit = index.where(F.col("gram").isin(grams)).groupBy("file_id").agg(F.countDistinct("gram").alias("n"))
-        parts.append(hit.where(F.col("n") == len(grams)).select("file_id"))
-    return reduce(DataFrame.union, parts).distinct()
+
+def bm25(files: DataFrame, tree, total: int, mean: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """files(id, path, content) that match a parsed query, with ``rank``: smaller (more negative) is better.
+
+    A term's weight is ln((N - n + 0.5) / (n + 0.5)), 1e-6 at least, N being all files and n those among the given
+    ones that hold it; files must therefore be all that hold any term of the query. Occurrences in path and content count,
+    overlapping ones too; a file is as long as the trigrams of both, mean being the average.
+    """
+    words = [t for t in terms_of(tree) if len(t) > 2]
+    found = lambda t, c: F.regexp_count(F.lower(c), F.lit("(?s)(?=" + re.escape(t.lower()) + ")"))
+    size = F.greatest(F.length("path") - 2, F.lit(0)) + F.greatest(F.length("content") - 2, F.lit(0))
+    base = files.select("id", "path", "content", size.alias("_d"), *[(found(t, "path") + found(t, "content")).alias(f"_f{k}") for k, t in enumerate(words)])
+    held = base.agg(*[F.count_if(F.col(f"_f{k}") > 0).alias(f"_n{k}") for k in range(len(words))] or [F.lit(0).alias("_n")])
+    score = F.lit(0.0)
+    for k in range(len(words)):
+        idf = F.greatest(F.log((F.lit(total) - F.col(f"_n{k}") + 0.5) / (F.col(f"_n{k}") + 0.5)), F.lit(1e-6))
+        score = score + idf * F.col(f"_f{k}") * (k1 + 1) / (F.col(f"_f{k}") + k1 * (1 - b + b * F.col("_d") / mean))
+    return base.where(decide(tree, has_term)).crossJoin(F.broadcast(held)).select("id", "path", "content", (-score).alias("rank"))  # one row of counts
 
 
 def rank(files: DataFrame, terms: list[str], limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -141,7 +141,7 @@ def modules_build_edges(spark, d):
 @query(
     MODULES + """, sr AS (SELECT id AS n, path, CASE module WHEN 'One' THEN 0 ELSE 1 END AS decl, row_number() OVER (PARTITION BY module ORDER BY path, id) AS r FROM ms WHERE module <> 'External'),
 sk AS (SELECT *, 's' || n AS id FROM sr WHERE r <= 60 ORDER BY r, decl, path, n LIMIT 200),
-f1 AS (SELECT t.target, (k.r, k.decl, k.path, k.n, relation, e.dst_name, t.id) AS o FROM mt t JOIN sk k ON k.n = t.src_symbol_id JOIN edges e ON e.id = t.id),
+f1 AS (SELECT t.target, (k.r, k.decl, k.path, k.n, t.relation, e.dst_name, t.id) AS o FROM mt t JOIN sk k ON k.n = t.src_symbol_id JOIN edges e ON e.id = t.id),
 nk AS (SELECT target AS id FROM f1 WHERE target NOT IN (SELECT id FROM sk) GROUP BY 1 ORDER BY min(o) LIMIT (SELECT 200 - count(*) FROM sk)),
 kept AS (SELECT id, 0 AS depth FROM sk UNION ALL SELECT id, 1 FROM nk),
 f2 AS (SELECT target FROM mt WHERE 's' || src_symbol_id IN (SELECT nk.id FROM nk JOIN ms ON nk.id = 's' || ms.id WHERE module <> 'External')),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from codelode.functions import text
+from codelode.operators import search
 from codelode.sources import dialect
+from codelode.sources.fulltext import FullText
 
 SCHEMAS = {
     "files": "id long, path string, ext string, size long, mtime long, content string",
@@ -58,7 +60,32 @@ class Store:
         """A statement in the dialect of the file-based store (see dialect); log(statement) is told of it first."""
         if log:
             log(statement)
-        return self.sql(dialect.rewrite(statement))
+        return self.sql(dialect.rewrite(statement, self._matched))
+
+    def index_text(self) -> FullText:
+        """The full-text index of the files as they are, made anew beside the tables."""
+        if self.read_only:
+            raise PermissionError("the store is open for reading")
+        index = FullText(self.spark, f"{self.path}/fulltext")
+        had = index.statistics()[0] if index.generations else 0
+        if had:
+            index.remove(self.spark.read.parquet(*[f"{self.path}/fulltext/generations/{g}/files" for g in index.generations]).select(F.col("file_id").alias("id")).distinct())
+        index.put(self.table("files"))
+        return index
+
+    def _matched(self, query: str) -> str:
+        """A view of files_fts with the rows that match a query and their rank, through the stored index if there is one."""
+        files = self.table("files")
+        if self.has("fulltext/versions"):
+            found = FullText(self.spark, f"{self.path}/fulltext").ranked(files, query)
+        else:
+            size = sum(F.greatest(F.length(c) - 2, F.lit(0)) for c in ("path", "content"))
+            n, mean = files.agg(F.count("*"), F.avg(size)).first()
+            tree = search.parse(query)
+            found = search.bm25(files, tree, n, mean or 1.0) if tree else files.select("*", F.lit(0.0).alias("rank")).where(F.lit(False))
+        name = f"files_fts_{hashlib.sha1(query.encode()).hexdigest()[:16]}"
+        found.select(F.col("id").alias("rowid"), "path", "content", "rank").createOrReplaceTempView(name)
+        return name
 
     def sql(self, statement: str) -> DataFrame:
         """One read-only statement over the registered tables; anything whose parsed plan has a command in it is refused."""

@@ -153,6 +153,9 @@ def test_dialect(built):
     assert one("SELECT CAST('x1' AS INTEGER) IS NULL, json_extract('{\"a\": 5}', '$.a'), strftime('%Y-%m', '2024-05-06')") == [(True, "5", "2024-05")]
     assert one("SELECT [name] FROM \"symbols\" WHERE name = 'it''s' -- LIKE here") == []
     assert len(one("SELECT datetime('now')")[0][0]) == 19
+    assert one("SELECT total(size) FROM files WHERE size < 0") == [(0.0,)]
+    assert one("SELECT path FROM files_fts WHERE files_fts MATCH 'class NOT engine' AND path LIKE 'lib/%'") == [("lib/two.py",)]
+    assert one("SELECT path FROM files_fts WHERE content MATCH 'engine' OR path MATCH 'two'  ORDER BY path") == [("game/core/a.py",), ("lib/engine.py",), ("lib/two.py",)]
     seen = []
     s.query("SELECT 1", seen.append)
     assert seen == ["SELECT 1"]

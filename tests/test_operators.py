@@ -40,7 +40,12 @@ def test_globs(spark):
 
 
 def test_search_syntax():
-    assert search.parse('one two OR "three four"') == [["one", "two"], ["three four"]]
+    term = lambda t: ("term", t)
+    assert search.parse('one two OR "three four"') == ("or", [("and", [term("one"), term("two")]), term("three four")])
+    assert search.parse('a NOT b c AND "OR"') == ("and", [("not", term("a"), ("and", [term("b"), term("c")])), term("OR")])
+    assert search.parse('(a OR b*) "say ""so""') == ("and", [("or", [term("a"), term("b")]), term('say "so"')])
+    assert search.parse("  ") is search.parse("OR") is search.parse("()") is None and search.parse("OR a )b") == ("and", [term("a"), term("b")])
+    assert search.terms_of(search.parse("a b NOT (a OR c)")) == ["a", "b", "c"]
 
 
 def test_short_terms_match_nothing(spark):
