@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codelode import scratch
 from codelode.functions import paths, text
 from codelode.operators import resolve, rules, search
 from codelode.plans.registry import query
 from codelode.sources import store, views
+from codelode.sources.fulltext import FullText
 from codelode.sources.views import EDGES, FILES, LINES, SYMBOLS
 
 WITH = "WITH "
@@ -39,30 +41,53 @@ def shape_by_topdir(spark, d):
     return views.files(spark, d).groupBy(paths.top_dir(F.col("path")).alias("top")).agg(F.count("*").alias("n"))
 
 
+def _index(spark, d):
+    """The stored full-text index of the documents as files, made by the first query that asks for it."""
+    index = FullText(spark, scratch.stamped(spark, "fulltext", f"{d}/documents.parquet"))
+    if not index.generations:
+        index.put(views.files(spark, d))
+    return index
+
+
 def _has(term):
     return f"(contains(lower(content), '{term}') OR contains(lower(path), '{term}'))"
 
 
 @query(WITH + FILES + f" SELECT id, path FROM files WHERE {_has('license')}")
 def fts_single(spark, d):
-    return search.match(views.files(spark, d), "license").select("id", "path")
+    return _index(spark, d).match(views.files(spark, d), "license").select("id", "path")
 
 
 @query(WITH + FILES + f" SELECT id, path FROM files WHERE {_has('the')} AND {_has('tion of')}")
 def fts_and(spark, d):
-    f = views.files(spark, d)
-    return search.match(f, 'the "tion of"', search.postings(f)).select("id", "path")
+    return _index(spark, d).match(views.files(spark, d), 'the "tion of"').select("id", "path")
 
 
 @query(WITH + FILES + f" SELECT id, path FROM files WHERE {_has('apache')} OR ({_has('gnu')} AND {_has('version')})")
 def fts_or(spark, d):
-    return search.match(views.files(spark, d), "apache OR gnu version").select("id", "path")
+    return _index(spark, d).match(views.files(spark, d), "apache OR gnu version").select("id", "path")
 
 
 @query(WITH + FILES + f" SELECT id, path FROM files WHERE ext = '.fr' AND {_has('licensed')}")
 def fts_ext_filter(spark, d):
-    return search.match(views.files(spark, d).where("ext = '.fr'"), "licensed").select("id", "path")
+    return _index(spark, d).match(views.files(spark, d).where("ext = '.fr'"), "licensed").select("id", "path")
+
 
+@query(WITH + FILES + f" SELECT id, path FROM files WHERE {_has('licensed')} AND NOT ({_has('apache')} OR {_has('mit license')})")
+def fts_not(spark, d):
+    return _index(spark, d).match(views.files(spark, d), 'licensed NOT (apache OR "mit license")').select("id", "path")
+
+
+@query(
+    WITH + FILES + """, t AS (SELECT id, path, greatest(length(path) - 2, 0) + greatest(length(content) - 2, 0) AS len, lower(path || chr(10) || content) AS low FROM files),
+u AS (SELECT id, path, len, (length(low) - length(replace(low, 'licensed', ''))) / 8.0 AS a, (length(low) - length(replace(low, 'version', ''))) / 7.0 AS b FROM t),
+s AS (SELECT count(*) AS n, avg(len) AS al, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM u)
+SELECT id, path, round(-(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / al)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / al))), 6) AS rank
+FROM u, s WHERE a > 0 AND b > 0"""
+)
+def fts_rank(spark, d):
+    """All matches of two terms with their rank, from the stored index."""
+    return _index(spark, d).ranked(views.files(spark, d), "licensed version").select("id", "path", F.round("rank", 6).alias("rank"))
 
 @query(
     WITH + FILES + """, t AS (SELECT id, path, length(content) AS len, (length(lower(content)) - length(replace(lower(content), 'licensed', ''))) / 8.0 AS a,
