@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codelode.operators import boundary, graph, trace
 from codelode.plans.registry import query
-from codelode.sources import views
+from codelode.sources import recursive, views
 from codelode.sources.views import LOG, MEMBERS, NATIONS, NOTES, TRADE, TURNS, WEB
 
 DEDUP = "dd AS (SELECT src, dst, relation, CAST(sum(weight) AS BIGINT) AS weight FROM trade GROUP BY 1, 2, 3)"
@@ -379,3 +379,23 @@ def trace_stale(spark, d):
 @query(LATEST + " SELECT id FROM ln WHERE contains(lower(concat_ws(' ', sql_text, task_tag, tag, note)), 'purchase') AND contains(lower(concat_ws(' ', sql_text, task_tag, tag, note)), 'task5')")
 def trace_search(spark, d):
     return trace.with_latest_note(views.log(spark, d), views.notes(spark, d)).where(trace.matches(["Purchase", "task5"])).select("id")
+
+
+CHAINS = "r(top, id, steps) AS (SELECT src, dst, 1 FROM turns UNION SELECT r.top, t.dst, r.steps + 1 FROM r JOIN turns t ON t.src = r.id)"
+
+
+@query("WITH RECURSIVE " + TURNS + ", " + CHAINS + " SELECT top, id, steps FROM r")
+def recursive_chains(spark, d):
+    """Every turn with all the turns before it: a recursive table over an acyclic graph."""
+    views.turns(spark, d).createOrReplaceTempView("codelode_turns")
+    return recursive.run("WITH RECURSIVE turns AS (SELECT * FROM codelode_turns), " + CHAINS + " SELECT top, id, steps FROM r", spark.sql)
+
+
+REACH = "r(id) AS (SELECT min(src) FROM web UNION SELECT w.dst FROM r JOIN web w ON w.src = r.id)"
+
+
+@query("WITH RECURSIVE " + WEB + ", " + REACH + " SELECT id FROM r")
+def recursive_reach(spark, d):
+    """What the first node leads to in a graph with cycles."""
+    views.web(spark, d).createOrReplaceTempView("codelode_web")
+    return recursive.run("WITH RECURSIVE web AS (SELECT * FROM codelode_web), " + REACH + " SELECT id FROM r", spark.sql)

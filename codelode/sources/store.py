@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from codelode.functions import text
 from codelode.operators import search
-from codelode.sources import dialect
+from codelode.sources import dialect, recursive
 from codelode.sources.fulltext import FullText
 
 SCHEMAS = {
@@ -60,7 +60,7 @@ class Store:
         """A statement in the dialect of the file-based store (see dialect); log(statement) is told of it first."""
         if log:
             log(statement)
-        return self.sql(dialect.rewrite(statement, self._matched))
+        return recursive.run(dialect.rewrite(statement, self._matched), self.sql)
 
     def index_text(self) -> FullText:
         """The full-text index of the files as they are, made anew beside the tables."""
