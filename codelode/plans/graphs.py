@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelode.operators import boundary, graph, trace
+from codelode.operators import boundary, graph, strong, trace
 from codelode.plans.registry import query
 from codelode.sources import recursive, views
 from codelode.sources.views import LOG, MEMBERS, NATIONS, NOTES, TRADE, TURNS, WEB
@@ -89,7 +89,7 @@ REACH = "WITH RECURSIVE " + WEB + ", reach(a, b) AS (SELECT src, dst FROM web UN
 SELECT id, min(other) AS component, count(*) AS size, count(*) > 1 AS cyclic FROM s GROUP BY id"""
 )
 def scc_cycles(spark, d):
-    return graph.strong_components(graph.slices(views.web(spark, d))).drop("slice")
+    return strong.strong_components(views.web(spark, d))
 
 
 SPARSE = WEB.replace("% 9 = 5", "% 23 = 5")
@@ -223,7 +223,7 @@ def module_cycles(spark, d):
     n = views.members(spark, d)
     e = views.web(spark, d).join(n.select(F.col("id").alias("src"), F.col("m").alias("a")), "src").join(n.select(F.col("id").alias("dst"), F.col("m").alias("b")), "dst")
     q = e.where("a <> b AND (a + b) % 7 = 3").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
-    return graph.strong_components(graph.slices(q)).select("id", "component", "size")
+    return strong.strong_components(q).select("id", "component", "size")
 
 
 @query("WITH " + WEB + ", " + MEMBERS + COUPLED + " SELECT c.id::BIGINT AS id FROM c JOIN members n ON n.id = c.id WHERE n.label NOT LIKE 'EUROPE/%' AND (n.label LIKE 'ASIA/%' OR c.ca >= 3)")
@@ -268,7 +268,7 @@ SELECT (SELECT count(*) FROM f) AS nodes, (SELECT count(*) FROM web) AS edges, (
 )
 def metrics_summary(spark, d):
     e = views.web(spark, d, 23)
-    return graph.metrics(views.members(spark, d), e, graph.strong_components(graph.slices(e)))
+    return graph.metrics(views.members(spark, d), e, strong.strong_components(e))
 
 
 @query(
