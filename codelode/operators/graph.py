@@ -73,23 +73,33 @@ def bfs_bounded(edges: DataFrame, seeds: DataFrame, max_nodes: int = 200, max_de
     Each level is one join with the edges and one anti-join with the nodes taken, then a checkpoint, so lineage
     stays flat; the nodes taken never exceed the budget. Seeds over the budget are cut in id order.
     """
-    spark = edges.sparkSession
     step = edges.select("src", "dst").distinct()
     if direction == "in":
         step = step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     elif direction == "both":
         step = step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    got = expand(lambda level: step.join(F.broadcast(level.withColumnRenamed("id", "src")), "src"), seeds, max_nodes, max_depth)  # at most max_nodes rows
+    if direction == "in":
+        got.edges = got.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return got
+
+
+def expand(step, seeds: DataFrame, max_nodes: int = 200, max_depth: int = 3) -> Slice:
+    """The slice around seeds(id) that step leads to; step(level) gives edges from the ids of a level, with columns src, dst and more.
+
+    A level has at most max_nodes rows, so a step may broadcast it. Steps see each level once.
+    """
+    spark = seeds.sparkSession
     wanted = seeds.select("id").distinct()
     n_seeds = wanted.count()
     taken = cut(wanted.orderBy("id").limit(max_nodes).withColumn("depth", F.lit(0)))
     total, truncated, elided, depth = min(n_seeds, max_nodes), n_seeds > max_nodes, max(0, n_seeds - max_nodes), 0
-    seen = spark.createDataFrame([], step.schema)
-    frontier = spark.createDataFrame([], "id " + step.schema["src"].dataType.simpleString() + ", n long")
-    bounded = False
+    frontier = spark.createDataFrame([], "id " + seeds.schema["id"].dataType.simpleString() + ", n long")
+    seen, bounded = None, False
     while True:
-        level = taken.where(F.col("depth") == depth).select(F.col("id").alias("src"))
-        out = step.join(F.broadcast(level), "src")  # at most max_nodes rows
-        fresh = out.join(taken.select(F.col("id").alias("dst")), "dst", "left_anti")
+        out = step(taken.where(F.col("depth") == depth).select("id"))
+        seen = out.where(F.lit(False)) if seen is None else seen
+        fresh = out.select("src", "dst").join(taken.select(F.col("id").alias("dst")), "dst", "left_anti")
         new = fresh.select("dst").distinct()
         count = new.limit(max_nodes - total + 1).count()
         if not count:
@@ -99,7 +109,7 @@ def bfs_bounded(edges: DataFrame, seeds: DataFrame, max_nodes: int = 200, max_de
             over = depth < max_depth
             truncated, bounded = truncated or over, not over
             if over:
-                seen = seen.unionByName(out.join(taken.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+                seen = seen.unionByName(out.join(taken.select(F.col("id").alias("dst")), "dst", "left_semi").select(*out.columns))
             frontier = fresh.groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("n"))
             elided += new.count() if over else 0
             break
@@ -107,8 +117,6 @@ def bfs_bounded(edges: DataFrame, seeds: DataFrame, max_nodes: int = 200, max_de
         depth += 1
         taken = cut(taken.unionByName(new.select(F.col("dst").alias("id"), F.lit(depth).alias("depth"))))
         total += count
-    if direction == "in":
-        seen = seen.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return Slice(taken, seen.distinct(), frontier, truncated, bounded, depth, elided)
 
 
@@ -359,5 +367,5 @@ def metrics(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> DataFr
     unstable = F.min_by("label", F.struct(-F.col("instability"), -F.col("ce"), F.col("id")))
     wanted = F.min_by("label", F.struct(-F.col("ca"), -F.col("instability"), -F.col("ce"), F.col("id")))
     head = c.agg(F.count("*").alias("nodes"), unstable.alias("most_unstable"), wanted.alias("most_depended_on"))
-    cycles = components.where("cyclic").agg(F.countDistinct("slice", "component").alias("cycles"))
+    cycles = components.where("cyclic").agg(F.countDistinct("component").alias("cycles"))
     return head.crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(cycles).select("nodes", "edges", "cycles", "most_unstable", "most_depended_on")  # three single rows

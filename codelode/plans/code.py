@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelode.operators import assemble, boundary, graph, resolve, scan
+from codelode.operators import adapters, assemble, boundary, graph, resolve, scan
 from codelode.plans.registry import query
 from codelode.sources import views
 from codelode.sources.views import EDGES, FILES, SYMBOLS
@@ -197,3 +197,45 @@ def symbols_by_id(spark, d):
     s = views.symbols(spark, d)
     wanted = s.groupBy("file_id").agg(F.max("id").alias("id")).select("id")
     return resolve.by_id(s.select("id", "file_id", "name"), wanted).join(views.files(spark, d).select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "path", "name")
+
+
+RAW = """, raw AS (SELECT DISTINCT id AS file_id, path, 'sub/doc' || (id % 97) || '.en' AS target FROM files),
+cand AS (SELECT file_id, target, 0 AS ord, regexp_replace(path, '/[^/]*$', '') || '/' || target AS cand FROM raw UNION ALL SELECT file_id, target, 1, target FROM raw),
+hit AS (SELECT c.*, f.id AS dst, f.path AS dp, CASE WHEN f.path = cand THEN 1 WHEN ends_with(f.path, '/' || cand) THEN 2 ELSE 3 END AS stage FROM cand c JOIN files f ON split_part(f.path, '/', -1) = split_part(cand, '/', -1)),
+im AS (SELECT file_id AS src, dst FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY stage, CASE WHEN stage = 3 THEN 0 ELSE ord END, length(dp), dp, dst) AS k FROM hit) WHERE k = 1 AND file_id <> dst)"""
+
+
+def _file_adapter(spark, d):
+    f = views.files(spark, d).select("id", "path", "content")
+    target = F.concat(F.lit("sub/doc"), (F.col("id") % 97).cast("string"), F.lit(".en"))
+    raw = f.select(F.col("id").alias("file_id"), "path", F.lit(1).cast("long").alias("line"), F.lit("include").alias("kind"), target.alias("target"))
+    return adapters.FileAdapter(f, views.symbols(spark, d).select("id", "file_id", "name", "path"), raw)
+
+
+SEEDED = "WITH RECURSIVE " + SYMBOLS + RAW + """, seed AS (SELECT DISTINCT file_id AS id FROM symbols WHERE name = 'La' QUALIFY dense_rank() OVER (ORDER BY path, file_id) <= 25)"""
+
+
+@query(SEEDED + ", r(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT im.dst, depth + 1 FROM r JOIN im ON im.src = r.id WHERE depth < 3) SELECT 'file:' || id AS id, min(depth) AS depth FROM r GROUP BY id")
+def scan_by_file(spark, d):
+    """From the files with a symbol of a name to what they import, three levels deep."""
+    return adapters.scan_from(_file_adapter(spark, d), "La", 4000, 3).nodes
+
+
+@query(
+    SEEDED.replace("<= 25", "<= 400").replace("'La'", "'The'") + """, lead AS (SELECT dst AS id, src AS by FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM im) WHERE k <= 40),
+r(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT lead.by, depth + 1 FROM r JOIN lead ON lead.id = r.id WHERE depth < 2)
+SELECT 'file:' || id AS id, min(depth) AS depth FROM r GROUP BY id"""
+)
+def scan_importers(spark, d):
+    """From the same files to what imports them, two levels deep."""
+    return adapters.scan_from(_file_adapter(spark, d), "The", 100_000, 2, "in", 400).nodes
+
+
+@query(
+    CODE.replace("WITH ", "WITH RECURSIVE ", 1) + """, seed AS (SELECT 's' || id AS id FROM (SELECT * FROM zs WHERE name = 'The' ORDER BY path, id LIMIT 500) WHERE inside),
+r(id, depth) AS (SELECT id, 0 FROM seed UNION SELECT t.target, depth + 1 FROM r JOIN zs ON r.id = 's' || zs.id AND inside JOIN tt t ON t.src_symbol_id = zs.id WHERE depth < 3)
+SELECT id, min(depth) AS depth FROM r GROUP BY id"""
+)
+def scan_by_symbol(spark, d):
+    """From the target symbols of a name along resolved edges, three levels deep."""
+    return adapters.scan_from(adapters.SymbolAdapter(*_linked(spark, d)), "The", 4000, 3, limit=500).nodes
