@@ -8,6 +8,7 @@ number of distinct lengths and rooms, not the number of documents.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -38,6 +39,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, cache: int = CACHE):
+        # a task has one core; the library's threads would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
