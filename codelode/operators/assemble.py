@@ -46,12 +46,12 @@ def edges(rows: DataFrame, symbol_rows: DataFrame, dsl: tuple[str, ...] = DSL) -
     return j.select(_id(number).alias("id"), "file_id", _id(F.col("src_local")).alias("src_symbol_id"), F.when(target.isNotNull(), _id(target)).alias("dst_symbol_id"), "dst_name", "relation")
 
 
-def enrich_store(store: Store, apply_rules=None) -> DataFrame:
-    """Parse the files of a store, let rules change the symbols, and write symbols and edges. Returns the error rows.
+def enrich_store(store: Store, apply_rules=None, langs: list[str] | None = None) -> DataFrame:
+    """Parse the files of a store, all or those of some languages, let rules change the symbols, and write symbols and edges. Returns the error rows.
 
     apply_rules takes and gives symbol rows (with path). Tables are replaced as a whole, so a run can be repeated.
     """
-    rows = cut(parse.enrich(store.table("files")))  # files are parsed once
+    rows = cut(parse.enrich(store.table("files"), langs))  # files are parsed once
     made = rows.where("tag = 'symbol'").select("file_id", "local", "name", "kind", "lang", "start_line", "end_line", "start_byte", "end_byte", "parent_local")
     made = made.withColumn("attrs", F.lit(None).cast("map<string,string>")).withColumn("provenance", F.lit(None).cast("array<string>"))
     if apply_rules:

@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from codelode import extensions
 from codelode.operators import dsl
 
 # Language by extension.
@@ -228,18 +229,24 @@ def parse(source: str, lang: str) -> Found:
     raise ValueError(f"no parser for {lang}")
 
 
-def enrich(files: DataFrame) -> DataFrame:
-    """Tagged rows (symbol, edge or error) of files(id, ext, content); files of other extensions give none."""
+def enrich(files: DataFrame, langs: list[str] | None = None) -> DataFrame:
+    """Tagged rows (symbol, edge or error) of files(id, ext, content); files of other extensions, or of languages not asked for, give none.
+
+    Languages that extensions have added (see extensions.Hooks) come before the engine's own.
+    """
+    own = {*WORDS, "python", "matlang", "bplisp", "animlang"}
+    parsers = {e: (lang, parse) for e, lang in LANGUAGES.items() if lang in own} | extensions.HOOKS.parsers
+    parsers = {e: x for e, x in parsers.items() if langs is None or x[0] in langs}
 
     def run(batches):
         for pdf in batches:
             rows = []
             for i, ext, content in zip(pdf.id, pdf.ext, pdf.content):
-                lang = LANGUAGES.get((ext or "").lower())
-                if lang is None or lang not in {*WORDS, "python", "matlang", "bplisp", "animlang"}:
+                lang, reader = parsers.get((ext or "").lower(), (None, None))
+                if lang is None:
                     continue
                 try:
-                    found = parse(content or "", lang)
+                    found = reader(content or "", lang)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     rows.append((i, "error", *[None] * 13, f"{type(e).__name__}: {e}"))
                     continue

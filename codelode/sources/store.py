@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import secrets
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql.types import StructType
 from codelode.functions import text
 from codelode.operators import search
 from codelode.sources import dialect, recursive
+from codelode.sources.catalog import file_state
 from codelode.sources.fulltext import FullText
 
 SCHEMAS = {
@@ -40,12 +44,14 @@ class Store:
         schema = StructType.fromDDL(SCHEMAS[name])
         if not self.has(name):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
 
     def write(self, name: str, rows: DataFrame, mode: str = "overwrite") -> None:
         if self.read_only:
             raise PermissionError("the store is open for reading")
-        rows.select(*StructType.fromDDL(SCHEMAS[name]).fieldNames()).write.mode(mode).parquet(f"{self.path}/{name}")
+        # what is appended has a folder of its own, so that several writers can append at once
+        at = f"{self.path}/{name}" + (f"/batch-{uuid.uuid4().hex}" if mode == "append" else "")
+        rows.select(*StructType.fromDDL(SCHEMAS[name]).fieldNames()).write.mode(mode).parquet(at)
 
     def register(self) -> None:
         for name in SCHEMAS:
@@ -62,6 +68,30 @@ class Store:
             log(statement)
         return recursive.run(dialect.rewrite(statement, self._matched), self.sql)
 
+    def logged(self, statement: str, project: str = "", kind: str = "dynamic", task_tag: str | None = None, root: str | None = None) -> DataFrame:
+        """A statement's rows, once a row of the query log has been written for it.
+
+        A dynamic row carries the day and the state of the files that the statement's literals name, as they are under
+        root or, without one, as they were indexed; a static row neither. Rows are appended and their ids made of the time and a random part, so any
+        number of writers may log at once.
+        """
+        out = self.query(statement)
+        now = time.time()
+        number = int(now * 1000) << 20 | secrets.randbits(20)
+        said = self.spark.createDataFrame([(number, statement)], "id long, sql_text string")
+        row = said.select("id", F.lit(int(now)).cast("long").alias("ts"), F.lit(project).alias("project"), F.lit(self.path).alias("db_path"), "sql_text", F.lit(kind).alias("kind"), F.lit(task_tag).cast("string").alias("task_tag"))
+        if kind == "dynamic":
+            files = self.table("files")
+            named = search.referenced_paths(said, files)
+            state = file_state(self.spark, named, root) if root else named.join(files.select("path", "mtime", "size"), "path", "left")
+            states = state.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("path", "mtime", "size"))).alias("file_state"))
+            none = F.array().cast(StructType.fromDDL(SCHEMAS["query_log"])["file_state"].dataType)
+            row = row.join(states, "id", "left").withColumn("file_state", F.coalesce("file_state", none)).withColumn("valid_date", F.lit(time.strftime("%Y-%m-%d", time.localtime(now))))
+        else:
+            row = row.withColumn("valid_date", F.lit(None).cast("string")).withColumn("file_state", F.lit(None).cast(StructType.fromDDL(SCHEMAS["query_log"])["file_state"].dataType))
+        self.write("query_log", row.coalesce(1), mode="append")
+        return out
+
     def index_text(self) -> FullText:
         """The full-text index of the files as they are, made anew beside the tables."""
         if self.read_only:

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from codelode.functions import paths
 from codelode.operators.parse import LANGUAGES
 from codelode.scratch import cut
+from codelode.sources import catalog
 
 MAX_BYTES = 4 * 1024 * 1024
 # Folders that a walk never enters.
 SKIP_DIRS = (".git", "node_modules", "dist", ".venv", "venv", "__pycache__")
 STORE_DIRS = (".codelode", "codelode")  # where stores are kept in a tree; a setting of read_files
-EXTENSIONS = tuple(LANGUAGES) + (".md",)
+EXTENSIONS = tuple(sorted({*LANGUAGES, *(e for group in catalog.EXTENSIONS.values() for e in group)}))
 
 
 def is_git_repo(root: str) -> bool:
@@ -46,7 +47,7 @@ def walked_paths(root: str, skip: tuple[str, ...]) -> list[str]:
 def read_files(spark: SparkSession, root: str, exts: list[str] | None = None, ignore: list[str] | None = None, use_git: bool | None = None, store_dirs: tuple[str, ...] = STORE_DIRS) -> DataFrame:
     """The files table of a tree: id, path, ext, size, mtime, content.
 
-    The driver lists names, with git where it decides them, and never enters skipped folders; executors read the
+    exts are the extensions to read, all known ones if not given; an empty list reads every file. The driver lists names, with git where it decides them, and never enters skipped folders; executors read the
     contents of the listed files only. Files over 4 MiB and files that cannot be read are left out; bytes that are no
     UTF-8 become replacement characters. Ids follow path order.
     """
@@ -55,6 +56,7 @@ def read_files(spark: SparkSession, root: str, exts: list[str] | None = None, ig
     rows = spark.createDataFrame([(p,) for p in listed], "path string")
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     rows = rows.withColumn("ext", ext)
+    exts = list(EXTENSIONS) if exts is None else exts
     if exts:
         rows = rows.where(F.col("ext").isin([e.lower() for e in exts]))
     if ignore:

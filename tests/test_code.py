@@ -156,6 +156,7 @@ def test_dialect(built):
     assert one("SELECT total(size) FROM files WHERE size < 0") == [(0.0,)]
     assert one("SELECT path FROM files_fts WHERE files_fts MATCH 'class NOT engine' AND path LIKE 'lib/%'") == [("lib/two.py",)]
     assert one("SELECT path FROM files_fts WHERE content MATCH 'engine' OR path MATCH 'two'  ORDER BY path") == [("game/core/a.py",), ("lib/engine.py",), ("lib/two.py",)]
+    assert one('SELECT f."path" AS "the path" FROM files f WHERE path = "lib/two.py"') == [("lib/two.py",)]
     seen = []
     s.query("SELECT 1", seen.append)
     assert seen == ["SELECT 1"]
