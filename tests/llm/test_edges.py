@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from codelode.llm import embeddings, packing, simhash, toxicity
+from codelode.llm import embeddings, packing, simhash, suffix_dedup, toxicity
 
 tok = pytest.importorskip("public_tokenizers")
 TOP = 1 << 62
@@ -85,3 +85,66 @@ def test_op7_takes_one_text_an_id_and_bounded_words(spark, monkeypatch):
     toxicity.train(docs, labels, max_words=200)
     assert 5 < len(taken[1]) < len(taken[0]) and sum(map(len, taken[1])) <= 200
     assert all(x in taken[0] for x in taken[1])
+
+
+def test_op8_texts_over_a_block(monkeypatch):
+    """Regions of a text hashed in many blocks choose for every window the hash they choose in one."""
+    rng = np.random.default_rng(4)
+    text = bytes(rng.integers(97, 100, 5000, np.uint8)) + b"ab" * 700 + bytes(rng.integers(97, 123, 3000, np.uint8))
+    choice = lambda: {w: (h, t) for b, e, h, t in zip(*(x.tolist() for x in suffix_dedup.regions(text))) for w in range(b, e)}
+    whole = choice()
+    assert sorted(whole) == list(range(len(text) - suffix_dedup.LENGTH + 1))
+    for block in (300, 1024, 2999):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        cut = choice()
+        assert {w: h for w, (h, _) in cut.items()} == {w: h for w, (h, _) in whole.items()}
+
+
+def test_op10_texts_over_a_chunk(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["one", "two", "Three", "four", "é"]) for _ in range(1000)).encode()
+    whole = simhash.fingerprint(text)
+    for chunk in (1, 7, 996, 997, 998):
+        monkeypatch.setattr(simhash, "_CHUNK", chunk)
+        assert simhash.fingerprint(text) == whole
+
+
+def test_op3_groups_of_texts(monkeypatch):
+    """However texts are put into groups, each keeps its ids."""
+    path = tok.path("word_bpe_49k.json")
+    texts = ["one two. three", "", "x" * 50, "İ. qué", "a b c " * 30, "\n", "one two. three"]
+    whole = packing.WordTokenizer(path).encode(texts)
+    for group, chars in ((1, 1), (2, 1 << 20), (512, 20)):
+        monkeypatch.setattr(packing, "GROUP", group)
+        monkeypatch.setattr(packing, "GROUP_CHARS", chars)
+        few = packing.WordTokenizer(path, 3)
+        assert [ids for part in packing.parcels(texts) for ids in few.encode(part)] == whole
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, fp long, digest binary, component_id string, carried int"
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_odd_tables(spark, empty):
+    """Stages over an empty table, and over null ids, null texts and columns whose names the operators use."""
+    import corpus_pipeline as cp
+    from conftest import DATA
+
+    twin = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, twin), (2, twin.upper()), (None, twin), (None, None), (3, None), (4, ""), (5, twin + " more"), (6, "something else entirely, and short"), (6, "x " * 400)]
+    docs = spark.createDataFrame([] if empty else [(i, t, "en", "s", len(t or ""), 1, b"d", "c", 2) for i, t in rows], COLUMNS)
+    left = docs
+    for name, stage in cp.STAGES[:-1]:
+        left = stage(spark, left, DATA)
+        assert left.dtypes == docs.dtypes, name
+        left, _ = cp.table(left, "odd")
+    got = [(r.doc_id, r.text, r.component_id) for r in left.collect()]
+    packed = cp.pack(spark, left, DATA)
+    assert {r.doc_id for r in packed.collect()} == {i for i, _, _ in got}
+    if empty:
+        assert not got
+    else:
+        ids = [i for i, _, _ in got]
+        # rows without an id pass the stages that name documents; of equal texts the largest id stays
+        assert ids.count(None) == 2 and not {1, 3} & set(ids) and ids.count(6) == 2 and {2, 4} <= set(ids)
+        assert all(c == "c" for _, _, c in got) and sum(r.n_chars for r in left.collect()) == sum(len(t or "") for _, t, _ in got)
