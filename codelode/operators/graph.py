@@ -120,24 +120,71 @@ def expand(step, seeds: DataFrame, max_nodes: int = 200, max_depth: int = 3) ->
     return Slice(taken, seen.distinct(), frontier, truncated, bounded, depth, elided)
 
 
+def shorten(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """edges(src, dst, w) with every chain as one edge as long as it, and (v, before, off) of the nodes inside chains.
+
+    Inside are nodes with one edge in and one out. Their chains are followed both ways at once by doubling, so rounds
+    go with the logarithm of the longest chain. Of parallel edges the longest stays. Chains closed on themselves go.
+    """
+    ways = edges.select(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    inner = cut(ways.groupBy("v").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o = 1 AND i = 1").select("v"))
+    n = inner.count()
+    if not n:
+        return edges, None
+    ahead = edges.select(F.col("src").alias("v"), F.col("dst").alias("after"), F.col("w").alias("fore"))
+    back = edges.select(F.col("dst").alias("v"), F.col("src").alias("before"), F.col("w").alias("off"))
+    s = cut(inner.join(ahead, "v").join(back, "v"))
+    for _ in range(n.bit_length() + 1):
+        a = s.select(F.col("v").alias("after"), F.col("after").alias("_after"), F.col("fore").alias("_fore"))
+        b = s.select(F.col("v").alias("before"), F.col("before").alias("_before"), F.col("off").alias("_off"))
+        j = s.join(a, "after", "left").join(b, "before", "left")
+        s = cut(j.select("v", F.coalesce("_after", "after").alias("after"), (F.col("fore") + F.coalesce("_fore", F.lit(0))).alias("fore"), F.coalesce("_before", "before").alias("before"), (F.col("off") + F.coalesce("_off", F.lit(0))).alias("off"), (F.col("_after").isNotNull() | F.col("_before").isNotNull()).alias("open")))
+        if not s.where("open").take(1):
+            break
+    runs = s.where("NOT open").select("v", "before", "off", "after", (F.col("off") + F.col("fore")).alias("w"))
+    rest = edges.join(inner.withColumnRenamed("v", "src"), "src", "left_anti").join(inner.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst", "w")
+    whole = rest.unionByName(runs.select(F.col("before").alias("src"), F.col("after").alias("dst"), "w"))
+    return cut(whole.groupBy("src", "dst").agg(F.max("w").alias("w"))), runs.select("v", "before", "off")
+
+
 def layers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, layer) by peeling nodes without predecessors, round by round, and the nodes in or behind a cycle."""
-    e = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    left = cut(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct())
-    done, layer = None, 0
+    """(id, layer), the longest way from a node without predecessors, and the nodes in or behind a cycle.
+
+    Chains are shortened to one edge as long as they, again while that takes a good part of the edges; then nodes
+    without predecessors are peeled round by round, so rounds follow the branches on a way and not its length.
+    """
+    first = cut(edges.where("src <> dst").select("src", "dst", F.lit(1).cast("long").alias("w")).distinct())
+    nodes = cut(first.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+    e, chains, size = first, [], first.count()
+    while size:
+        e, runs = shorten(e)
+        if runs is None:
+            break
+        chains.append(runs)
+        size, was = e.count(), size
+        if size > was * 3 // 4:
+            break
+    # an edge from a node to itself stands for a cycle of chains and is never peeled
+    left = nodes
+    for runs in chains:
+        left = left.join(runs.select(F.col("v").alias("id")), "id", "left_anti")
+    left = cut(left.join(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi")).withColumn("layer", F.lit(0).cast("long"))
+    done = None
     while True:
-        now = left.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(layer))
-        now = cut(now)
+        now = cut(left.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
         if not now.take(1):
             break
         done = now if done is None else done.unionByName(now)
-        gone = now.select("id")
-        left = cut(left.join(gone, "id", "left_anti"))
-        e = cut(e.join(gone.withColumnRenamed("id", "src"), "src", "left_anti"))
-        layer += 1
-    if done is None:
-        done = left.where(F.lit(False)).withColumn("layer", F.lit(0))
-    return done, left
+        gone = now.select(F.col("id").alias("src"), "layer")
+        met = e.join(gone, "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("layer") + F.col("w")).alias("_at"))
+        rest = left.join(now.select("id"), "id", "left_anti").join(met, "id", "left")
+        left = cut(rest.select("id", F.greatest("layer", F.coalesce("_at", "layer")).alias("layer")))
+        e = cut(e.join(gone.select("src"), "src", "left_anti"))
+    done = left.where(F.lit(False)) if done is None else cut(done)
+    for runs in reversed(chains):
+        at = done.select(F.col("id").alias("before"), F.col("layer").alias("_at"))
+        done = cut(done.unionByName(runs.join(at, "before").select(F.col("v").alias("id"), (F.col("_at") + F.col("off")).alias("layer"))))
+    return done.select("id", F.col("layer").cast("int").alias("layer")), nodes.join(done.select("id"), "id", "left_anti")
 
 
 def topological_order(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
