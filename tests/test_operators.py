@@ -194,7 +194,7 @@ def test_store_and_tree(spark, tmp_path):
     (tmp_path / "t" / "node_modules").mkdir()
     (tmp_path / "t" / "node_modules" / "b.py").write_text("y")
     (tmp_path / "t" / "c.txt").write_bytes(b"\xff")
-    files = tree.read_files(spark, str(tmp_path / "t"), use_git=False)
+    files = tree.read_files(spark, str(tmp_path / "t"), exts=[], use_git=False)
     assert [(r.id, r.path, r.content) for r in files.orderBy("id").collect()] == [(1, "c.txt", "\ufffd"), (2, "sub/a.py", "x = 1\n")]
     s = store.Store(spark, str(tmp_path / "store"))
     s.write("files", files)
