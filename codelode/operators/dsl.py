@@ -6,7 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -226,12 +226,14 @@ def link_classes(nodes: DataFrame, schema: DataFrame, symbols: DataFrame) -> Dat
     n = nodes.join(schema.select("node_type", name.alias("cls")), "node_type", "left")
     tries = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(p).alias("prefix")) for k, p in enumerate(PREFIXES)])
     asked = n.where("cls IS NOT NULL").select("id", "cls", F.explode(tries).alias("t")).select("id", "t.ord", "t.prefix", F.concat("t.prefix", "cls").alias("name"))
-    code = symbols.where(F.col("kind").isin("class", "struct")).select("name", F.col("id").alias("symbol_id"), "start_byte", "end_byte")
-    hit = asked.join(code, "name").withColumn("_r", F.dense_rank().over(Window.partitionBy("id").orderBy("ord"))).where("_r = 1")
-    w = Window.partitionBy("id")
+    # a name's symbols are counted before they meet the nodes, so a join has a row a node and prefix however many share a name
     is_def = (F.col("end_byte") - F.col("start_byte")) > F.length("name") + 16
-    hit = hit.withColumn("_d", is_def).withColumn("_n", F.count("*").over(w)).withColumn("_any", F.max("_d").over(w)).where("_n = 1 OR NOT _any OR _d")
-    best = hit.groupBy("id").agg(F.count("*").alias("candidates"), F.min("prefix").alias("prefix"))
+    code = symbols.where(F.col("kind").isin("class", "struct")).select("name", is_def.alias("_d"))
+    tally = code.groupBy("name").agg(F.count("*").alias("n"), F.count_if("_d").alias("n_def"), F.count("_d").alias("n_known"))
+    hit = asked.join(tally, "name").groupBy("id", "ord").agg(F.min("prefix").alias("prefix"), *[F.sum(c).alias(c) for c in ("n", "n_def", "n_known")])
+    first = hit.groupBy("id").agg(F.min_by(F.struct("prefix", "n", "n_def", "n_known"), "ord").alias("h")).select("id", "h.*")
+    kept = F.when(F.col("n") == 1, 1).when(F.col("n_def") > 0, F.col("n_def")).when(F.col("n_known") > 0, F.col("n"))
+    best = first.select("id", kept.alias("candidates"), "prefix").where("candidates IS NOT NULL")
     j = n.join(best, "id", "left")
     status = F.when(F.col("cls").isNull(), "no-classPath").when(F.col("candidates").isNull(), "unresolved").when(F.col("candidates") == 1, "unique").otherwise("ambiguous")
     return j.select("id", "node_type", status.alias("status"), "prefix", F.coalesce("candidates", F.lit(0)).alias("candidates"))
