@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -224,6 +225,9 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(new))
 
 
+BUNDLE = 50_000  # edges of the slices that one call takes together
+
+
 class SliceTooLarge(ValueError):
     """A slice has more edges than one task may take."""
 
@@ -353,37 +357,52 @@ def weak_points(pairs: list[tuple[int, int]]) -> tuple[set[tuple[int, int]], set
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(slice, id, component, size, cyclic) for edges(slice, src, dst); a slice is bounded by its budget and is one group."""
+    """(slice, id, component, size, cyclic) for edges(slice, src, dst); a slice is bounded by its budget and lies in one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(pdf.src.tolist(), pdf.dst.tolist()))
-        comp = strong_components_of(pairs)
-        size = pd.Series(comp).value_counts()
-        loops = {a for a, b in pairs if a == b}
-        rows = [(int(pdf.slice.iloc[0]), n, c, int(size[c]), bool(size[c] > 1 or n in loops)) for n, c in comp.items()]
-        return pd.DataFrame(rows, columns=["slice", "id", "component", "size", "cyclic"])
+        rows = []
+        for s, pairs in by_slice(pdf):
+            comp = strong_components_of(pairs)
+            size, loops = Counter(comp.values()), {a for a, b in pairs if a == b}
+            rows += [(s, n, c, size[c], size[c] > 1 or n in loops) for n, c in comp.items()]
+        return pd.DataFrame(rows, columns=["slice", "id", "component", "size", "cyclic"]).astype({c: "int64" for c in ("slice", "id", "component", "size")} | {"cyclic": "bool"})
+
+    return bundled(edges.select("slice", "src", "dst").distinct(), run, "slice long, id long, component long, size long, cyclic boolean")
 
-    return edges.select("slice", "src", "dst").distinct().groupBy("slice").applyInPandas(run, "slice long, id long, component long, size long, cyclic boolean")
+
+def bundled(edges: DataFrame, run, schema: str, size: int = BUNDLE) -> DataFrame:
+    """run(pdf) over edges(slice, src, dst) in groups of whole slices, size edges or so each: slices are often tiny, and a group costs its start."""
+    rows = edges.select("slice", "src", "dst")
+    n = rows.count() // size + 1
+    return rows.groupBy(F.pmod(F.xxhash64("slice"), F.lit(n)).alias("_bundle")).applyInPandas(run, schema)
 
 
 def bridges(edges: DataFrame) -> DataFrame:
     """(slice, a, b): undirected edges whose removal splits a component, for edges(slice, src, dst)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, _ = weak_points(list(zip(pdf.src.tolist(), pdf.dst.tolist())))
-        return pd.DataFrame([(int(pdf.slice.iloc[0]), a, b) for a, b in sorted(found)], columns=["slice", "a", "b"]).astype("int64")
+        rows = [(s, *pair) for s, pairs in by_slice(pdf) for pair in sorted(weak_points(pairs)[0])]
+        return pd.DataFrame(rows, columns=["slice", "a", "b"]).astype("int64")
 
-    return edges.select("slice", "src", "dst").groupBy("slice").applyInPandas(run, "slice long, a long, b long")
+    return bundled(edges, run, "slice long, a long, b long")
 
 
 def cut_nodes(edges: DataFrame) -> DataFrame:
     """(slice, id): nodes whose removal splits a component."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, found = weak_points(list(zip(pdf.src.tolist(), pdf.dst.tolist())))
-        return pd.DataFrame([(int(pdf.slice.iloc[0]), n) for n in sorted(found)], columns=["slice", "id"]).astype("int64")
+        rows = [(s, n) for s, pairs in by_slice(pdf) for n in sorted(weak_points(pairs)[1])]
+        return pd.DataFrame(rows, columns=["slice", "id"]).astype("int64")
+
+    return bundled(edges, run, "slice long, id long")
+
 
-    return edges.select("slice", "src", "dst").groupBy("slice").applyInPandas(run, "slice long, id long")
+def by_slice(pdf: pd.DataFrame) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The edges of each slice of a bundle, slices in order."""
+    found: dict[int, list[tuple[int, int]]] = {}
+    for s, a, b in zip(pdf.slice.tolist(), pdf.src.tolist(), pdf.dst.tolist()):
+        found.setdefault(s, []).append((a, b))
+    return sorted(found.items())
 
 
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:

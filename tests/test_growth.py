@@ -1,6 +1,6 @@
 """Steps whose rows must grow no faster than their input, by what the operators of a run put out."""
 
-from codelode.operators import dsl
+from codelode.operators import dsl, graph
 
 
 def most_rows(spark, df):
@@ -34,3 +34,16 @@ def test_links_without_known_lengths(spark):
     symbols = spark.createDataFrame([(i, n, "class", 0, e) for i, n, e in code], "id long, name string, kind string, start_byte long, end_byte long")
     got = sorted((r.id, r.node_type, r.status, r.prefix, r.candidates) for r in dsl.link_classes(nodes, schema, symbols).fillna("-", ["prefix"]).collect())
     assert got == [(1, "a", "unresolved", "-", 0), (2, "b", "unique", "U", 1), (3, "c", "unresolved", "-", 0), (3, "d", "unresolved", "-", 0)]
+
+
+def test_small_slices_go_together(spark):
+    """2000 slices are a few groups, not 2000, and each keeps its own points."""
+    made = spark.range(2000).selectExpr("id * 10 AS slice", "explode(array(struct(id * 10 AS src, id * 10 + 1 AS dst), struct(id * 10 + 1 AS src, id * 10 + 2 AS dst), struct(id * 10 + 2 AS src, id * 10 + 1 AS dst))) AS e")
+    edges = made.select("slice", "e.*")
+    calls = graph.bundled(edges, lambda pdf: pdf[["slice"]].head(1), "slice long", 1000).count()
+    assert calls <= 7
+    assert sorted(map(tuple, graph.cut_nodes(edges).collect())) == [(k * 10, k * 10 + 1) for k in range(2000)]
+    assert sorted(map(tuple, graph.bridges(edges).collect())) == [(k * 10, k * 10, k * 10 + 1) for k in range(2000)]
+    comp = sorted(map(tuple, graph.strong_components(edges).where("slice = 70").collect()))
+    assert comp == [(70, 70, 70, 1, False), (70, 71, 71, 2, True), (70, 72, 71, 2, True)]
+    assert graph.cut_nodes(edges.where("false")).count() == 0
