@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from codelode.operators import spans
 from codelode.plans.registry import query
 from codelode.sources import views
@@ -14,8 +16,7 @@ HELD = "WITH " + NESTED + TOKENS + """, held AS (SELECT t.file_id, t.name, t.pla
 @query(HELD + " SELECT file_id, place, symbol_id FROM held")
 def enclosing_symbol(spark, d):
     """The innermost symbol around every identifier."""
-    points = spans.identifiers(views.lines(spark, d)).select("file_id", "at")
-    return spans.innermost(points, views.nested(spark, d)).withColumnsRenamed({"at": "place", "span_id": "symbol_id"})
+    return spans.placed(views.lines(spark, d), views.nested(spark, d)).select("file_id", F.col("at").alias("place"), F.col("span_id").alias("symbol_id"))
 
 
 @query(
@@ -33,4 +34,4 @@ SELECT DISTINCT h.file_id, symbol_id AS src_symbol_id, dst AS dst_symbol_id, h.n
 )
 def reference_edges(spark, d):
     """The edges of identifiers that name a symbol of their file."""
-    return spans.references(spans.identifiers(views.lines(spark, d)), views.nested(spark, d))
+    return spans.references_in(views.lines(spark, d), views.nested(spark, d))

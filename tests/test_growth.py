@@ -1,6 +1,7 @@
 """Steps whose rows must grow no faster than their input, by what the operators of a run put out."""
 
-from codelode.operators import dsl, graph
+from codelode.llm import toxicity
+from codelode.operators import dsl, graph, spans
 
 
 def most_rows(spark, df):
@@ -47,3 +48,38 @@ def test_small_slices_go_together(spark):
     comp = sorted(map(tuple, graph.strong_components(edges).where("slice = 70").collect()))
     assert comp == [(70, 70, 70, 1, False), (70, 71, 71, 2, True), (70, 72, 71, 2, True)]
     assert graph.cut_nodes(edges.where("false")).count() == 0
+
+
+def test_toxicity_fits_outside_the_driver(spark, monkeypatch):
+    """The driver gets a model and no words, and it is the model that a fit on the same words gives."""
+    docs = spark.range(200).selectExpr("id AS doc_id", "CASE WHEN id % 4 = 0 THEN concat('vile words ', id % 7) ELSE concat('kind talk ', id % 5) END AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) AS toxic")
+    rows = [r for r in docs.join(labels, "doc_id").orderBy("doc_id").collect() if not toxicity.held_out(r.doc_id)]
+    want = toxicity.fit([r.text for r in rows], [r.toxic for r in rows])
+
+    def none(self):
+        raise AssertionError("words came to the driver")
+
+    monkeypatch.setattr(type(docs), "toArrow", none)
+    got = toxicity.train(docs, labels)
+    assert got == want and list(got.weights) == list(want.weights) and got.weights
+    assert toxicity.train(docs.where("false"), labels) == toxicity.Model()
+
+
+def test_identifiers_meet_spans_without_being_sent(spark, capsys):
+    """Words cross no exchange; crossing spans that change inside a line, words beside digits and marks, and odd lines."""
+    text = ["ab 1c _d2é9x", "", "ab.cd-ef gh", "Ünit x"]
+    at = [0]
+    for line in text:
+        at.append(at[-1] + len(line.encode()) + 1)
+    lines = spark.createDataFrame([(f, k, line, at[k]) for f in (1, 2) for k, line in enumerate(text)] + [(3, 0, None, 0), (None, 0, "zz", 0)], "file_id long, pos int, line string, start_byte long")
+    made = spark.createDataFrame([(1, 7, 1, 20), (1, 8, at[2] + 3, at[2] + 8), (1, 9, at[2] + 6, at[3] + 2), (2, 5, 0, 3), (2, 6, 4, 4)], "file_id long, id long, start_byte long, end_byte long")
+    want = spans.innermost(spans.identifiers(lines), made)
+    got = spans.placed(lines, made)
+    rows = sorted(map(tuple, got.select("file_id", "name", "at", "span_id").collect()), key=repr)
+    assert rows == sorted(map(tuple, want.select("file_id", "name", "at", "span_id").collect()), key=repr)
+    assert {r[1] for r in rows} == {"ab", "_d2", "cd", "ef", "gh", "nit", "x", "zz"} and {r[3] for r in rows} == {None, 5, 7, 8, 9}
+    got.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    assert plan.index("MapInArrow") < plan.index("Exchange") and plan.count("MapInArrow") == 1
+    assert sorted(map(tuple, spans.identifiers(lines).where("file_id = 2 AND at < 12").collect())) == [(2, "_d2", 6), (2, "ab", 0)]
