@@ -10,6 +10,7 @@ chosen by a hash of doc_id (a documented bound); scoring is one narrow pass over
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.common import slices, table
+from codelode.llm.common import give_back, slices, table
 
 MAX_ROWS = 6_000
 MAX_WORDS = 6_000_000  # distinct words by text that the driver takes from the labelled texts, all together
@@ -106,13 +107,14 @@ def fit(texts: Iterable[str | Iterable[str] | None], y: list[int], fairness: flo
     term_features = {vocabulary[t]: own(vocabulary[t]) for group in IDENTITY_GROUPS for t in group}
     groups = [[vocabulary[t] for t in group] for group in IDENTITY_GROUPS]
     group_of = {vocabulary[t]: [vocabulary[x] for x in group] for t, group in GROUP_OF.items()}
-    cols, vals, size_of, change_of, change_cols, change_vals, pairs = [], [], [], [], [], [], 0
+    # arrays, as lists of numbers take several times as much
+    cols, vals, size_of, change_of, change_cols, change_vals, pairs = [], [], [], array("q"), array("q"), array("d"), 0
     for k, d in enumerate(docs):
         found = of_word[d].ravel()
         found = at[found[found >= 0]]
         u, c = np.unique(found[found >= 0], return_counts=True)
-        cols.append(u)
-        vals.append(logs[np.minimum(c, len(LOG) - 1)])
+        cols.append(u.astype(np.int32))
+        vals.append(np.minimum(c, len(LOG) - 1).astype(np.int32))
         size_of.append(u.size)
         count, words = dict(zip(u.tolist(), c.tolist())), set(d.tolist())
         named = sorted(words & group_of.keys())
@@ -132,9 +134,10 @@ def fit(texts: Iterable[str | Iterable[str] | None], y: list[int], fairness: flo
                     change_cols.append(f)
                     change_vals.append(LOG[min(n_a, len(LOG) - 1)] - LOG[min(n_b, len(LOG) - 1)])
             pairs += 1
-    del docs
-    cols, vals, of = np.concatenate(cols), np.concatenate(vals), np.repeat(np.arange(n), size_of)
-    dof, dcol, dval = np.array(change_of, np.int64), np.array(change_cols, np.int64), np.array(change_vals)
+    del docs, vocabulary, features, of_word, seen, at
+    give_back()
+    cols, vals, of = np.concatenate(cols).astype(np.int64), logs[np.concatenate(vals)], np.repeat(np.arange(n), size_of)
+    dof, dcol, dval = np.frombuffer(change_of, np.int64), np.frombuffer(change_cols, np.int64), np.frombuffer(change_vals)
     label = np.array(y, np.float64)
     size = len(names)
     # Lipschitz bound by power iteration on the quadratic form of both terms
@@ -204,7 +207,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_word
         stored = stored.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id")
     got = stored.select("doc_id", "toxic", "words").toArrow().sort_by("doc_id")
     words, y = got.column("words"), [int(t > 0) for t in got.column("toxic").to_pylist()]
-    return fit((w.as_py() for w in words), y, **options) if y else Model()
+    del got
+    model = fit((w.as_py() for w in words), y, **options) if y else Model()
+    del words
+    give_back()
+    return model
 
 
 def scorer(docs: DataFrame, model: Model):
