@@ -127,12 +127,11 @@ def identifiers(lines: DataFrame) -> DataFrame:
     return own.mapInArrow(run, StructType([own.schema["file_id"], StructField("name", StringType()), StructField("at", LongType())]))
 
 
-def placed(lines: DataFrame, spans: DataFrame, once: bool = False) -> DataFrame:
+def placed(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """(file_id, name, at, span_id) of the identifiers of lines(file_id, line, start_byte): ``innermost`` over ``identifiers``.
 
     Lines are what is sent: each gets the span at its start and the changes inside it, and its words are
-    told apart by them where it is read. With once, words in no span are left out and so is most of what a file repeats, and
-    ``at`` is the place of one of them.
+    told apart by them where it is read.
     """
     own = lines.select("file_id", F.col("start_byte").cast("long").alias("at"), "line")
     starts = own.groupBy("file_id", "at").agg(F.max(F.octet_length("line")).alias("_n"))
@@ -156,8 +155,6 @@ def placed(lines: DataFrame, spans: DataFrame, once: bool = False) -> DataFrame:
                 n += len(ids[k].values)
             found = pa.concat_arrays(pool).take(pa.array(pick))
             out = pa.table([files.take(pa.array(line)), names, pa.array(at), found], ["file_id", "name", "at", "span_id"])
-            if once:
-                out = out.filter(found.is_valid()).group_by(["file_id", "name", "span_id"]).aggregate([("at", "min")]).rename_columns({"at_min": "at"}).select(["file_id", "name", "at", "span_id"])
             yield from out.to_batches()
 
     kind = spans.schema["id"].dataType
@@ -174,11 +171,6 @@ def references(tokens: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] = N
     return _edges(innermost(tokens.join(first, ["file_id", "name"]), symbols))
 
 
-def references_in(lines: DataFrame, symbols: DataFrame, kinds: tuple[str, ...] = NAMED) -> DataFrame:
-    """``references`` of the identifiers of lines(file_id, line, start_byte), which meet the names where their symbols are known."""
-    return _edges(placed(lines, symbols, once=True).select("file_id", "name", "span_id").distinct().join(firsts(symbols, kinds), ["file_id", "name"]))
-
-
 def firsts(symbols: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return symbols.where(F.col("kind").isin(*kinds)).groupBy("file_id", "name").agg(F.min("id").alias("dst_symbol_id"))
 
