@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,60 @@ def postings(files: DataFrame) -> DataFrame:
     return files.select(F.col("id").alias("file_id"), F.explode(grams).alias("gram"))
 
 
+BLOCK = 1 << 22  # characters of texts whose trigrams are sorted together, about
+
+
+def posting_lists(files: DataFrame) -> DataFrame:
+    """(gram, file_ids): the postings as lists, a row for each trigram of a block of files that are read together.
+
+    Lists are made where the texts are read, so a posting is one number in a list and no row of its own.
+    """
+
+    def run(batches):
+        for b in batches:
+            ids, paths, texts = b["id"].to_numpy(), b["path"].to_pylist(), b["content"].to_pylist()
+            sizes = np.cumsum([len(x) + len(y) for x, y in zip(paths, texts)])
+            ends = [*np.flatnonzero(np.diff(sizes // BLOCK)) + 1, len(ids)]
+            for at, end in zip([0, *ends], ends):
+                yield from _lists(ids[at:end], paths[at:end], texts[at:end])
+
+    low = [F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("path", "content")]
+    return files.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), *low).mapInArrow(run, "gram string, file_ids array<long>")
+
+
+def _lists(ids: np.ndarray, *columns: list[str]):
+    """Batches of (gram, file_ids) of files and the texts in columns, by sorting numbers that stand for a trigram and a file."""
+    n, texts = len(ids), [t for c in columns for t in c]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    held = np.zeros(0x110000, bool)
+    held[codes] = True
+    signs, number = np.flatnonzero(held), np.cumsum(held) - 1
+    a = len(signs)
+    if n > 1 and a**3 * n >= 1 << 63:  # too many different characters for one number
+        for k in (slice(None, n // 2), slice(n // 2, None)):
+            yield from _lists(ids[k], *[c[k] for c in columns])
+        return
+    keys = [np.empty(0, np.int64)]
+    for at in range(0, len(codes) - 2, BLOCK):  # long texts in parts
+        c, t = number[codes[at : at + BLOCK + 2]], text[at : at + BLOCK + 2]
+        keys.append(_distinct((((c[:-2] * a + c[1:-1]) * a + c[2:]) * n + t[:-2] % n)[t[:-2] == t[2:]]))
+    key = _distinct(np.concatenate(keys))
+    if not len(key):
+        return
+    gram, file = np.divmod(key, n)
+    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    g = gram[first]
+    three = signs[np.stack([g // a // a, g // a % a, g % a], 1)].astype("<u4").tobytes().decode("utf-32-le")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(ids[file]))
+    yield pa.RecordBatch.from_arrays([pa.array([three[k : k + 3] for k in range(0, len(three), 3)]), lists], ["gram", "file_ids"])
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def has_term(term: str) -> Column:
     """Case-insensitive substring of path or content; terms under three characters match nothing."""
     if len(term) < 3:

@@ -106,8 +106,9 @@ class Store:
     def _matched(self, query: str) -> str:
         """A view of files_fts with the rows that match a query and their rank, through the stored index if there is one."""
         files = self.table("files")
-        if self.has("fulltext/versions"):
-            found = FullText(self.spark, f"{self.path}/fulltext").ranked(files, query)
+        index = FullText(self.spark, f"{self.path}/fulltext") if self.has("fulltext/versions") else None
+        if index and index.generations:
+            found = index.ranked(files, query)
         else:
             size = sum(F.greatest(F.length(c) - 2, F.lit(0)) for c in ("path", "content"))
             n, mean = files.agg(F.count("*"), F.avg(size)).first()

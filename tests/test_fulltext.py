@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,43 @@ def test_rank_from_sql(spark, tmp_path):
     assert index.statistics()[0] == 30
     two = "SELECT count(*) FROM files_fts WHERE files_fts MATCH 'alpha' AND rowid NOT IN (SELECT rowid FROM files_fts WHERE files_fts MATCH 'beta')"
     assert s.query(two).first()[0] == sum("alpha" in c and "beta" not in c for _, c in files.values())
+
+
+def test_stores_lists_and_no_row_for_each_posting(spark, tmp_path):
+    index = fulltext.FullText(spark, str(tmp_path / "index"), buckets=3)
+    index.put(spark.range(400).selectExpr("id", "'pt' path", "'Alpha \U0001f600beta' content").coalesce(1))
+    stored = spark.read.parquet(index._at(index.generations[0], "postings"))
+    low = "alpha \U0001f600beta"
+    assert sorted(r.gram for r in stored.select("gram").collect()) == sorted(low[k : k + 3] for k in range(len(low) - 2))
+    assert stored.selectExpr("min(size(file_ids)) lo", "max(size(file_ids)) hi").first() == (400, 400)
+    index.merge()
+    assert spark.read.parquet(index._at(index.generations[0], "postings")).count() == len(low) - 2
+    assert index.postings(["pha"]).select("file_id").distinct().count() == 400
+
+
+def test_lists_of_odd_texts(spark, monkeypatch):
+    rows = [(1, None, None), (2, "a", ""), (3, "ABCd", "\U0001f600\U0001f600\U0001f600x\n\nÉÉÉ"), (4, "abc", "ABCABC"), (-5, None, "éééé"), (2**40, "xyzé", None), (None, "abc", "abc")]
+    df = spark.createDataFrame(rows, "id long, path string, content string").coalesce(1)
+    got = [(r.gram, k) for r in search.posting_lists(df).collect() for k in r.file_ids]
+    want = {(t.lower()[j : j + 3], k) for k, *two in rows if k is not None for t in two if t for j in range(len(t) - 2)}
+    assert len(got) == len(want) and set(got) == want
+    # texts of more than a block, and more characters than three of them and a file fit into one number
+    monkeypatch.setattr(search, "BLOCK", 1000)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abc", k=n)) for n in (0, 2, 3, 999, 1000, 1001, 1002, 5000)]
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for block, some in ((1000, texts), (1 << 22, [*texts, every])):
+        monkeypatch.setattr(search, "BLOCK", block)
+        got = [(g, k) for b in search._lists(np.arange(len(some)), some, ["zz"] * len(some)) for g, ks in zip(b["gram"].to_pylist(), b["file_ids"].to_pylist()) for k in ks]
+        want = {(t[j : j + 3], k) for k, t in enumerate(some) for j in range(len(t) - 2)}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_index_of_the_older_layout_is_not_read(spark, tmp_path):
+    s, files = store.Store(spark, str(tmp_path / "store")), made(8, range(9))
+    s.write("files", frame(spark, files).select("id", "path", F.lit(".txt").alias("ext"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), "content"))
+    spark.createDataFrame([(0, "old", 64)], "number int, generation string, buckets int").coalesce(1).write.parquet(f"{s.path}/fulltext/versions/1")
+    ask, want = "SELECT rowid FROM files_fts WHERE files_fts MATCH 'alpha'", sorted(k for k, v in files.items() if "alpha" in v[1])
+    assert sorted(r.rowid for r in s.query(ask).collect()) == want
+    assert s.index_text().version == 2
+    assert sorted(r.rowid for r in s.query(ask).collect()) == want
