@@ -176,17 +176,21 @@ def candidates(index: DataFrame, tree) -> DataFrame:
     return per.where(decide(tree, lambda t: full.get(t, F.lit(False)), maybe=True)).select("file_id")
 
 
-def bm25(files: DataFrame, tree, total: int, mean: float, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(files: DataFrame, tree, total: int, mean: float, among: DataFrame | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """files(id, path, content) that match a parsed query, with ``rank``: smaller (more negative) is better.
 
     A term's weight is ln((N - n + 0.5) / (n + 0.5)), 1e-6 at least, N being all files and n those among the given
     ones that hold it; files must therefore be all that hold any term of the query. Occurrences in path and content count,
-    overlapping ones too; a file is as long as the trigrams of both, mean being the average.
+    overlapping ones too; a file is as long as the trigrams of both, mean being the average. With among(file_id), only
+    those files count. Files are compared and counted where they are read, so what meets among is counts, and texts of matches only.
     """
     words = [t for t in terms_of(tree) if len(t) > 2]
     found = lambda t, c: F.regexp_count(F.lower(c), F.lit("(?s)(?=" + re.escape(t.lower()) + ")"))
     size = F.greatest(F.length("path") - 2, F.lit(0)) + F.greatest(F.length("content") - 2, F.lit(0))
-    base = files.select("id", "path", "content", size.alias("_d"), *[(found(t, "path") + found(t, "content")).alias(f"_f{k}") for k, t in enumerate(words)])
+    some = files.where(reduce(lambda x, y: x | y, [has_term(t) for t in words], F.lit(False)))
+    base = some.select("id", "path", "content", size.alias("_d"), *[(found(t, "path") + found(t, "content")).alias(f"_f{k}") for k, t in enumerate(words)])
+    if among is not None:
+        base = base.join(among, base.id == among.file_id, "left_semi")
     held = base.agg(*[F.count_if(F.col(f"_f{k}") > 0).alias(f"_n{k}") for k in range(len(words))] or [F.lit(0).alias("_n")])
     score = F.lit(0.0)
     for k in range(len(words)):

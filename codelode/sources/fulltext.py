@@ -134,4 +134,4 @@ class FullText:
         any_term = ("or", [("term", t) for t in words])
         found = search.candidates(self.postings(sorted({g for t in words for g in search.grams_of(t)})), any_term)
         total, mean = self.statistics()
-        return search.bm25(files.join(found, files.id == found.file_id, "left_semi"), tree, total, mean or 1.0)
+        return search.bm25(files, tree, total, mean or 1.0, found)

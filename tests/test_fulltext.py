@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -160,6 +161,21 @@ def test_lists_of_odd_texts(spark, monkeypatch):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_rank_sends_no_texts(spark, tmp_path):
+    files = made(7, range(40))
+    index = fulltext.FullText(spark, str(tmp_path / "index"), buckets=3)
+    index.put(frame(spark, files))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.ranked(frame(spark, files), "alpha gamma").select("id", "path", "rank")
+        plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        sent = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+        assert len(sent) > 3 and not [x for x in sent if "content#" in x]
+        assert {r.id for r in found.collect()} == {k for k, v in files.items() if holds(search.parse("alpha gamma"), v)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_index_of_the_older_layout_is_not_read(spark, tmp_path):
     s, files = store.Store(spark, str(tmp_path / "store")), made(8, range(9))
     s.write("files", frame(spark, files).select("id", "path", F.lit(".txt").alias("ext"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), "content"))
