@@ -59,7 +59,8 @@ class FullText:
         """A new generation of postings(gram, file_ids) and files(file_id, tokens)."""
         name = uuid.uuid4().hex
         placed = postings.withColumn("bucket", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(self.buckets)).cast("int"))
-        placed.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").options(**PACKED).parquet(self._at(name, "postings"))
+        # adaptive execution deals a large bucket to several tasks, each of which writes a sorted file of it
+        placed.hint("rebalance", self.buckets, "bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").options(**PACKED).parquet(self._at(name, "postings"))
         files.write.parquet(self._at(name, "files"))
         return name
 

@@ -143,6 +143,18 @@ def test_stores_lists_and_no_row_for_each_posting(spark, tmp_path):
     assert index.postings(["pha"]).select("file_id").distinct().count() == 400
 
 
+def test_a_large_bucket_is_dealt_to_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        index = fulltext.FullText(spark, str(tmp_path / "index"), buckets=1)
+        index.put(spark.range(0, 2000, 1, 8).selectExpr("id", "concat('pt/', hex(id * 7919))  path", "concat('Alpha beta ', sha1(string(id))) content"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = spark.read.parquet(index._at(index.generations[0], "postings"))
+    assert len(stored.inputFiles()) > 3
+    assert index.postings(["pha"]).select("file_id").distinct().count() == index.postings(["pha"]).count() == 2000
+
+
 def test_lists_of_odd_texts(spark, monkeypatch):
     rows = [(1, None, None), (2, "a", ""), (3, "ABCd", "\U0001f600\U0001f600\U0001f600x\n\nÉÉÉ"), (4, "abc", "ABCABC"), (-5, None, "éééé"), (2**40, "xyzé", None), (None, "abc", "abc")]
     df = spark.createDataFrame(rows, "id long, path string, content string").coalesce(1)
