@@ -134,6 +134,28 @@ def test_referenced_paths(spark):
     assert sorted(map(tuple, tiles)) == sorted((x % 3, x, y) for x in range(300) for y in range(200) if x % 3 == y % 4)
 
 
+def test_referenced_paths_are_written_small(spark, tmp_path):
+    """Rows are many times the inputs, so what a row takes on disk must be far less than a byte, where no side is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    log = spark.range(600).selectExpr("id", "concat('x \"%src', id % 2, '/%\"') AS sql_text")
+    files = spark.range(18000).selectExpr("concat('src', id % 2, '/en/doc', id * 7919 % 100003, '.en') AS path")
+    search.referenced_paths(log, files).write.parquet(str(tmp_path / "out"))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert (out.count(), out.distinct().count()) == (2 * 300 * 9000, 2 * 300 * 9000)
+    assert out.where("id % 2 <> substring(path, 4, 1)").isEmpty()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.3 * 2 * 300 * 9000
+
+
+def test_join_in_tiles_of_several_pieces(spark, monkeypatch):
+    """Against a plain join: groups of several lists and pieces, pieces that don't divide evenly, nulls and single rows."""
+    monkeypatch.setattr(search, "RUN", (3, 8), raising=False)
+    a = spark.range(301).selectExpr("if(id = 300, 7, id % 3) AS k", "if(id = 5, null, id) AS x", "id AS z")
+    b = spark.range(203).selectExpr("if(id = 200, 7, id % 4) AS k", "if(id = 9, null, id) AS y")
+    got = sorted(map(tuple, search.join_in_tiles(a, b, "k", (13, 29)).select("k", "x", "z", "y").collect()), key=repr)
+    assert got == sorted(map(tuple, a.join(b, "k").select("k", "x", "z", "y").collect()), key=repr) and len(got) > 10000
+
+
 def test_referenced_paths_of_every_statement(spark):
     """Against brute force over all events of the small table, of which the sixty of referenced_paths are a few."""
     from codelode.plans import tables
